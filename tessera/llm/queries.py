@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import OP5_SQL, op5_decontaminate
+from tessera.llm.pii import op3_pii
+from tessera.llm.secrets import op7_secret_scan
 from tessera.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op5_decontaminate": op5_decontaminate,
+    "op7_secret_scan": op7_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
 
