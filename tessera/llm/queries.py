@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import OP5_SQL, op5_decontaminate
+from tessera.llm.near_dedup import OP9_SQL, op9_near_dedup
 from tessera.llm.pii import op3_pii
 from tessera.llm.secrets import op7_secret_scan
 from tessera.llm.url_filter import OP10_SQL, op10_url_filter
@@ -11,10 +12,12 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op5_decontaminate": op5_decontaminate,
     "op7_secret_scan": op7_secret_scan,
+    "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL = {
     "op5_decontaminate": OP5_SQL,
+    "op9_near_dedup": OP9_SQL,
     "op10_url_filter": OP10_SQL,
 }
