@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import OP5_SQL, op5_decontaminate
+from tessera.llm.mixing import OP2_SQL, op2_mix_sources
 from tessera.llm.near_dedup import OP9_SQL, op9_near_dedup
 from tessera.llm.pii import op3_pii
 from tessera.llm.secrets import op7_secret_scan
 from tessera.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
     "op3_pii": op3_pii,
     "op5_decontaminate": op5_decontaminate,
     "op7_secret_scan": op7_secret_scan,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_mix_sources": OP2_SQL,
     "op5_decontaminate": OP5_SQL,
     "op9_near_dedup": OP9_SQL,
     "op10_url_filter": OP10_SQL,
