@@ -6,6 +6,7 @@ from tessera.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tessera.llm.mixing import OP2_SQL, op2_mix_sources
 from tessera.llm.near_dedup import OP9_SQL, op9_near_dedup
 from tessera.llm.pii import op3_pii
+from tessera.llm.quality import op8_quality
 from tessera.llm.secrets import op7_secret_scan
 from tessera.llm.url_filter import OP10_SQL, op10_url_filter
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op5_decontaminate": op5_decontaminate,
     "op7_secret_scan": op7_secret_scan,
+    "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
