@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import OP5_SQL, op5_decontaminate
+from tessera.llm.extract import op6_extract
 from tessera.llm.mixing import OP2_SQL, op2_mix_sources
 from tessera.llm.near_dedup import OP9_SQL, op9_near_dedup
 from tessera.llm.pii import op3_pii
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_pii": op3_pii,
     "op5_decontaminate": op5_decontaminate,
+    "op6_extract": op6_extract,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
