@@ -13,7 +13,7 @@ _TEXT = "__text__"
 _PIECE_BYTES = 8 << 20
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = _PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str | int, most: int = _PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``most`` bytes of text each; a row is never cut."""
     import numpy as np
 
@@ -50,5 +50,18 @@ def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], l
     return source.mapInArrow(run, schema)
 
 
+def select_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
+    """The rows of ``df``, all columns, for which the function made by ``make`` says true of the text column."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            for piece in pieces(batch, at):
+                yield piece.filter(pa.array(function(piece.column(at)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, T.DataType.fromDDL(kind), True)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._arrow import annotate, field
+from tessera.llm._arrow import annotate, field, select_rows
 from tessera.llm._words import NON_ALNUM_BYTES, WordHasher, counts_per_row
 
 _GAP = 64
@@ -215,6 +215,22 @@ def _marker(windows: WindowSet, slack: int, misses: int):
     return make
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", window: int = 10, most_items: int = 50_000) -> DataFrame:
+    """``docs`` without the rows that hold a window of the benchmark, read once for each ``most_items`` items."""
+    listed = benchmark.select(item, text).where(F.col(item).isNotNull())
+    parts = -(-listed.count() // most_items)
+    for b in range(parts):
+        block = listed if parts == 1 else listed.where(F.pmod(F.xxhash64(F.col(item).cast("string")), F.lit(parts)) == b)
+        windows = WindowSet([tuple(r) for r in block.collect()], window)
+
+        def make(windows: WindowSet = windows):
+            match = _matcher(windows, 0, 0)()
+            return lambda texts: [not n for n in match(texts)[1]]
+
+        docs = select_rows(docs, text, make)
+    return docs
+
+
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = find_contamination(docs, benchmark)

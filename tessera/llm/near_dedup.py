@@ -211,6 +211,26 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return every.select(F.col("__id__").alias(id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("__id__") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component (its least id) and all that are linked with nothing.
+
+    Rows that share id and text are one document. Documents without words are all kept.
+    """
+    judged = materialize(near_duplicates(docs, id=id, text=text, size=size, percent=percent), "judged")
+    kept = judged.where("kept").groupBy(F.col(id).alias("__id__")).agg((F.count("*") > 1).alias("__again__"), (F.max("n_shingles") > 0).alias("__set__"))
+    kept = materialize(kept, "kept")
+    again = kept.where("__again__ and __set__")
+    ids = kept.select("__id__")
+    ids = F.broadcast(ids) if ids.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS else ids
+    same = docs[f"`{id}`"].eqNullSafe(F.col("__id__"))
+    out = docs.join(ids, same, "left_semi")
+    if again.isEmpty():
+        return out
+    twice = again.select("__id__")
+    several = out.join(twice, out[f"`{id}`"].eqNullSafe(F.col("__id__")), "left_semi").withColumn("__text__", F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([id, "__text__"]).drop("__text__")
+    return out.join(twice, out[f"`{id}`"].eqNullSafe(F.col("__id__")), "left_anti").unionByName(several)
+
+
 def _component_of(spark: SparkSession, docs: DataFrame, id: str, text: str, classes: DataFrame, size: int, percent: int, pivots: int) -> DataFrame:
     """(node, component) of the classes that have a link."""
     cells = materialize(_buckets(classes), "cells")

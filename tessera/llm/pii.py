@@ -289,16 +289,16 @@ def mask(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 
 def mask_pii(docs: DataFrame, *, text: str = "text", length: str = "n_chars") -> DataFrame:
     """``docs`` with all its columns and rows, personal data in ``text`` masked and ``length`` (where it is a column) made right."""
-    model = train()
+    model, counted = train(), length in docs.columns
 
     def make():
         def run(texts: pa.Array) -> list:
             out = [None if t is None else mask(t, s) if (s := find_spans(t, model)) else t for t in texts.to_pylist()]
-            return [out, [None if t is None else len(t) for t in out]] if length in docs.columns else [out]
+            return [out, [None if t is None else len(t) for t in out]] if counted else [out]
 
         return run
 
-    fields = [field(text, "string"), *([field(length, "long")] if length in docs.columns else [])]
+    fields = [field(text, "string"), *([field(length, "long")] if counted else [])]
     return annotate(docs, text, make, fields, docs.columns).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -9,9 +9,11 @@ from tessera.llm.near_dedup import OP9_SQL, op9_near_dedup
 from tessera.llm.pii import op3_pii
 from tessera.llm.quality import op8_quality
 from tessera.llm.secrets import op7_secret_scan
+from tessera.llm.toxicity import op1_toxicity
 from tessera.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op3_pii": op3_pii,
     "op5_decontaminate": op5_decontaminate,
