@@ -6,6 +6,7 @@ from tessera.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tessera.llm.extract import op6_extract
 from tessera.llm.mixing import OP2_SQL, op2_mix_sources
 from tessera.llm.near_dedup import OP9_SQL, op9_near_dedup
+from tessera.llm.ngram import op4_lm_scores
 from tessera.llm.pii import op3_pii
 from tessera.llm.quality import op8_quality
 from tessera.llm.secrets import op7_secret_scan
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op3_pii": op3_pii,
+    "op4_lm_scores": op4_lm_scores,
     "op5_decontaminate": op5_decontaminate,
     "op6_extract": op6_extract,
     "op7_secret_scan": op7_secret_scan,
