@@ -50,8 +50,8 @@ def average_rank(column: str, by: list[str]) -> Column:
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Rank correlation per group; null with under two rows or without variance."""
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"__x__": average_rank(x, by), "__y__": average_rank(y, by)})
-    varied = (F.count("*") >= 2) & (F.max("__x__") > F.min("__x__")) & (F.max("__y__") > F.min("__y__"))
-    return ranked.groupBy(*by).agg(F.when(varied, F.corr("__x__", "__y__")).alias("rho"), F.count("*").alias("n"))
+    spread = F.nullif(F.stddev_pop("__x__") * F.stddev_pop("__y__"), F.lit(0.0))
+    return ranked.groupBy(*by).agg((F.covar_pop("__x__", "__y__") / spread).alias("rho"), F.count("*").alias("n"))
 
 
 def sign_flip_test(df: DataFrame, value: str, id: str, trials: int, seed: int) -> DataFrame:
