@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import activation, statistics, text, vectors
 from tessera.functions.arrow import hash_embedder, visible_html
-from tessera.operators import dynamics, graph, permutation, tables, territories
+from tessera.functions.embedding import HashEmbedder, embed_chunks
+from tessera.operators import corpus, dynamics, graph, permutation, tables, territories, walks
 from tessera.sources import corpus_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -549,3 +550,52 @@ def source_inventory(spark, sf_dir):
     d = graph.degrees(nbrs(spark, sf_dir)).withColumnRenamed("node", "id")
     c = chunks(spark, sf_dir).withColumn("k", F.row_number().over(Window.orderBy("created_at", "id")) - 1).join(d, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     return c.groupBy(F.concat(F.lit("s"), F.col("territory").cast("string")).alias("source")).agg(F.count("*").alias("chunks"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.round(F.avg("degree"), 8).alias("mean_degree"), F.min("k").cast("long").alias("first_rank"), F.max("k").cast("long").alias("last_rank"))
+
+
+# --- corpora, replay, walks, gates and status ------------------------------------------------------------------------
+
+
+@query(f"WITH {_E} SELECT (SELECT count(*) FROM embeddings)::BIGINT AS chunks, (SELECT count(DISTINCT len(embedding)) FROM embeddings)::BIGINT AS dimensions, (SELECT count(*) FROM e)::BIGINT AS edges, (SELECT count(*) FROM (SELECT source AS x FROM e UNION ALL SELECT target FROM e) WHERE x % 11 = 0)::BIGINT AS dangling_edges, (SELECT count(*) FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id % 13 = 0)::BIGINT + 0 AS chunks_without_source".replace("(SELECT count(*) FROM embeddings)::BIGINT", "(SELECT count(*) FROM embeddings WHERE vec_id % 11 <> 0)::BIGINT").replace("FROM embeddings)::BIGINT AS dimensions", "FROM embeddings WHERE vec_id % 11 <> 0)::BIGINT AS dimensions"))
+def corpus_integrity(spark, sf_dir):
+    kept = chunks(spark, sf_dir).where("id % 11 <> 0")
+    return corpus.integrity(kept, kept.where("id % 13 <> 0").select(F.col("id").alias("chunk_id")), edges(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT source, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents WHERE source IN ('src1', 'src2') OR doc_id < 3), s AS (SELECT source, min(k)::BIGINT AS first, max(k)::BIGINT AS last FROM r GROUP BY source)
+SELECT source, first, last, NOT EXISTS (SELECT 1 FROM s o WHERE o.source <> s.source AND o.first <= s.last AND o.last >= s.first) AS confounded FROM s""")
+def order_confounded(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where("source in ('src1', 'src2') or doc_id < 3").select("source", F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"))
+    return corpus.order_confounded(docs).select("source", F.col("first").cast("long"), F.col("last").cast("long"), "confounded")
+
+
+@query(f"""WITH {_E}, {_S} SELECT (SELECT count(*) FROM embeddings)::BIGINT AS chunks, (SELECT count(DISTINCT label) FROM embeddings)::BIGINT AS territories, (SELECT count(*) FROM e)::BIGINT AS edges, (SELECT count(*) FROM (SELECT source FROM e UNION SELECT target FROM e))::BIGINT AS connected, (SELECT sum(heat) FROM st) AS total_heat, (SELECT count(*) FROM st WHERE heat > 0)::BIGINT AS active, (SELECT round(avg(familiarity), 9) FROM st) AS mean_familiarity, (SELECT round(avg(mass), 9) FROM st) AS mean_mass, (SELECT max(event_id) FROM events) AS tick, (SELECT arg_max(coalesce(value, 0), event_id) FROM events) AS energy, (SELECT arg_max(event_type = 'view', event_id) FROM events) AS settled""")
+def status(spark, sf_dir):
+    energy = read(spark, sf_dir, "events").select(F.col("event_id").alias("tick"), F.coalesce("value", F.lit(0.0)).alias("energy"), (F.col("event_type") == "view").alias("settled"))
+    out = corpus.status(chunks(spark, sf_dir), edges(spark, sf_dir), _state(spark, sf_dir), energy)
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_familiarity", "mean_mass")})
+
+
+@query()
+def order_replay(spark, sf_dir):
+    return corpus.replay_orders(chunks(spark, sf_dir).where("id < 120"), 4, 3, threshold=0.2, territory_threshold=0.3)
+
+
+@query(f"""WITH RECURSIVE {_L}, sc AS (SELECT vec_id AS node, (vec_id % 5) / 5.0::DOUBLE AS score FROM embeddings), ww AS (SELECT n.node, n.neighbour, exp(coalesce(score, 0)) AS w FROM n LEFT JOIN sc ON sc.node = n.neighbour),
+wu AS (SELECT *, sum(w) OVER (PARTITION BY node ORDER BY neighbour ROWS UNBOUNDED PRECEDING) AS h, sum(w) OVER (PARTITION BY node) AS t, row_number() OVER (PARTITION BY node ORDER BY neighbour DESC) AS r FROM ww), wr AS (SELECT node, neighbour, (h - w) / t AS lo, CASE WHEN r = 1 THEN 2.0 ELSE h / t END AS hi FROM wu),
+p AS (SELECT vec_id AS walk, 0 AS step, vec_id AS node FROM embeddings WHERE vec_id < 30 UNION ALL SELECT p.walk, p.step + 1, wr.neighbour FROM p JOIN wr ON wr.node = p.node AND ('0x' || sha256('31:' || p.walk || ':' || (p.step + 1))[:12])::UBIGINT::DOUBLE / 281474976710656.0::DOUBLE >= lo AND ('0x' || sha256('31:' || p.walk || ':' || (p.step + 1))[:12])::UBIGINT::DOUBLE / 281474976710656.0::DOUBLE < hi WHERE p.step < 4) SELECT walk, step, node FROM p""")
+def softmax_walks(spark, sf_dir):
+    base = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"))
+    starts = base.where("node < 30").select(F.col("node").alias("walk"), "node")
+    return walks.softmax_walks(_loose(spark, sf_dir), base.withColumn("score", (F.col("node") % 5) / F.lit(5.0)), starts, 4, 31)
+
+
+@query("""SELECT gate, value, passed FROM (VALUES ('p', 0.004::DOUBLE, true), ('tolerance', 0.01, true), ('coverage', 0.8, false), ('absent', NULL, false), ('all', NULL, false)) t(gate, value, passed)""")
+def claim_gates(spark, sf_dir):
+    results = spark.createDataFrame([("omnibus_p", 0.004), ("heat_delta", 0.01), ("coverage", 0.8)], "metric string, value double")
+    return walks.gates(results, {"p": ("omnibus_p", "<=", 0.01), "tolerance": ("heat_delta", "<=", 0.02), "coverage": ("coverage", ">=", 0.9), "absent": ("median", ">", 0.0)})
+
+
+@query()
+def embedded_chunks(spark, sf_dir):
+    cut = tables.chunks_of(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
+    return embed_chunks(cut, lambda: HashEmbedder(64, 900))
