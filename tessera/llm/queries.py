@@ -8,7 +8,7 @@ from tessera.llm.mixing import OP2_SQL, op2_mix_sources
 from tessera.llm.near_dedup import OP9_SQL, op9_near_dedup
 from tessera.llm.ngram import op4_lm_scores
 from tessera.llm.pii import op3_pii
-from tessera.llm.quality import op8_quality
+from tessera.llm.quality import OP8_SQL, op8_quality
 from tessera.llm.secrets import op7_secret_scan
 from tessera.llm.toxicity import op1_toxicity
 from tessera.llm.url_filter import OP10_SQL, op10_url_filter
@@ -29,6 +29,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mix_sources": OP2_SQL,
     "op5_decontaminate": OP5_SQL,
+    "op8_quality": OP8_SQL,
     "op9_near_dedup": OP9_SQL,
     "op10_url_filter": OP10_SQL,
 }
