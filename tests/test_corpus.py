@@ -18,7 +18,7 @@ def test_split_retry_keeps_all_text():
 
 def test_a_source_is_replaced_whole_or_not_at_all(spark):
     cut = spark.createDataFrame([("a", 0, "short"), ("a", 1, "y" * 200), ("b", 0, "fine")], "source string, index long, text string")
-    out = embed_chunks(cut, lambda: HashEmbedder(8, 60))
+    out = embed_chunks(cut, lambda: HashEmbedder(8, 40))
     assert {r.status for r in out.where("source = 'a'").collect()} == {"ok", "too_long"}
     assert {r.source for r in complete_sources(out).collect()} == {"b"}
 
