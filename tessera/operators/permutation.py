@@ -71,3 +71,16 @@ def choice_trials(deltas: DataFrame, trials: int, seed: int, gamma: float = 1.0,
 
     drawn = deltas.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("p", choice_probability(F.col("delta"), gamma, tau))
     return drawn.groupBy("delta").agg(F.max("p").alias("predicted"), F.avg((uniform(seed, F.col("trial"), F.round(F.col("delta") * 10).cast("int")) < F.col("p")).cast("double")).alias("observed"))
+
+
+def top_destination(auc: DataFrame, sources: DataFrame) -> DataFrame:
+    """Per target: the source that gathers most heat among those that aren't its own, ties by the greater name."""
+    own = auc.join(sources.select(F.col("node").alias("target"), F.col("source").alias("origin")), "target").join(sources, "node").where("origin <> source")
+    return own.groupBy("target", "source").agg(F.sum("auc").alias("heat")).groupBy("target").agg(F.max_by("source", F.struct(F.round("heat", 9), "source")).alias("destination"), F.max(F.round("heat", 9)).alias("heat"))
+
+
+def arm_means(paths: DataFrame, value: str) -> DataFrame:
+    """Per trial the mean of ``value`` by arm over matched prefixes, and the difference of the first arm from the second."""
+    means = matched_prefix(paths).groupBy("trial", "arm").agg(F.avg(value).alias("m"))
+    pair = means.groupBy("trial").agg(F.min_by("m", "arm").alias("first"), F.max_by("m", "arm").alias("second"), F.count("*").alias("arms")).where("arms > 1")
+    return pair.select("trial", "first", "second", (F.col("first") - F.col("second")).alias("delta"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import activation, statistics, text, vectors
-from tessera.functions.arrow import hash_embedder, visible_html
+from tessera.functions.arrow import hash_embedder, visible_html, xml_text
 from tessera.functions.embedding import HashEmbedder, embed_chunks
 from tessera.operators import corpus, dynamics, graph, permutation, tables, territories, walks
 from tessera.sources import corpus_files
@@ -599,3 +599,40 @@ def claim_gates(spark, sf_dir):
 def embedded_chunks(spark, sf_dir):
     cut = tables.chunks_of(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
     return embed_chunks(cut, lambda: HashEmbedder(64, 900))
+
+
+@query(r"""WITH d AS (SELECT doc_id, '\input{a/b}\label{x} ' || replace(replace(text, '. ', '. % note 5' || chr(10)), ', ', ' \% \ref{y}, \begin{document} ') AS t FROM documents),
+c AS (SELECT doc_id, regexp_replace(t, '(?m)^((?:[^%\\\n]|\\.)*)%[^\n]*', '\1', 'g') AS t FROM d),
+m AS (SELECT doc_id, regexp_replace(t, '\\(?:input|include|includegraphics|olimport|documentclass|usepackage)\*?(?:\[[^\]]*\])?\{[^}]*\}', ' ', 'g') AS t FROM c)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '\\(?:begin|end)\{(?:document|questions|exercises|solutions)\}', ' ', 'g'), '\\label\{[^}]*\}', ' ', 'g')) AS digest FROM m""")
+def clean_tex(spark, sf_dir):
+    marked = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(". % note 5\n")), F.lit(", "), F.lit(" \\% \\ref{y}, \\begin{document} "))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.clean_tex(F.concat(F.lit("\\input{a/b}\\label{x} "), marked)), 256).alias("digest"))
+
+
+@query()
+def xml_page_text(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", text.collapse(xml_text("html")).alias("text"))
+
+
+@query("""SELECT page_id, NOT regexp_matches(url, '#top$') AS allowed, CASE WHEN regexp_matches(url, '#top$') THEN 'anchor' WHEN regexp_matches(url, '/en/') THEN 'english tree' ELSE 'generic source candidate' END AS reason FROM pages""")
+def allow_rules(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", text.allow_rules(F.col("url"), [("#top$", False, "anchor"), ("/en/", True, "english tree")]).alias("r")).select("page_id", "r.*")
+
+
+@query(f"""WITH {_L}, g AS (SELECT vec_id AS node, 's' || label AS source FROM embeddings), x AS (SELECT a.node AS target, gb.source, round(sum(a.weight), 9) AS heat FROM n a JOIN g ga ON ga.node = a.node JOIN g gb ON gb.node = a.neighbour WHERE ga.source <> gb.source GROUP BY ALL)
+SELECT target, source AS destination, heat FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY heat DESC, source DESC) AS r FROM x) WHERE r = 1""")
+def top_destination(spark, sf_dir):
+    auc = _loose(spark, sf_dir).select(F.col("node").alias("target"), F.col("neighbour").alias("node"), F.col("weight").alias("auc"))
+    sources = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("source"))
+    return permutation.top_destination(auc, sources)
+
+
+@query("""WITH p AS (SELECT conv_id AS trial, role AS arm, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS step, length(text)::DOUBLE AS v FROM conversations), l AS (SELECT trial, min(n) AS n FROM (SELECT trial, arm, max(step) AS n FROM p GROUP BY ALL) GROUP BY trial),
+m AS (SELECT trial, arm, avg(v) AS m FROM p JOIN l USING (trial) WHERE step <= n GROUP BY ALL) SELECT trial, round(arg_min(m, arm), 8) AS first, round(arg_max(m, arm), 8) AS second, round(arg_min(m, arm) - arg_max(m, arm), 8) AS delta FROM m GROUP BY trial HAVING count(*) > 1""")
+def arm_means(spark, sf_dir):
+    from pyspark.sql import Window
+
+    paths = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trial"), F.col("role").alias("arm"), F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).alias("step"), F.length("text").cast("double").alias("v"))
+    out = permutation.arm_means(paths, "v")
+    return out.select("trial", *[F.round(c, 8).alias(c) for c in ("first", "second", "delta")])
