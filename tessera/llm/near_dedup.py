@@ -12,11 +12,12 @@ to the pivots, and a group of copies never becomes all its pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +28,11 @@ from tessera.llm.components import connected_components
 
 #: SetSketch parameters: base, rate and register limit.
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
-BANDS, ROWS = 32, 4
-#: Pairs estimated this far below the threshold (over five standard errors of 128 registers) are not verified.
-MARGIN = 0.2
+REGISTERS, BANDS, ROWS = 256, 32, 4
+#: Pairs estimated this far below the threshold (six standard errors of 256 registers) are not verified.
+MARGIN = 0.15
+#: Bits of the parity sketch.
+PARITY = 2048
 MOST_BROADCAST_KEYS = 1 << 20
 
 
@@ -78,6 +81,14 @@ class SetSketch:
         return np.clip(np.floor(1 - np.log(np.maximum(least, 1e-300)) / np.log(BASE)), 0, LIMIT + 1).astype(np.uint16)
 
 
+def parity_sketches(row: np.ndarray, sets: np.ndarray, n: int) -> np.ndarray:
+    """Per row ``PARITY`` bits, each the parity of the shingles that fall on it. Two rows' bits differ in at most as many places
+    as their sets differ in shingles, so they rule out links without ever ruling out a true one."""
+    bit = (mix64(sets ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(PARITY - 1)).astype(np.int64)
+    odd = np.bincount(row * PARITY + bit, minlength=n * PARITY).reshape(n, PARITY) & 1
+    return np.packbits(odd.astype(bool), axis=1)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Joint maximum-likelihood Jaccard estimates of register rows, the set sizes known."""
     above, below = (a > b).sum(1)[:, None], (a < b).sum(1)[:, None]
@@ -93,7 +104,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 def _sketcher(size: int) -> Callable[[], Callable[[pa.Array], list]]:
     def make():
-        hasher, sketch = WordHasher(SPACE_BYTES), SetSketch(BANDS * ROWS)
+        hasher, sketch = WordHasher(SPACE_BYTES), SetSketch(REGISTERS)
 
         def run(texts: pa.Array) -> list:
             n = len(texts)
@@ -103,12 +114,13 @@ def _sketcher(size: int) -> Callable[[], Callable[[pa.Array], list]]:
             starts = (np.cumsum(count) - count)[filled]
             digests = np.zeros((2, n), np.uint64)
             registers: list[bytes | None] = [None] * n
+            odd = np.concatenate([np.zeros((0, PARITY // 8), np.uint8), *(parity_sketches(row[(row >= k) & (row < k + 1024)] - k, sets[(row >= k) & (row < k + 1024)], min(1024, n - k)) for k in range(0, n, 1024))])
             if len(filled):
                 digests[0, filled] = np.add.reduceat(mix64(sets), starts)
                 digests[1, filled] = np.add.reduceat(mix64(sets ^ np.uint64(0x5851F42D4C957F2D)), starts)
                 for k, r in zip(filled.tolist(), sketch.registers(sets, starts), strict=True):
                     registers[k] = r.tobytes()
-            return [count.tolist(), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), registers]
+            return [count.tolist(), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), registers, [x.tobytes() for x in odd]]
 
         return run
 
@@ -144,7 +156,8 @@ def _buckets(classes: DataFrame) -> DataFrame:
         salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
             if batch.num_rows:
-                regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(batch.num_rows, BANDS, ROWS).astype(np.uint64)
+                regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS)
+                regs = regs[:, : BANDS * ROWS].reshape(batch.num_rows, BANDS, ROWS).astype(np.uint64)
                 h = np.broadcast_to(salt, regs.shape[:2]).copy()
                 for k in range(ROWS):
                     h = mix64(h ^ regs[:, :, k])
@@ -187,7 +200,7 @@ def _sets_of(docs: DataFrame, id: str, text: str, classes: DataFrame, needed: Da
     return found.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).dropDuplicates(["node"]).select("node", "shingles")
 
 
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, pivots: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, pivots: tuple[int, ...] = (1, 4)) -> DataFrame:
     """One row per document: ``id``, n_shingles, component_id (least id reachable over links, its own included), kept.
 
     Words are runs without ASCII white space, A-Z as a-z; a document's set is its distinct ``size``-word shingles, or its whole
@@ -196,11 +209,11 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     are all kept). Rows with a null id belong to the component of their set; its id ignores nulls. An empty table gives none.
     """
     spark = docs.sparkSession
-    fields = [field("n", "long"), field("d1", "long"), field("d2", "long"), field("registers", "binary")]
+    fields = [field("n", "long"), field("d1", "long"), field("d2", "long"), field("registers", "binary"), field("odd", "binary")]
     source = docs.select(F.col(f"`{id}`").alias("__id__"), F.col(f"`{text}`").alias("__text__"))
     rows = materialize(annotate(source, "__text__", _sketcher(size), fields, ["__id__"]).withColumn("uid", F.monotonically_increasing_id()), "sketches")
     filled = rows.where("n > 0")
-    classes = materialize(filled.groupBy("d1", "d2").agg(F.min("uid").alias("node"), F.min("__id__").alias("low"), F.any_value("registers").alias("registers"), F.any_value("n").alias("n")), "classes")
+    classes = materialize(filled.groupBy("d1", "d2").agg(F.min("uid").alias("node"), F.min("__id__").alias("low"), F.any_value("registers").alias("registers"), F.any_value("odd").alias("odd"), F.any_value("n").alias("n")), "classes")
     owned = _component_of(spark, source, "__id__", "__text__", classes, size, percent, pivots)
     by_class = classes.join(owned, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"), "low")
     lows = by_class.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -231,25 +244,64 @@ def drop_near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "te
     return out.join(twice, out[f"`{id}`"].eqNullSafe(F.col("__id__")), "left_anti").unionByName(several)
 
 
-def _component_of(spark: SparkSession, docs: DataFrame, id: str, text: str, classes: DataFrame, size: int, percent: int, pivots: int) -> DataFrame:
-    """(node, component) of the classes that have a link."""
+def _signed(classes: DataFrame) -> DataFrame:
+    """(node, n, sig, odd) in longs, so that a join can compare sketches by itself: the low four bits of a mixed register each,
+    and the parity bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = lambda x, n: pa.FixedSizeListArray.from_arrays(pa.array(x), n).cast(pa.list_(pa.int64()))
+        for batch in batches:
+            if batch.num_rows:
+                regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, 16).astype(np.uint64)
+                sig = np.bitwise_or.reduce((mix64(regs) & np.uint64(15)) << np.arange(0, 64, 4, dtype=np.uint64), axis=1).view(np.int64)
+                odd = np.frombuffer(b"".join(batch.column("odd").to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), longs(sig, REGISTERS // 16), longs(odd, PARITY // 64)], names=["node", "n", "sig", "odd"])
+
+    return classes.select("node", "n", "registers", "odd").mapInArrow(run, "node long, n long, sig array<long>, odd array<long>")
+
+
+def _could_link(a: str, b: str, percent: int) -> Column:
+    """Sizes that allow the threshold, parity bits that allow the difference it allows (at most that many places, and no more
+    than six deviations over what it would flip), and registers within ``MARGIN``: those differ in 15 of 16 cases."""
+    fits = (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent)
+    both = lambda name, k: F.col(f"{a}.{name}")[k].bitwiseXOR(F.col(f"{b}.{name}")[k])
+    allowed = (F.col(f"{a}.n") + F.col(f"{b}.n")) * ((100 - percent) / (100 + percent))
+    flipped = reduce(lambda x, y: x + y, [F.bit_count(both("odd", k)) for k in range(PARITY // 64)])
+    expected = PARITY / 2 * (1 - F.exp(-2 * allowed / PARITY))
+
+    def differing(k: int) -> Column:
+        x = both("sig", k)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    total = reduce(lambda x, y: x + y, map(differing, range(REGISTERS // 16)))
+    return fits & (flipped <= F.least(allowed + 1e-6, expected + 3 * PARITY**0.5)) & (total <= int(REGISTERS * (1 - percent / 100 + MARGIN) * 15 / 16))
+
+
+def _component_of(spark: SparkSession, docs: DataFrame, id: str, text: str, classes: DataFrame, size: int, percent: int, pivots: tuple[int, ...]) -> DataFrame:
+    """(node, component) of the classes that have a link.
+
+    ``pivots`` gives how many nodes of a bucket the others are compared with, turn by turn: the most central, those in the
+    largest buckets, near what a group was copied from. A last turn compares what no link has joined.
+    """
     cells = materialize(_buckets(classes), "cells")
-    shared = cells.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    shared = cells.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     cells = materialize(cells.join(shared, "bucket"), "shared")
-    sets = materialize(_sets_of(docs, id, text, classes, cells.select("node").distinct(), size), "sets")
+    nodes = cells.groupBy("node").agg(F.sum("c").alias("central")).join(_signed(classes), "node")
+    cells = materialize(cells.select("bucket", "node").join(nodes, "node").select("bucket", F.struct("node", "n", "sig", "odd", "central").alias("x")), "cells")
+    sets = materialize(_sets_of(docs, id, text, classes, cells.select("x.node").distinct(), size), "sets")
     edges = spark.createDataFrame([], "a long, b long")
     joined = spark.createDataFrame([], "node long, component long")
-    for turn in range(pivots + 1):
-        labelled = cells.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "component")).alias("pivot")
-        split = labelled.groupBy("bucket").agg(chosen, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        apart = labelled.join(split, "bucket")
-        if turn < pivots:
-            pairs = apart.where("component <> pivot.component").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        else:
-            left = materialize(apart.select("bucket", "node", "component"), "apart")
-            other = left.select("bucket", F.col("node").alias("b"), F.col("component").alias("other"))
-            pairs = left.join(other, "bucket").where("node < b and component <> other").select(F.col("node").alias("a"), "b")
+    for most in (*pivots, 0):
+        labelled = cells.join(joined, F.col("x.node") == joined["node"], "left").select("bucket", "x", F.coalesce("component", "x.node").alias("component"))
+        split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        left = materialize(labelled.join(split, "bucket"), "apart")
+        other = left.select("bucket", F.col("x").alias("y"), F.col("component").alias("other"))
+        if most:
+            other = other.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("y.central").desc(), "y.node"))).where(F.col("rank") <= most).drop("rank")
+        apart = (F.col("component") != F.col("other")) & (F.lit(True) if most else F.col("x.node") < F.col("y.node"))
+        pairs = left.join(other, "bucket").where(apart & _could_link("x", "y", percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         found = materialize(_verified(pairs.distinct(), classes, sets, percent), "links")
         edges = edges.union(found)
         joined = materialize(connected_components(edges), "joined")
