@@ -27,7 +27,8 @@ from tessera.llm._storage import materialize
 from tessera.llm._words import SPACE_BYTES, WordHasher, mix64
 
 END, BEGIN = mix64(np.array([0xE0D, 0xB0B], np.uint64))
-CHUNK_TOKENS = 3_000_000
+#: Tokens whose pairs are aggregated before the shuffle; a worker holds about 150 bytes for each.
+CHUNK_TOKENS = 1_500_000
 
 
 def tokens(hasher: WordHasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,11 +81,13 @@ class _Pairs:
     def __init__(self, words: np.ndarray, contexts: np.ndarray, heavy: np.ndarray, ranges: int):
         by_word = np.argsort(words)
         first = _starts(words[by_word])
-        number = np.empty(len(words), np.uint64)
-        number[by_word] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words)))).astype(np.uint64)
-        key = (number << np.uint64(32)) | contexts
+        key = np.empty(len(words), np.uint64)
+        key[by_word] = np.repeat(np.arange(len(first), dtype=np.uint64) << np.uint64(32), np.diff(np.append(first, len(words))))
+        del by_word
+        key |= contexts
         order = np.argsort(key, kind="stable")
         at = _starts(key[order])
+        del key
         size = np.diff(np.append(at, len(order)))
         w, u = words[order[at]], contexts[order[at]]
         r = _range_of(w, u, heavy, ranges)
@@ -107,18 +110,24 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
     """(ids, held-out flags, document of each token, token, context) of about CHUNK_TOKENS tokens; documents stay whole."""
     hasher = WordHasher(SPACE_BYTES)
     ids, held, parts, size = [], [], [], 0
+
+    def joined() -> list[np.ndarray]:
+        out = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        parts.clear()
+        return out
+
     for batch in batches:
         for piece in pieces(batch, "__text__"):
             rows, w, u = tokens(hasher, piece.column("__text__"))
-            parts.append((rows + len(ids), w, u))
+            parts.append(((rows + len(ids)).astype(np.int32), w, u))
             ids += piece.column("__id__").to_pylist()
             held += piece.column("__held__").to_pylist()
             size += len(w)
             if size >= CHUNK_TOKENS:
-                yield ids, np.array(held, bool), *(np.concatenate(x) for x in zip(*parts, strict=True))
-                ids, held, parts, size = [], [], [], 0
+                yield ids, np.array(held, bool), *joined()
+                ids, held, size = [], [], 0
     if ids:
-        yield ids, np.array(held, bool), *(np.concatenate(x) for x in zip(*parts, strict=True))
+        yield ids, np.array(held, bool), *joined()
 
 
 def _heavy_words(source: DataFrame, ranges: int) -> np.ndarray:
