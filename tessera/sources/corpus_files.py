@@ -70,7 +70,7 @@ def harvest(files: DataFrame) -> DataFrame:
     out = files.withColumn("cleaned", cleaned(F.col("path"), F.col("text")))
     reason = F.coalesce(T.path_reject(F.col("path")), F.when(F.col("text").isNull(), "not valid UTF-8"), T.content_reject(T.extension(F.col("path")), F.col("text"), F.col("cleaned")))
     out = out.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "KEEP").otherwise("REJECT"))
-    words = F.when(F.col("status") == "KEEP", F.size(F.regexp_extract_all("cleaned", F.lit("([A-Za-z][A-Za-z'-]*)")))).otherwise(0)
+    words = F.when(F.col("status") == "KEEP", F.size(F.regexp_extract_all("cleaned", F.lit(T.WORD)))).otherwise(0)
     return out.select("status", "path", F.coalesce("reason", F.lit("admitted")).alias("reason"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes_in"), F.when(F.col("status") == "KEEP", F.octet_length("cleaned")).otherwise(0).cast("long").alias("bytes_out"), words.cast("long").alias("words"))
 
 

@@ -1,6 +1,5 @@
 import math
 import os
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,51 +9,21 @@ from tessera.operators import dynamics, graph, permutation, tables, territories
 from tessera.sources import corpus_files
 
 
-def split_long(s, most):
-    out, open_ = [], ""
-    for x in re.split(r"(?<=[.!?])\s+", s):
-        if len(x) > most:
-            out += [open_] if open_ else []
-            open_ = ""
-            width = -(-len(x) // -(-len(x) // most))
-            out += [x[i : i + width] for i in range(0, len(x), width)]
-        elif len(joined := f"{open_} {x}" if open_ else x) <= most:
-            open_ = joined
-        else:
-            out += [open_] if open_ else []
-            open_ = x
-    return out + ([open_] if open_ else [])
-
-
-def chunks(s, most, least):
-    raw, open_ = [], ""
-    for p in filter(None, (p.strip() for p in re.split(r"\n\s*\n", s))):
-        joined = f"{open_}\n\n{p}" if open_ else p
-        if len(joined) <= most:
-            open_ = joined
-            continue
-        raw += [open_] if open_ else []
-        open_ = p if len(p) <= most else ""
-        raw += split_long(p, most) if len(p) > most else []
-    raw += [open_] if open_ else []
-    out = []
-    for c in raw:
-        if out and len(c) < least and len(out[-1]) + 2 + len(c) <= most:
-            out[-1] += "\n\n" + c
-        else:
-            out.append(c)
-    return out
-
-
-def test_chunks_equal_a_plain_fold(spark):
-    words = "One sentence here. Another, longer one follows it! Is this the third? " * 9
-    texts = [None, "", " \n\n ", "short", words, "a\n\nb\n\n" + words + "\n \nend.", "x" * 701, "x" * 130 + ". y\n\n" + "tail"]
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    for most in (60, 300):
-        got = {r.id: r.c for r in df.select("id", text.chunks(F.col("text"), most, 20).alias("c")).collect()}
-        for k, t in enumerate(texts):
-            assert got[k] == chunks(t or "", most, 20)
-            assert all(len(c) <= most for c in got[k])
+def test_chunks(spark):
+    def cut(t, most, least):
+        return spark.createDataFrame([(t,)], "text string").select(text.chunks(F.col("text"), most, least).alias("c")).first().c
+
+    assert cut(None, 60, 20) == cut("", 60, 20) == cut(" \n\n ", 60, 20) == []
+    assert cut("One. Two.\n\nThree.", 60, 5) == ["One. Two.\n\nThree."]
+    assert cut("First one here. Second one here. Third.", 20, 1) == ["First one here.", "Second one here.", "Third."]
+    assert cut("A first sentence. " + "y" * 25 + " end.", 12, 1) == ["A first s", "entence.", "y" * 10, "y" * 10, "yyyyy end."]
+    # a short tail joins what is before it, where it fits
+    assert cut("x" * 30 + "\n\n" + "y" * 29 + "\n\ntail", 36, 20) == ["x" * 30, "y" * 29 + "\n\ntail"]
+    for n, most in ((5000, 300), (5003, 400)):
+        pieces = cut("x" * n, most, 80)
+        assert "".join(pieces) == "x" * n and max(map(len, pieces)) <= most and max(map(len, pieces)) - min(map(len, pieces)) < most / 2
+    prose = " ".join(f"Sentence number {k} is in here." for k in range(200))
+    assert " ".join(cut(prose, 300, 80)) == prose
 
 
 def test_capacity_and_separation(spark):
