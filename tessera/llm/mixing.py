@@ -54,7 +54,7 @@ def _prefix(df: DataFrame, keys: list[str], chunk: str, order: list, value: Colu
     return own.withColumn("__i__", F.coalesce(F.sum("__v__").over(inside), F.lit(0))).join(starts, [*keys, chunk]).withColumn(name, F.col("__s__") + F.col("__i__")).drop("__v__", "__i__", "__s__")
 
 
-def mix_sources(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", most: int = 3, block_words: int = 4096, least_blocks: int = 1024, seed: int = 7, chunk_rows: int = 1 << 16, most_broadcast_sources: int = 1 << 14) -> DataFrame:
+def mix_sources(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", most: int = 3, block_words: int = 4096, least_blocks: int = 1024, seed: int = 7, chunk_rows: int = 1 << 12, most_broadcast_sources: int = 1 << 14) -> DataFrame:
     """One row per document: ``id``, source, size, source_size, target, taken (words the mix takes of it, repeats counted).
 
     Null texts have size 0. Sources need not be known beforehand; null is one. Sources without words have target 0. Documents of
