@@ -28,7 +28,7 @@ from tessera.llm._words import SPACE_BYTES, WordHasher, mix64
 
 END, BEGIN = mix64(np.array([0xE0D, 0xB0B], np.uint64))
 #: Tokens whose pairs are aggregated before the shuffle; a worker holds about 150 bytes for each.
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 1_000_000
 
 
 def tokens(hasher: WordHasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,6 +126,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
             if size >= CHUNK_TOKENS:
                 yield ids, np.array(held, bool), *joined()
                 ids, held, size = [], [], 0
+                pa.default_memory_pool().release_unused()
     if ids:
         yield ids, np.array(held, bool), *joined()
 
