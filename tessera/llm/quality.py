@@ -7,6 +7,8 @@ wrong or missing language label doesn't matter; below a minimum length a histogr
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,12 @@ def js_distance(shares: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(shares, F.array(*map(F.lit, reference)), term), F.lit(0.0), lambda t, x: t + x) / 2))
 
 
+def _wordless_distance(reference: dict[str, float]) -> float:
+    """The distance of a text with none of a language's common words."""
+    rest = 1 - sum(reference.values())
+    return math.sqrt((1 - rest + rest * math.log2(rest) - (1 + rest) * math.log2((1 + rest) / 2)) / 2)
+
+
 def _repeated_words(grams: Column) -> Column:
     """Words covered by the windows (their starts in order) whose text occurs twice or more."""
     keyed = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
@@ -52,10 +60,12 @@ def _repeated_words(grams: Column) -> Column:
     return F.transform(F.array(starts), lambda p: F.when(F.size(p) > 0, steps(p)).otherwise(F.lit(0).cast("long")))[0]
 
 
-def measure_quality(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_words: int = 50, class_chars: int = 200, common_words: int = 100, most_class_distance: float = 0.3, most_word_distance: float = 0.4) -> DataFrame:
+def measure_quality(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_words: int = 50, class_chars: int = 200, common_words: int = 100, most_class_distance: float = 0.3, most_word_distance: float = 0.4, most_word_share: float | None = 0.9) -> DataFrame:
     """``keep`` columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
     word_distance (null below ``class_chars`` characters and ``common_words`` words) and kept.
 
+    A text without any common word is only 0.32 to 0.41 away from a language, below ``most_word_distance``. So a text also goes if
+    its distance is over ``most_word_share`` of what such a text would have, in every language; None leaves that out.
     A null text has no words and fails; an empty or blank one too. Repeated rows are judged alike, each for itself.
     """
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"}
@@ -95,13 +105,17 @@ def measure_quality(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...
         own = F.array(*[F.get("__words__", every.index(w)) for w in reference])
         return js_distance(F.concat(own, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(own, F.lit(0.0), lambda t, x: t + x)))), [*reference.values(), 1 - sum(reference.values())])
 
+    share = lambda ref: by_words(ref) / F.lit(_wordless_distance(ref))
+    few = F.lit(False) if most_word_share is None else (F.col("n_words") >= common_words) & (F.least(*map(share, WORD_SHARES.values())) > most_word_share)
+    step = step.withColumn("__few__", few)
     step = step.withColumns({"base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")), "class_distance": F.when(F.col("__n__") >= class_chars, by_class), "word_distance": F.when(F.col("n_words") >= common_words, F.least(*map(by_words, WORD_SHARES.values())))})
-    far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > most_class_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > most_word_distance)
+    far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > most_class_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > most_word_distance) | F.col("__few__")
     return step.withColumn("kept", ~F.col("base_failed") & ~far).select(*[F.col(f"`{c}`") for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
-    return measure_quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_distance", "word_distance")
+    """Without ``most_word_share``, as in its SQL: there texts without common words are kept."""
+    return measure_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), most_word_share=None).drop("class_distance", "word_distance")
 
 
 def _sql() -> str:

@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from tessera.llm.quality import measure_quality
+from tessera.llm.quality import WORD_SHARES, measure_quality
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -30,6 +30,12 @@ PROSE = {
 }
 
 
+SECOND = {
+    "en": "In the morning the rain was over and the river had gone down. The first train of the day was full, and a boy in a grey coat gave the old man what he had waited for, with a stamp that nobody in the town had seen before.",
+    "de": "Am Morgen war der Regen vorbei und das Wasser in dem Fluss war gefallen. Der erste Zug des Tages war voll, und ein Junge mit einem grauen Mantel gab dem alten Mann den Brief, auf den er in all den Nächten gewartet hatte, und ging dann zu den anderen Leuten.",
+}
+
+
 def test_prose_stays_and_junk_goes(spark):
     junk = " ".join(w + "***%%%$$$" for w in PROSE["en"].split())
     docs = spark.createDataFrame([(0, PROSE["en"]), (1, PROSE["de"]), (2, junk), (3, PROSE["en"].upper())], "doc_id long, text string")
@@ -37,6 +43,16 @@ def test_prose_stays_and_junk_goes(spark):
     assert got == {0: True, 1: True, 2: False, 3: False}
 
 
+def test_long_text_without_common_words_goes(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("etaoinshrdlucmfwypvbgk") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    gibberish = " ".join(w for w in words if w not in {x for ref in WORD_SHARES.values() for x in ref})
+    docs = spark.createDataFrame([(0, gibberish), (1, PROSE["en"] + " " + SECOND["en"]), (2, PROSE["de"] + " " + SECOND["de"])], "doc_id long, text string")
+    got = {x.doc_id: x for x in measure_quality(docs).collect()}
+    assert {k: x.kept for k, x in got.items()} == {0: False, 1: True, 2: True}
+    assert not any(x.base_failed or x.class_distance > 0.3 for x in got.values()) and all(x.word_distance is not None for x in got.values())
+
+
 def test_odd_rows_and_empty_tables(odd_docs, no_docs):
     got = measure_quality(odd_docs, keep=tuple(odd_docs.columns)).collect()
     assert len(got) == 9 and not any(r.kept for r in got if r.doc_id in (1, 2, 3))
