@@ -1,8 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
 Every text is a first layer. Encoded segments of a layer (percent escapes, backslash-u escapes, base64, compressed bytes) are
-decoded into new layers, each with a map back to the code points of the original text, until no new layer appears. Layers
-already seen are not opened again, so cycles end. Each layer is scanned by the same rules.
+decoded into new layers, each with a map back to the code points of the original text, until no new layer appears. A layer
+already seen at the same place is not opened again, so cycles end. Each layer is scanned by the same rules.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import base64
 import binascii
 import re
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,6 +58,10 @@ class Layer:
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
 
+    def place(self) -> tuple[str, int, int]:
+        """What a cycle comes back to: the text and what it covers of the original."""
+        return (self.text, *self.span(0, len(self.text)))
+
 
 def _printable(data: bytes) -> str | None:
     try:
@@ -135,18 +140,21 @@ def scan(text: str, most: int = 1 << 26) -> list[tuple[str, int, int, str]]:
     found = [(k, a, b, "") for k, a, b in base_matches(text)]
     if not _NEEDS_DECODING.search(text):
         return found
-    have = {(k, a, b) for k, a, b, _ in found}
-    seen, work = {text}, deque([Layer(text, None, None, ())])
+    # those of a kind never overlap, so the last one that starts before an end is the only one to look at
+    have = {kind: sorted((a, b) for k, a, b, _ in found if k == kind) for kind in KINDS}
+    first = Layer(text, None, None, ())
+    seen, work = {first.place()}, deque([first])
     while work:
         for below in _unwrapped(work.popleft(), most):
-            if below.text in seen:
+            if below.place() in seen:
                 continue
-            seen.add(below.text)
+            seen.add(below.place())
             work.append(below)
             for kind, a, b in base_matches(below.text):
                 start, end = below.span(a, b)
-                if not any(k == kind and s < end and start < e for k, s, e in have):
-                    have.add((kind, start, end))
+                at = bisect_left(have[kind], (end,))
+                if not at or have[kind][at - 1][1] <= start:
+                    have[kind].insert(at, (start, end))
                     found.append((kind, start, end, ">".join(below.chain)))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -38,5 +38,12 @@ def test_loops_and_bombs_end():
     assert scan(bomb, most=1 << 20) == []
 
 
+def test_equal_segments_at_other_places_are_reported_too():
+    for data in (SECRET.encode(), zlib.compress(SECRET.encode())):
+        form = base64.b64encode(data).decode()
+        text = f"one {form} two {form} three {form}"
+        assert [x[1:3] for x in scan(text)] == [m.span() for m in re.finditer(re.escape(form), text)]
+
+
 def test_odd_rows_and_empty_tables(odd_docs, no_docs):
     assert find_secrets(odd_docs).count() == 9 and find_secrets(no_docs).count() == 0
