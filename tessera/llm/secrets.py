@@ -11,7 +11,7 @@ import base64
 import binascii
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +30,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BETWEEN = re.compile(r"[+/_-]")
+_LEAST = 16
 _NEEDS_DECODING = re.compile(r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{16}")
 
 
@@ -71,9 +73,13 @@ def _printable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
+def _packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0)
+
+
 def _inflate(data: bytes, most: int) -> bytes | None:
     """Zlib, gzip or nothing; output beyond ``most`` bytes is refused, so a bomb can't fill a worker."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
+    if _packed(data):
         try:
             unpack = zlib.decompressobj(47)
             out = unpack.decompress(data, most)
@@ -93,6 +99,52 @@ def _base64_bytes(segment: str) -> bytes | None:
         return None
 
 
+def _text_bytes(data: bytes) -> int:
+    """How many of the first bytes are UTF-8."""
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return e.start
+    return len(data)
+
+
+def _segments(run: str) -> Iterator[tuple[int, int]]:
+    """Where base64 may lie in a run of its letters: the whole, each piece between two of ``+/_-`` (paths, options), and, as
+    base64 may hold these itself, from each of them as far as the bytes are text, or to the end if they are compressed."""
+    yield 0, len(run)
+    body = len(run.rstrip("="))
+    cuts = [m.start() for m in _BETWEEN.finditer(run)]
+    if not cuts:
+        return
+    tried = {(0, len(run))}
+    starts, ends = [0, *(c + 1 for c in cuts)], [*cuts, len(run)]
+    for a, b in zip(starts, ends, strict=True):
+        if b - a >= _LEAST:
+            tried.add((a, b))
+            yield a, b
+    within: dict[int, int] = {}
+    for a in starts:
+        head = _base64_bytes(run[a : a + _LEAST]) if body - a >= _LEAST else None
+        # what starts a whole number of letters groups into a segment is a part of it
+        if head is None or a < within.get(a % 4, 0):
+            continue
+        last = len(run) if (body - a) % 4 != 1 else body - 1
+        if _packed(head):
+            b = last
+        elif _text_bytes(head) < len(head) - 3:
+            continue
+        else:
+            data = _base64_bytes(run[a:last]) or b""
+            n = _text_bytes(data)
+            k = bisect_right(ends, a + -(-n * 4 // 3)) - 1
+            while k > 0 and (ends[k] - a) % 4 == 1:
+                k -= 1
+            b = within[a % 4] = last if n == len(data) else ends[k]
+        if b - a >= _LEAST and (a, b) not in tried:
+            tried.add((a, b))
+            yield a, b
+
+
 def _unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
     """The layers one step below: the text with all escapes of one kind resolved, and each base64 segment that holds text."""
     for name, pattern in (("percent", _PERCENT), ("escape", _ESCAPE)):
@@ -123,14 +175,14 @@ def _unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
                 starts.append(a)
                 ends.append(b)
             yield Layer("".join(pieces) + layer.text[at:], starts, ends, (*layer.chain, name))
-    for m in _BASE64.finditer(layer.text):
-        data = _base64_bytes(m[0])
+    for m, (a, b) in ((m, s) for m in _BASE64.finditer(layer.text) for s in _segments(m[0])):
+        data = _base64_bytes(m[0][a:b])
         if not data:
             continue
         packed = _inflate(data, most)
         text = _printable(data if packed is None else packed)
         if text:
-            a, b = layer.span(*m.span())
+            a, b = layer.span(m.start() + a, m.start() + b)
             yield Layer(text, [a] * len(text), [b] * len(text), (*layer.chain, "base64" if packed is None else "base64+inflate"))
 
 

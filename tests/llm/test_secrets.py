@@ -45,5 +45,22 @@ def test_equal_segments_at_other_places_are_reported_too():
         assert [x[1:3] for x in scan(text)] == [m.span() for m in re.finditer(re.escape(form), text)]
 
 
+def test_segments_in_assignments_queries_and_paths():
+    slashed = base64.b64encode("é?~?~?> ".encode() + SECRET.encode()).decode()
+    assert re.search("[+/]", slashed)
+    for form in (base64.b64encode(SECRET.encode()).decode(), slashed, base64.b64encode(zlib.compress(SECRET.encode())).decode(), base64.urlsafe_b64encode("~?~?é ".encode() + SECRET.encode()).decode()):
+        for before, after in (("data=", ""), ("https://a.example/?d=", "&y=1"), ("KEY=", "\n"), ("https://a.b/", ""), ("x/some-path/of_it/", " "), ("https://a.b/", "/get-it"), ("a=", "=b")):
+            found = [x for x in scan(before + form + after) if x[0] == "assign" and x[3]]
+            assert found, (before, form, after)
+            assert found[0][1] < len(before + form) and len(before) < found[0][2]
+
+
+def test_long_runs_of_letters_end():
+    r = random.Random(6)
+    run = "".join(r.choice("ABCDEFGHIJabcdefghij0123456789+/_-") for _ in range(200_000))
+    assert scan(run) == []
+    assert scan("enp6" * 20_000 + "/" + "Yf8v" * 20_000) == []
+
+
 def test_odd_rows_and_empty_tables(odd_docs, no_docs):
     assert find_secrets(odd_docs).count() == 9 and find_secrets(no_docs).count() == 0
