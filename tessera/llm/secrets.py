@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +35,10 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _BETWEEN = re.compile(r"[+/_-]")
 _LEAST = 16
+_CHUNK = 1 << 16
+_DEEPEST = 100
+_LARGE = 1 << 20
+_BREAKS = b"\n\r\t\0,;<>()[]{}|&?!*#$@^`~"
 _NEEDS_DECODING = re.compile(r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{16}")
 
 
@@ -50,43 +56,85 @@ def base_matches(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass
 class Layer:
-    """A decoded text; ``starts[i]``/``ends[i]`` is what character i covers of the original, None where the layer is the original."""
+    """A decoded text; ``starts[i]``/``ends[i]`` is what character i covers of the original, or ``at`` what each of them does; all None
+    where the layer is the original."""
 
     text: str
     starts: list[int] | None
     ends: list[int] | None
     chain: tuple[str, ...]
+    at: tuple[int, int] | None = None
+    forced: tuple[bool, bool] = (False, False)
 
     def span(self, a: int, b: int) -> tuple[int, int]:
+        if self.at:
+            return self.at
         return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
 
-    def place(self) -> tuple[str, int, int]:
-        """What a cycle comes back to: the text and what it covers of the original."""
-        return (self.text, *self.span(0, len(self.text)))
-
-
-def _printable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    def place(self) -> tuple[bytes, int, int]:
+        """What a cycle comes back to: the text (its digest) and what it covers of the original."""
+        return (hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *self.span(0, len(self.text)))
 
 
 def _packed(data: bytes) -> bool:
     return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0)
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    """Zlib, gzip or nothing; output beyond ``most`` bytes is refused, so a bomb can't fill a worker."""
-    if _packed(data):
-        try:
-            unpack = zlib.decompressobj(47)
-            out = unpack.decompress(data, most)
-            return out if unpack.eof else None
-        except zlib.error:
-            return None
-    return None
+def _inflated(pieces: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """What zlib or gzip members in a row hold, at most ``most`` bytes at a time; of a broken one, what comes before the fault."""
+    unpack, left = None, b""
+    for chunk in (piece[k : k + _CHUNK] for piece in pieces for k in range(0, len(piece), _CHUNK)):
+        left += chunk
+        while left:
+            if unpack is None:
+                if len(left) < 3:
+                    break
+                if not _packed(left):
+                    return
+                unpack = zlib.decompressobj(47)
+            try:
+                out = unpack.decompress(left, most)
+                left = unpack.unconsumed_tail
+                while out:
+                    yield out
+                    # all is read, but output may still be held back
+                    out = b"" if unpack.eof or left else unpack.decompress(b"", most)
+            except zlib.error:
+                return
+            if unpack.eof:
+                unpack, left = None, unpack.unused_data
+
+
+def _opened(data: bytes, most: int) -> tuple[int, Iterator[bytes]]:
+    """How often the bytes are compressed, and what is inside. A stream that holds itself ends at once, one that holds ever
+    new streams after ``_DEEPEST``."""
+
+    def at(depth: int) -> Iterator[bytes]:
+        return reduce(lambda pieces, _: _inflated(pieces, most), range(depth), iter([data]))
+
+    depth, head, heads = 0, data, set()
+    while _packed(head) and head not in heads and depth < _DEEPEST:
+        heads.add(head)
+        head = next(at(depth + 1), b"")
+        if not head:
+            break
+        depth += 1
+    return depth, at(depth)
+
+
+def _texts(pieces: Iterator[bytes], most: int) -> Iterator[tuple[str, bool, bool]]:
+    """The bytes as texts of up to ``most`` bytes, cut behind characters that no rule and no encoding contains. Where a text has
+    none, its last quarter is in the next one too; for each text, whether its start and its end are such forced cuts."""
+    held, forced = bytearray(), False
+    for piece in pieces:
+        held += piece
+        while len(held) > most:
+            cut = max(held.rfind(c, 0, most) for c in _BREAKS) + 1
+            yield held[: cut or most].decode("utf-8", "replace"), forced, not cut
+            del held[: cut or most - most // 4]
+            forced = not cut
+    if held:
+        yield held.decode("utf-8", "replace"), forced, False
 
 
 def _base64_bytes(segment: str) -> bytes | None:
@@ -160,7 +208,7 @@ def _unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
                 units = re.findall(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", raw)
                 joined = "".join(chr(int(u or x, 16)) for u, x in units).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
                 chars = [(c, *m.span()) for c in joined]
-            for k in range(at, m.start()):
+            for k in range(at, m.start()) if not layer.at else ():
                 a, b = layer.span(k, k + 1)
                 starts.append(a)
                 ends.append(b)
@@ -169,7 +217,9 @@ def _unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
             starts += [a] * len(chars)
             ends += [b] * len(chars)
             at, changed = m.end(), 1
-        if changed:
+        if changed and layer.at:
+            yield Layer("".join(pieces) + layer.text[at:], None, None, (*layer.chain, name), layer.at)
+        elif changed:
             for k in range(at, len(layer.text)):
                 a, b = layer.span(k, k + 1)
                 starts.append(a)
@@ -179,11 +229,12 @@ def _unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
         data = _base64_bytes(m[0][a:b])
         if not data:
             continue
-        packed = _inflate(data, most)
-        text = _printable(data if packed is None else packed)
-        if text:
-            a, b = layer.span(m.start() + a, m.start() + b)
-            yield Layer(text, [a] * len(text), [b] * len(text), (*layer.chain, "base64" if packed is None else "base64+inflate"))
+        depth, pieces = _opened(data, most)
+        if not depth and _text_bytes(data) < len(data):
+            continue
+        at = layer.span(m.start() + a, m.start() + b)
+        for text, *forced in _texts(pieces, most) if depth else [(data.decode("utf-8"), False, False)]:
+            yield Layer(text, None, None, (*layer.chain, "base64" + "+inflate" * depth), at, tuple(forced))
 
 
 def scan(text: str, most: int = 1 << 26) -> list[tuple[str, int, int, str]]:
@@ -196,18 +247,29 @@ def scan(text: str, most: int = 1 << 26) -> list[tuple[str, int, int, str]]:
     have = {kind: sorted((a, b) for k, a, b, _ in found if k == kind) for kind in KINDS}
     first = Layer(text, None, None, ())
     seen, work = {first.place()}, deque([first])
-    while work:
-        for below in _unwrapped(work.popleft(), most):
-            if below.place() in seen:
+
+    def visit(layer: Layer) -> None:
+        for below in _unwrapped(layer, most):
+            if (place := below.place()) in seen:
                 continue
-            seen.add(below.place())
-            work.append(below)
+            seen.add(place)
             for kind, a, b in base_matches(below.text):
+                # at a forced cut a match may go on; the next text has all of it
+                if (below.forced[0] and not a) or (below.forced[1] and b == len(below.text)):
+                    continue
                 start, end = below.span(a, b)
                 at = bisect_left(have[kind], (end,))
                 if not at or have[kind][at - 1][1] <= start:
                     have[kind].insert(at, (start, end))
                     found.append((kind, start, end, ">".join(below.chain)))
+            # large pieces of a layer don't wait for each other, so that one at a time is held
+            if below.at and len(below.text) > _LARGE:
+                visit(below)
+            else:
+                work.append(below)
+
+    while work:
+        visit(work.popleft())
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -225,7 +287,9 @@ def find_secrets(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
     """``keep`` columns and ``secrets``, an array of (kind, start, end, layer) in code points of the original, end exclusive.
 
     A null text counts as empty and has none. Repeated rows are each reported. Spans from decoded layers carry their chain of
-    encodings. A compressed layer of over ``most_bytes`` is left packed.
+    encodings. Bytes count as text if they are UTF-8; compressed ones (in any depth) are text with odd bytes replaced. A compressed
+    layer of over ``most_bytes`` is scanned in pieces; where nothing in a piece ends a run, a match of over a quarter of a piece
+    is left out and an encoded segment of over a quarter may be cut in two.
     """
     return annotate(docs, text, _make(most_bytes), [field("secrets", "array<struct<kind:string,start:long,end:long,layer:string>>")], keep)
 

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import random
 import re
 import urllib.parse
@@ -62,5 +63,27 @@ def test_long_runs_of_letters_end():
     assert scan("enp6" * 20_000 + "/" + "Yf8v" * 20_000) == []
 
 
+def test_layers_are_opened_to_the_end():
+    b64 = lambda b: base64.b64encode(b).decode()
+    packed = gzip.compress(SECRET.encode())
+    for data in (gzip.compress(packed), zlib.compress(packed), gzip.compress(zlib.compress(packed)), gzip.compress(b"first ") + packed):
+        assert [x[:3] for x in scan(b64(data))] == [("assign", 0, len(b64(data)))]
+    for odd in ("\u00a0", "\u200d", "\f", "\x1b[0m"):
+        assert [x[0] for x in scan(b64(f"le {odd} {SECRET}".encode()))] == ["assign"], odd
+    assert [x[0] for x in scan(b64(("x^2 " + SECRET).encode()))] == ["assign"]
+
+
+def test_large_layers_are_scanned_in_pieces():
+    r = random.Random(9)
+    for k in range(40):
+        noise = lambda n: "".join(r.choice("ghijklmnop, \n") for _ in range(n))  # noqa: B023, E731
+        inner = base64.b64encode(SECRET.encode()).decode() if k % 2 else SECRET
+        data = (noise(3000 + 37 * k) + "\n" + inner + "\n" + noise(5000)).encode()
+        form = base64.b64encode(zlib.compress(data)).decode()
+        assert [x[:3] for x in scan(form, most=1 << 10)] == [("assign", 0, len(form))]
+    solid = zlib.compress(b"z" * 5000 + b" AKIA" + b"Q7" * 10 + b"." + b"z" * 5000)
+    assert [x[0] for x in scan(base64.b64encode(solid).decode(), most=1 << 10)] == ["access"]
+
+
 def test_odd_rows_and_empty_tables(odd_docs, no_docs):
     assert find_secrets(odd_docs).count() == 9 and find_secrets(no_docs).count() == 0
