@@ -2,14 +2,15 @@
 
 Each task indexes the token postings of its own documents (document-partitioned index): every benchmark term's sorted
 positions. A benchmark window is looked up from its rarest term: that term's postings, shifted by its offset, are the
-candidate starts, and the postings of the next rarer terms, shifted likewise, are intersected until none or all are left.
+candidate starts, and the postings of the next rarer terms, shifted likewise, are intersected until none or all are left. A near
+match may lack some terms, so it is looked up from one term more than that.
 Phrases therefore never cross a document, no posting is shuffled and memory is bounded by a piece of the input.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -72,6 +73,32 @@ class PositionalIndex:
         ok = at < len(self.keys)
         return ok & (self.keys[np.minimum(at, len(self.keys) - 1)] <= want + (position + slack - np.maximum(position - slack, 0)))
 
+    def _in_place(self, windows: np.ndarray, order: np.ndarray, win: np.ndarray, start: np.ndarray, ranks: Iterable[int], slack: int, misses: int) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates with all but ``misses`` of the terms of these ranks within ``slack`` of their place."""
+        bad = np.zeros(len(win), np.int64)
+        for k in ranks:
+            off = order[win, k]
+            bad += ~self.near(windows[win, off], start + off, slack)
+            left = bad <= misses
+            win, start, bad = win[left], start[left], bad[left]
+            if not len(win):
+                break
+        return win, start
+
+    def _around(self, windows: np.ndarray, order: np.ndarray, rank: int, slack: int, misses: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates with the term of this rank in its place, some at a time."""
+        anchor = windows[np.arange(len(windows)), order[:, rank]]
+        load = self.counts[anchor]
+        edges = np.searchsorted(np.cumsum(load), np.arange(0, load.sum() + _CANDIDATES, _CANDIDATES))
+        for a, b in zip(edges[:-1], [*edges[1:-1], len(windows)], strict=True):
+            n = load[a:b]
+            if not n.sum():
+                continue
+            win = np.repeat(np.arange(a, b), n)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = (self.keys[self.first[anchor[win]] + within] & ((1 << _POSITION_BITS) - 1)) - order[win, rank]
+            yield self._in_place(windows, order, win, start, (k for k in range(windows.shape[1]) if k != rank), slack, misses)
+
     def find(self, windows: np.ndarray, slack: int = 0, misses: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of each occurrence: all terms in place, or all but ``misses`` within ``slack`` of their place."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -83,25 +110,14 @@ class PositionalIndex:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         df = np.where(df == 0, np.iinfo(np.int64).max, df)[alive] if misses else df[alive]
         order = np.argsort(df, axis=1, kind="stable")
-        anchor = windows[alive, order[:, 0]]
-        load = self.counts[anchor]
-        edges = np.searchsorted(np.cumsum(load), np.arange(0, load.sum() + _CANDIDATES, _CANDIDATES))
-        for a, b in zip(edges[:-1], [*edges[1:-1], len(alive)], strict=True):
-            n = load[a:b]
-            if not n.sum():
-                continue
-            win = np.repeat(np.arange(a, b), n)
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = (self.keys[self.first[anchor[win]] + within] & ((1 << _POSITION_BITS) - 1)) - order[win, 0]
-            bad = np.zeros(len(win), np.int64)
-            for k in range(1, windows.shape[1]):
-                off = order[win, k]
-                bad += ~self.near(windows[alive[win], off], start + off, slack)
-                left = bad <= misses
-                win, start, bad = win[left], start[left], bad[left]
-                if not len(win):
-                    break
-            out.append((alive[win], start))
+        # of one term more than may be missing, one is there; around it, all others lie within twice the slack
+        for rank in range(misses + 1):
+            for win, start in self._around(windows[alive], order, rank, 2 * slack, misses):
+                if slack:
+                    win, start = np.unique(np.stack([win, start]), axis=1)
+                    win, start = np.repeat(win, 2 * slack + 1), (start[:, None] + np.arange(-slack, slack + 1)).ravel()
+                    win, start = self._in_place(windows[alive], order, win, start, range(windows.shape[1]), slack, misses)
+                out.append((alive[win], start))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 

@@ -55,6 +55,39 @@ def test_proximity(spark):
     assert got == {1: (0, 1), 2: (0, 0), 3: (1, 1)}
 
 
+def near_plain(docs, items, slack=2, misses=2):
+    windows = {(i, tuple(w[k : k + 10])) for i, t in items for w in [words(t)] for k in range(max(1, len(w) - 9))}
+    out = {}
+    for d, t in docs:
+        at = {}
+        for p, x in enumerate(words(t)):
+            at.setdefault(x, []).append(p)
+        out[d] = len({i for i, w in windows if len(w) > 2 * misses and any(sum(any(abs(p - s - o) <= slack for p in at.get(x, [])) for o, x in enumerate(w)) >= len(w) - misses for s in range(-9, len(words(t)) + 9))})
+    return out
+
+
+def test_proximity_equals_plain_search_with_many_documents(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(r.sample(vocabulary, 9) + [f"rare{k}"])) for k in range(12)]
+    docs = []
+    for k in range(120):
+        w = items[k % 12][1].split()
+        for at in r.sample(range(10), r.randint(0, 3)):
+            w[at] = "changed"
+        if k % 3 == 0:
+            w[-1] = "changed"
+        for _ in range(r.randint(0, 5)):
+            w.insert(r.randint(1, 9), "more")
+        docs.append((k, " ".join(r.choices(vocabulary, k=5) + w + [f"rare{r.randrange(12)}"])))
+    want = near_plain(docs, items)
+    exact = {k for k, t in docs if any(i in t for _, i in items)}
+    assert sum(n > 0 for k, n in want.items() if k not in exact) > 20
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    assert {x.doc_id: x.n_near_items for x in find_contamination(d, b).collect()} == want
+    assert {x.doc_id: x.n_near_items for x in find_contamination(d, b, most_items=5).collect()} == want
+
+
 def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
     b = spark.createDataFrame([(1, "one and the same"), (2, None)], "item_id long, text string")
     assert rows(find_contamination(odd_docs, b)) == plain([(r.doc_id, r.text) for r in odd_docs.collect()], [(1, "one and the same")])
