@@ -1,9 +1,9 @@
 """Interpolated modified Kneser-Ney bigram scores of every text, from counts over the whole corpus.
 
-Words are 64-bit hashes; a word's predecessors are told apart by 32-bit hashes within that word. The model is stored as sorted
-hash arrays, one row per range of words: the words with their counts and continuation counts, and the contexts that occur in
-the range with their totals and back-off weights. A worker that scores a range maps the arrays of that range from a scratch
-file, so its memory follows the range and not the model.
+Words are 64-bit hashes, contexts 32-bit hashes over the whole corpus: words that share one share their context totals, about
+one word in 2^32 / (distinct words). The model is stored as sorted hash arrays, one row per range of words: the words with their
+counts and continuation counts, and the contexts that occur in the range with their totals and back-off weights. A worker that
+scores a range maps the arrays of that range from a scratch file, so its memory follows the range and not the model.
 
 Three readings of the corpus: heavy words (their pairs are spread over all ranges, so no range holds a hot word), pair counts,
 and scoring. What is shuffled is aggregated before: distinct pairs with the documents they are in, never single tokens.
