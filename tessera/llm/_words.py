@@ -13,6 +13,7 @@ _POWERS = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 
 SPACE_BYTES = (0x20, *range(0x09, 0x0E))
+NON_LETTER_BYTES = (*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))
 NON_ALNUM_BYTES = (*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))
 
 
@@ -67,18 +68,24 @@ class WordHasher:
         values[~self.is_word] = 0
         self.values, self.powers = values, _powers(_POWERS)
 
-    def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each word, hash of each word), in text order."""
+    def spans(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of the column, row of each word, its first byte, the byte after its last), in text order."""
         raw, off = string_buffers(column)
         if not len(raw):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return raw, *(np.zeros(0, np.int64) for _ in range(3))
         inside = self.is_word[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[off] = True
         begins = inside.copy()
         begins[1:] &= ~inside[:-1] | edge[1 : len(raw)]
+        ends = inside
+        ends[:-1] &= ~inside[1:] | edge[1 : len(raw)]
         starts = np.flatnonzero(begins)
-        rows = np.searchsorted(off, starts, "right") - 1
+        return raw, np.searchsorted(off, starts, "right") - 1, starts, np.flatnonzero(ends) + 1
+
+    def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each word, hash of each word), in text order."""
+        raw, rows, starts, _ = self.spans(column)
         hashes = np.empty(len(starts), np.uint64)
         at = 0
         while at < len(starts):
@@ -92,6 +99,19 @@ class WordHasher:
             at = to
         return rows, mix64(hashes)
 
+    def beginnings(self, column: pa.Array, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash) of the first n bytes of each word of over n bytes, for each of ``lengths``; no word has such a hash."""
+        raw, rows, starts, ends = self.spans(column)
+        size, sums = ends - starts, np.zeros(len(starts), np.uint64)
+        found = [(rows[:0], sums[:0])]
+        for k in range(max(lengths, default=0)):
+            longer = np.flatnonzero(size > k)
+            sums[longer] += self.values[raw[starts[longer] + k]] * self.powers[k]
+            if k + 1 in lengths:
+                longer = np.flatnonzero(size > k + 1)
+                found.append((rows[longer], mix64(mix64(sums[longer]) + np.uint64(k + 1))))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def hash_one(self, word: str) -> int:
         return int(self.words(pa.array([word]))[1][0])
 

@@ -33,7 +33,7 @@ REGISTERS, BANDS, ROWS = 256, 32, 4
 MARGIN = 0.15
 #: Bits of the parity sketch.
 PARITY = 2048
-MOST_BROADCAST_KEYS = 1 << 20
+MOST_BROADCAST_KEYS = 1 << 16
 
 
 def shingle_sets(rows: np.ndarray, words: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
