@@ -1,7 +1,7 @@
 """Secret scan with a recursive decoding worklist.
 
-Every text is a first layer. Encoded segments of a layer (percent escapes, backslash-u escapes, base64, compressed bytes) are
-decoded into new layers, each with a map back to the code points of the original text, until no new layer appears. A layer
+Every text is a first layer. Encoded segments of a layer (escapes, base64, compressed bytes) are decoded into new layers,
+escapes within escapes in one step, each with a map back to the code points of the original text, until no new layer appears. A layer
 already seen at the same place is not opened again, so cycles end. Each layer is scanned by the same rules.
 """
 
@@ -30,8 +30,13 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+_ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+_BEGINS = re.compile(r"[%\\]")
+_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+#: Escapes as (kind, characters, how they begin).
+_FORMS = (("percent", 3, "%"), ("escape", 4, "\\x"), ("escape", 6, "\\u"))
+_WIDEST = 6
+_MANY = 4096
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _BETWEEN = re.compile(r"[+/_-]")
 _LEAST = 16
@@ -193,38 +198,98 @@ def _segments(run: str) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
+class _Island:
+    """Characters around escapes, each with its span. What completes an escape is replaced at once by the character it stands for,
+    which may complete another: so nested escapes take one pass, however deep."""
+
+    def __init__(self):
+        self.items: list[tuple[str | int, int, int]] = []
+        self.heads: list[int] = []  # where escapes may begin
+        self.kinds: set[str] = set()
+
+    def open(self, ahead: str) -> bool:
+        """Whether the character ahead belongs here: it may go on with an escape, or begins one next to another (bytes of one character
+        and surrogates lie side by side). A long row of plain escapes may be parted."""
+        if self.heads and len(self.items) - self.heads[-1] < _WIDEST:
+            return True
+        return ahead in "%\\" and (len(self.items) < _MANY or not isinstance(c := self.items[-1][0], str) or "\ud800" <= c <= "\udfff")
+
+    def push(self, c: str | int, a: int, b: int) -> None:
+        while True:
+            if c == "%" or c == "\\":
+                self.heads.append(len(self.items))
+            self.items.append((c, a, b))
+            if c not in _HEX_DIGITS or not self.heads or not (found := self._complete(self.heads[-1])):
+                return
+            kind, c = found
+            self.kinds.add(kind)
+            at = self.heads.pop()
+            a = self.items[at][1]
+            del self.items[at:]
+
+    def _complete(self, at: int) -> tuple[str, str | int] | None:
+        width, first = len(self.items) - at, self.items[at][0]
+        for kind, size, head in _FORMS:
+            if width == size and first == head[0] and (len(head) == 1 or self.items[at + 1][0] == head[1]):
+                digits = [c for c, _, _ in self.items[at + len(head) :]]
+                if all(c in _HEX_DIGITS for c in digits):
+                    value = int("".join(digits), 16)
+                    return kind, value if kind == "percent" and value > 127 else chr(value)
+        return None
+
+    def take(self) -> Iterator[tuple[str, int, int]]:
+        """All characters so far: escaped bytes as UTF-8, surrogates in pairs, U+FFFD for what is neither."""
+        items, self.items, self.heads = self.items, [], []
+        k = 0
+        while k < len(items):
+            c, a, b = items[k]
+            to = k + 1
+            if isinstance(c, int):
+                while to < len(items) and isinstance(items[to][0], int):
+                    to += 1
+                c, b = bytes(x[0] for x in items[k:to]).decode("utf-8", "replace"), items[to - 1][2]
+            elif "\ud800" <= c <= "\udfff":
+                if c < "\udc00" and to < len(items) and isinstance(items[to][0], str) and "\udc00" <= items[to][0] <= "\udfff":
+                    c, b = c + items[to][0], items[to][2]
+                    to += 1
+                c = c.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+            yield from ((x, a, b) for x in c)
+            k = to
+
+
+def _unescaped(layer: Layer) -> Layer | None:
+    """The text with percent, backslash-u and backslash-x escapes resolved until none is left; None if there are none."""
+    text = layer.text
+    if not _ESCAPED.search(text):
+        return None
+    pieces: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    island, at = _Island(), 0
+    while at < len(text):
+        m = _BEGINS.search(text, at)
+        to = m.start() if m else len(text)
+        pieces.append(text[at:to])
+        if not layer.at:
+            starts += range(at, to) if layer.starts is None else layer.starts[at:to]
+            ends += range(at + 1, to + 1) if layer.ends is None else layer.ends[at:to]
+        at = to
+        while at < len(text) and (at == to or island.open(text[at])):
+            island.push(text[at], *layer.span(at, at + 1))
+            at += 1
+        done = list(island.take())
+        pieces.append("".join(c for c, _, _ in done))
+        if not layer.at:
+            starts += [a for _, a, _ in done]
+            ends += [b for _, _, b in done]
+    chain = (*layer.chain, "+".join(sorted(island.kinds)))
+    return Layer("".join(pieces), None, None, chain, layer.at, layer.forced) if layer.at else Layer("".join(pieces), starts, ends, chain)
+
+
 def _unwrapped(layer: Layer, most: int) -> Iterator[Layer]:
-    """The layers one step below: the text with all escapes of one kind resolved, and each base64 segment that holds text."""
-    for name, pattern in (("percent", _PERCENT), ("escape", _ESCAPE)):
-        pieces: list[str] = []
-        starts: list[int] = []
-        ends: list[int] = []
-        at = changed = 0
-        for m in pattern.finditer(layer.text):
-            raw = m[0]
-            if name == "percent":
-                chars = [(c, *m.span()) for c in bytes.fromhex(raw.replace("%", "")).decode("utf-8", "replace")]
-            else:
-                units = re.findall(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", raw)
-                joined = "".join(chr(int(u or x, 16)) for u, x in units).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-                chars = [(c, *m.span()) for c in joined]
-            for k in range(at, m.start()) if not layer.at else ():
-                a, b = layer.span(k, k + 1)
-                starts.append(a)
-                ends.append(b)
-            pieces += [layer.text[at : m.start()], "".join(c for c, _, _ in chars)]
-            a, b = layer.span(*m.span())
-            starts += [a] * len(chars)
-            ends += [b] * len(chars)
-            at, changed = m.end(), 1
-        if changed and layer.at:
-            yield Layer("".join(pieces) + layer.text[at:], None, None, (*layer.chain, name), layer.at)
-        elif changed:
-            for k in range(at, len(layer.text)):
-                a, b = layer.span(k, k + 1)
-                starts.append(a)
-                ends.append(b)
-            yield Layer("".join(pieces) + layer.text[at:], starts, ends, (*layer.chain, name))
+    """The layers one step below: the text with all escapes resolved, and each base64 segment that holds text."""
+    if below := _unescaped(layer):
+        yield below
     for m, (a, b) in ((m, s) for m in _BASE64.finditer(layer.text) for s in _segments(m[0])):
         data = _base64_bytes(m[0][a:b])
         if not data:
@@ -289,7 +354,8 @@ def find_secrets(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
     A null text counts as empty and has none. Repeated rows are each reported. Spans from decoded layers carry their chain of
     encodings. Bytes count as text if they are UTF-8; compressed ones (in any depth) are text with odd bytes replaced. A compressed
     layer of over ``most_bytes`` is scanned in pieces; where nothing in a piece ends a run, a match of over a quarter of a piece
-    is left out and an encoded segment of over a quarter may be cut in two.
+    is left out and an encoded segment of over a quarter may be cut in two. Bytes compressed over a hundred times in a row are left
+    packed there.
     """
     return annotate(docs, text, _make(most_bytes), [field("secrets", "array<struct<kind:string,start:long,end:long,layer:string>>")], keep)
 

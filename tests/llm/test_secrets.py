@@ -2,10 +2,11 @@ import base64
 import gzip
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
-from tessera.llm.secrets import KINDS, base_matches, find_secrets, scan
+from tessera.llm.secrets import KINDS, Layer, _unescaped, base_matches, find_secrets, scan
 
 SECRET = "password = hunter22secret"
 
@@ -39,6 +40,72 @@ def test_loops_and_bombs_end():
     assert scan(bomb, most=1 << 20) == []
 
 
+def test_nested_escapes_take_time_in_proportion():
+    for form in ("%" + "25" * 500_000 + "41", "\\x5c" + "x5c" * 300_000 + "x41", "\\u005c" + "u005c" * 200_000 + "u0041"):
+        began = time.time()
+        below = _unescaped(Layer("a " + form + " b", None, None, ()))
+        assert below.text == "a A b" and below.span(2, 3) == (2, 2 + len(form)) and time.time() - began < 15
+    assert _unescaped(Layer("100% of \\d and %zz", None, None, ())) is None
+
+
+def plain_unescape(text):
+    """One escape after another, the first that is complete, until none is left."""
+    while True:
+        m = min((m for m in (re.search(p, text) for p in (r"%[0-7][0-9A-Fa-f]", r"\\u00[0-7][0-9A-Fa-f]", r"\\x[0-7][0-9A-Fa-f]")) if m), key=lambda m: m.end(), default=None)
+        if not m:
+            return text
+        text = text[: m.start()] + chr(int(m[0].lstrip("%\\ux"), 16)) + text[m.end() :]
+
+
+def test_escapes_equal_a_plain_rewriting():
+    r = random.Random(12)
+    for _ in range(4000):
+        t = "".join(r.choice(["%", "25", "41", "5c", "\\", "x", "u", "00", "a", " ", "3", "%35", "\\x41", "\\u0025"]) for _ in range(r.randint(1, 20)))
+        below = _unescaped(Layer(t, None, None, ()))
+        if below and not below.text.isascii():
+            continue
+        assert (below.text if below else t) == plain_unescape(t), t
+        if below:
+            assert all(a < b for a, b in zip(below.starts, below.ends)) and all(b <= a for b, a in zip(below.ends, below.starts[1:])), t
+    assert _unescaped(Layer("%E4%B8%AD \\ud83d\\ude00 %ff", None, None, ())).text == "中 😀 \ufffd"
+
+
+def unwrapped_plainly(form):
+    """All texts a form holds, by a plain recursion without worklist, spans or cycles."""
+    out = [form]
+    loose = urllib.parse.unquote(re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), form))
+    if loose != form:
+        out += unwrapped_plainly(loose)
+    try:
+        data = base64.b64decode(form, validate=True)
+        while data[:2] == b"\x1f\x8b" or data[:1] == b"x":
+            data = zlib.decompress(data, 47)
+        out += unwrapped_plainly(data.decode())
+    except (ValueError, zlib.error):
+        pass
+    return out
+
+
+def test_random_nestings_equal_a_plain_recursion():
+    r = random.Random(7)
+    b64 = lambda b: base64.b64encode(b).decode()
+    wraps = [lambda t: urllib.parse.quote(t, safe=""), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: b64(t.encode()), lambda t: b64(zlib.compress(t.encode())), lambda t: b64(gzip.compress(zlib.compress(t.encode()), mtime=0))]
+    secrets = [SECRET, "see AKIA" + "Q7" * 10, "0123456789abcdef" * 2]
+    for _ in range(200):
+        forms = []
+        for _ in range(r.randint(1, 3)):
+            form = r.choice(secrets)
+            for _ in range(r.randint(1, 4)):
+                form = r.choice(wraps)(form)
+            forms.append(form)
+        text = " , ".join(forms)
+        found, at = scan(text), 0
+        for form in forms:
+            kinds = {k for t in unwrapped_plainly(form) for k, _, _ in base_matches(t)}
+            assert kinds and kinds == {k for k, a, b, _ in found if at <= a and b <= at + len(form)}, form
+            at += len(form) + 3
+
+
 def test_equal_segments_at_other_places_are_reported_too():
     for data in (SECRET.encode(), zlib.compress(SECRET.encode())):
         form = base64.b64encode(data).decode()
