@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -28,6 +29,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_SHORT = re.compile(r"[0-9]{1,3}")
 
 
 def luhn(digits: str) -> bool:
@@ -44,6 +46,12 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _octet(part: str) -> bool:
+    """Digits worth at most 255, however many zeros come first."""
+    value = part.lstrip("0")
+    return len(value) < 3 or len(value) == 3 and value <= "255"
+
+
 def base_matches(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start: per kind leftmost and non-overlapping, failing matches dropped."""
     out: list[tuple[str, int, int]] = []
@@ -58,7 +66,7 @@ def base_matches(text: str) -> list[tuple[str, int, int]]:
         at = text.find("@", max(at + 1, last))
     if not _DIGIT.search(text):
         return out
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -104,7 +112,7 @@ def _features(text: str, a: int, b: int, hint: str | None) -> list[str]:
     if not alpha and 13 <= len(digits) <= 19:
         out.append(f"luhn={luhn(digits)}")
     if len(parts) == 4 and not alpha:
-        out.append(f"quad={all(p.isdigit() and len(p) <= 3 and int(p) < 256 for p in parts)}")
+        out.append(f"quad={all(_SHORT.fullmatch(p) and int(p) < 256 for p in parts)}")
     if s.count("@") == 1:
         name, host = s.split("@")
         out.append(f"mail={bool(name) and bool(re.fullmatch(r'[A-Za-z0-9-]+([.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}', host))}")
@@ -245,15 +253,37 @@ def train(seed: int = 11, n: int = 700, epochs: int = 5) -> SemiMarkov:
     return model
 
 
+class Taken:
+    """Base spans of all kinds, overlapping ones as one, for the question whether a stretch touches or lies in one."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((a, b) for _, a, b in spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+    def covers(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] <= a and b <= self.ends[k]
+
+
 def find_spans(text: str, model: SemiMarkov) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base): every base match, and the field's segments that overlap none."""
     base = base_matches(text)
     out = [(*x, True) for x in base]
-    taken = sorted((a, b) for _, a, b in base)
+    taken = Taken(base)
     for run in runs(text):
-        if any(a <= run[0] and run[1] <= b for a, b in taken) or len(_digits(text[run[0] : run[1]])) < 4 and "@" not in text[run[0] : run[1]]:
+        if taken.covers(*run) or len(_digits(text[run[0] : run[1]])) < 4 and "@" not in text[run[0] : run[1]]:
             continue
-        out += [(k, a, b, False) for k, a, b in model.decode(text, *run) if not any(a < e and s < b for s, e in taken)]
+        out += [(k, a, b, False) for k, a, b in model.decode(text, *run) if not taken.touches(a, b)]
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
@@ -288,7 +318,10 @@ def mask(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 
 
 def mask_pii(docs: DataFrame, *, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """``docs`` with all its columns and rows, personal data in ``text`` masked and ``length`` (where it is a column) made right."""
+    """``docs`` with all its columns and rows, personal data in ``text`` masked and ``length`` (where it is a column) made right.
+
+    A null text stays null (its length too), an empty one empty; repeated rows are each masked, and alike; an empty table stays empty.
+    """
     model, counted = train(), length in docs.columns
 
     def make():

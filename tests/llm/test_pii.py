@@ -1,7 +1,8 @@
 import random
 import re
+import time
 
-from tessera.llm.pii import _examples, base_matches, find_pii, find_spans, luhn, mask, mask_pii, runs, train
+from tessera.llm.pii import _examples, _segments, base_matches, find_pii, find_spans, luhn, mask, mask_pii, runs, train
 
 
 def plain(t):
@@ -20,6 +21,51 @@ def test_base_rules_equal_plain_patterns():
     assert base_matches("9" * 200_000) == []
 
 
+def test_long_runs_and_other_digits_are_only_not_matches():
+    model = train()
+    assert base_matches("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)] and base_matches("1" * 5000 + ".1.1.1") == []
+    for t in ("10.20.30.²", "٣٤٥٦.1.1.1", "１２３４ 5678", "+٤٤ 20 7946 0958", "1" * 100_000, "1." * 20_000, "@" * 50_000, "1 2 " * 20_000):
+        assert [x[:3] for x in find_spans(t, model) if x[3]] == base_matches(t)
+    r = random.Random(8)
+    for _ in range(1500):
+        t = "".join(r.choice("0123456789.²٣１ -+@a(b)%é\u200d\n") for _ in range(r.randint(1, 60)))
+        assert [x[:3] for x in find_spans(t, model) if x[3]] == plain(t), t
+
+
+def test_many_spans_take_time_in_proportion():
+    began = time.time()
+    assert len(find_spans("ab.c@de.fg and 555-123-9876, " * 10_000, train())) >= 10_000
+    assert time.time() - began < 30
+
+
+def best_by_enumeration(model, text, run):
+    """The best total over all ways to lay candidate segments on the run without overlap, outside tokens in between."""
+    bounds, segments = _segments(text, *run)
+    n, outside = len(bounds) - 1, model.weights.get(("O", "token"), 0.0)
+    scored = model.scores(segments)
+
+    def best(at):
+        if at == n:
+            return 0.0
+        return max([outside + best(at + 1), *(x[3] + best(x[1]) for x in scored if x[0] == at)])
+
+    return best(0), bounds, {(k, bounds[i], bounds[j]): (s, j - i) for i, j, k, s, _ in scored}
+
+
+def test_decoder_finds_the_best_of_all_segmentations():
+    model, seen = train(), 0
+    for text, _ in _examples(5, 150):
+        for run in runs(text):
+            if len(text[run[0] : run[1]]) > 24:
+                continue
+            want, bounds, scores = best_by_enumeration(model, text, run)
+            chosen = model.decode(text, *run)
+            total = sum(scores[x][0] for x in chosen) + model.weights["O", "token"] * (len(bounds) - 1 - sum(scores[x][1] for x in chosen))
+            assert all(a[2] <= b[1] for a, b in zip(chosen, chosen[1:])) and abs(total - want) < 1e-9
+            seen += 1
+    assert seen > 50
+
+
 def test_field_on_held_out_lines():
     model, right, wrong, missed = train(), 0, 0, 0
     for text, gold in _examples(99, 200):
