@@ -1,77 +1,61 @@
-"""Benchmark decontamination with a positional inverted index kept in document shards.
+"""Benchmark decontamination with a distributed positional inverted index.
 
-Each task indexes the token postings of its own documents (document-partitioned index): every benchmark term's sorted
-positions. A benchmark window is looked up from its rarest term: that term's postings, shifted by its offset, are the
-candidate starts, and the postings of the next rarer terms, shifted likewise, are intersected until none or all are left. A near
-match may lack some terms, so it is looked up from one term more than that.
-Phrases therefore never cross a document, no posting is shuffled and memory is bounded by a piece of the input.
+The index is a written table: for each block of documents and each term one posting list, the term's sorted word positions in
+the block. Blocks bound a list's length, so a frequent term is many lists and no task ever holds all of it. Only terms that a filter
+of fixed size knows from the benchmark are stored.
+
+A benchmark window is routed to the blocks that hold its rarest term (for near matches, which may lack some terms, one of as many
+more of its rarest terms). There the lists of its terms, shifted by their offsets, are intersected from the rarest on until none or
+all are left. Windows are a distributed table too: neither they nor the items ever reach the driver.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm._arrow import annotate, field, select_rows
-from tessera.llm._words import NON_ALNUM_BYTES, WordHasher, counts_per_row
+from tessera.llm._arrow import pieces
+from tessera.llm._storage import materialize
+from tessera.llm._words import NON_ALNUM_BYTES, WordHasher, mix64
+from tessera.llm.url_filter import BlockedBloom, build_bloom
 
+#: Positions between two documents of a block, more than any window with its slack reaches over.
 _GAP = 64
 _POSITION_BITS = 40
 _CANDIDATES = 1 << 21
+#: Bytes of text to a block of documents; a document is never cut.
+BLOCK_BYTES = 1 << 24
+#: Windows that one task intersects with a block.
+MOST_WINDOWS = 1 << 18
+MOST_BROADCAST_KEYS = 1 << 16
+
 
+class Postings:
+    """The posting lists of a block's terms as one sorted array of (term, position)."""
 
-class WindowSet:
-    """The distinct windows of a benchmark: consecutive words of one item, all of ``size``, or one shorter window for a shorter item."""
-
-    def __init__(self, items: list[tuple[object, str | None]], size: int):
-        items = [(str(i), t or "") for i, t in items if i is not None]
-        rows, words = WordHasher(NON_ALNUM_BYTES).words(pa.array([t for _, t in items], pa.string()))
-        self.names = [i for i, _ in items]
-        self.terms = np.unique(words)
-        ids = np.searchsorted(self.terms, words).astype(np.int64)
-        bounds = np.searchsorted(rows, np.arange(len(items) + 1))
-        found: dict[tuple[int, ...], set[int]] = {}
-        for k in range(len(items)):
-            own = ids[bounds[k] : bounds[k + 1]].tolist()
-            for at in range(max(1, len(own) - size + 1) if own else 0):
-                found.setdefault(tuple(own[at : at + size]), set()).add(k)
-        self.groups: list[tuple[np.ndarray, np.ndarray]] = []
-        self.items: list[list[int]] = []
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for w in found:
-            by_length.setdefault(len(w), []).append(w)
-        for _, ws in sorted(by_length.items()):
-            first = len(self.items)
-            self.items += [sorted(found[w]) for w in ws]
-            self.groups.append((np.array(ws, np.int64), np.arange(first, first + len(ws))))
-        self.item_counts = np.array([len(x) for x in self.items] or [0], np.int64)
-        self.item_flat = np.array([i for x in self.items for i in x] or [0], np.int64)
-        self.item_first = np.concatenate([[0], np.cumsum(self.item_counts)])
-
-
-class PositionalIndex:
-    """Sorted positions of each known term over a run of documents; documents lie ``_GAP`` positions apart."""
-
-    def __init__(self, terms: np.ndarray, rows: np.ndarray, words: np.ndarray):
-        at = np.minimum(np.searchsorted(terms, words), max(0, len(terms) - 1))
-        known = np.flatnonzero(terms[at] == words) if len(terms) else np.zeros(0, np.int64)
-        term = at[known].astype(np.int64)
-        self.keys = np.sort((term << _POSITION_BITS) | (known + rows[known] * _GAP))
-        self.counts = np.bincount(term, minlength=len(terms)).astype(np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray):
+        """``terms`` sorted; ``positions`` holds their lists end to end."""
+        self.counts = np.append(counts, 0)  # the last stands for all terms that aren't there
+        self.terms = terms
+        self.first = np.cumsum(self.counts) - self.counts
+        self.keys = (np.repeat(np.arange(len(terms)), counts) << _POSITION_BITS) | positions
+
+    def ids(self, terms: np.ndarray) -> np.ndarray:
+        if not len(self.terms):
+            return np.zeros(terms.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, len(self.terms))
 
     def near(self, term: np.ndarray, position: np.ndarray, slack: int) -> np.ndarray:
         """Whether the term occurs within ``slack`` of the position."""
-        want = (term << _POSITION_BITS) + np.maximum(position - slack, 0)
-        at = np.searchsorted(self.keys, want)
-        ok = at < len(self.keys)
-        return ok & (self.keys[np.minimum(at, len(self.keys) - 1)] <= want + (position + slack - np.maximum(position - slack, 0)))
+        low = (term << _POSITION_BITS) + np.maximum(position - slack, 0)
+        at = np.searchsorted(self.keys, low)
+        return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= (term << _POSITION_BITS) + position + slack)
 
     def _in_place(self, windows: np.ndarray, order: np.ndarray, win: np.ndarray, start: np.ndarray, ranks: Iterable[int], slack: int, misses: int) -> tuple[np.ndarray, np.ndarray]:
         """The candidates with all but ``misses`` of the terms of these ranks within ``slack`` of their place."""
@@ -100,151 +84,214 @@ class PositionalIndex:
             yield self._in_place(windows, order, win, start, (k for k in range(windows.shape[1]) if k != rank), slack, misses)
 
     def find(self, windows: np.ndarray, slack: int = 0, misses: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(window, start) of each occurrence: all terms in place, or all but ``misses`` within ``slack`` of their place."""
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        if not len(self.keys) or not len(windows):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """(window, start) of each occurrence of the windows (term ids): all terms in place, or all but ``misses`` within ``slack``
+        of their place."""
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         df = self.counts[windows]
         alive = np.flatnonzero((df == 0).sum(1) <= misses)
-        if not len(alive):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        df = np.where(df == 0, np.iinfo(np.int64).max, df)[alive] if misses else df[alive]
-        order = np.argsort(df, axis=1, kind="stable")
-        # of one term more than may be missing, one is there; around it, all others lie within twice the slack
-        for rank in range(misses + 1):
-            for win, start in self._around(windows[alive], order, rank, 2 * slack, misses):
-                if slack:
-                    win, start = np.unique(np.stack([win, start]), axis=1)
-                    win, start = np.repeat(win, 2 * slack + 1), (start[:, None] + np.arange(-slack, slack + 1)).ravel()
-                    win, start = self._in_place(windows[alive], order, win, start, range(windows.shape[1]), slack, misses)
-                out.append((alive[win], start))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _matcher(windows: WindowSet, slack: int, misses: int) -> Callable[[], Callable[[pa.Array], list]]:
-    def make():
+        if len(self.keys) and len(alive):
+            windows = windows[alive]
+            order = np.argsort(np.where(df == 0, np.iinfo(np.int64).max, df)[alive], axis=1, kind="stable")
+            # of one term more than may be missing, one is there; around it, all others lie within twice the slack
+            for rank in range(misses + 1):
+                for win, start in self._around(windows, order, rank, 2 * slack, misses):
+                    if slack:
+                        win, start = np.unique(np.stack([win, start]), axis=1)
+                        win, start = np.repeat(win, 2 * slack + 1), (start[:, None] + np.arange(-slack, slack + 1)).ravel()
+                        win, start = self._in_place(windows, order, win, start, range(windows.shape[1]), slack, misses)
+                    out.append((alive[win], start))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def benchmark_windows(benchmark: DataFrame, item: str, text: str, size: int) -> DataFrame:
+    """(item, window, terms): each ``size`` consecutive words of an item, or all of a shorter item's; ``window`` is a 64-bit hash of
+    them. Items without an id or words have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(NON_ALNUM_BYTES)
-
-        def run(texts: pa.Array) -> list:
-            n = len(texts)
-            rows, words = hasher.words(texts)
-            index = PositionalIndex(windows.terms, rows, words)
-            first_word = np.searchsorted(rows, np.arange(n))
-            cover = np.zeros(len(words) + 1, np.int64)
-            pairs, near = [], []
-            for shapes, ids in windows.groups:
-                win, start = index.find(shapes)
-                # positions carry the document gaps: back to word numbers
-                row, word = _unposition(start, first_word, rows)
-                np.add.at(cover, word, 1)
-                np.add.at(cover, word + shapes.shape[1], -1)
-                pairs.append((row, ids[win]))
-                if misses and shapes.shape[1] > 2 * misses:
-                    win, start = index.find(shapes, slack, misses)
-                    near.append((np.searchsorted(first_word + np.arange(n) * _GAP, start + shapes.shape[1] - 1, "right") - 1, ids[win]))
-            hit = np.bincount(rows[np.cumsum(cover)[:-1] > 0], minlength=n)
-            items, close = _items(windows, pairs, n), _items(windows, near, n)
-            names = [sorted(windows.names[i] for i in x) for x in items]
-            return [counts_per_row(rows, n).tolist(), hit.tolist(), [len(x) for x in items], names, [len(set(c) | set(x)) for c, x in zip(close, items, strict=True)]]
-
-        return run
-
-    return make
-
-
-def _unposition(start: np.ndarray, first_word: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    row = np.searchsorted(first_word + np.arange(len(first_word)) * _GAP, start, "right") - 1
-    word = start - row * _GAP
-    # rows without words share their position with the next row that has some
-    return (rows[word], word) if len(word) else (row, word)
-
-
-def _items(windows: WindowSet, pairs: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[list[int]]:
-    out: list[list[int]] = [[] for _ in range(n)]
-    if pairs and windows.names:
-        row, win = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        if len(row):
-            seen = np.unique(row * len(windows.items) + win)
-            row, win = seen // len(windows.items), seen % len(windows.items)
-            count = windows.item_counts[win]
-            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            item = windows.item_flat[np.repeat(windows.item_first[win], count) + within]
-            for r, i in zip(*np.divmod(np.unique(np.repeat(row, count) * len(windows.names) + item), len(windows.names)), strict=True):
-                out[int(r)].append(int(i))
-    return out
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", window: int = 10, slack: int = 2, misses: int = 2, most_items: int = 50_000) -> DataFrame:
+        for batch in batches:
+            for piece in pieces(batch, "__text__", 1 << 20):
+                rows, words = hasher.words(piece.column("__text__"))
+                count = np.bincount(rows, minlength=piece.num_rows)
+                length = np.minimum(count, size)
+                windows = np.where(count > 0, count - length + 1, 0)
+                owner = np.repeat(np.arange(piece.num_rows), windows)
+                start = np.repeat(np.cumsum(count) - count, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+                n = length[owner]
+                digest = mix64(n.astype(np.uint64))
+                for k in range(size):
+                    more = n > k
+                    digest[more] = mix64(digest[more]) + words[start[more] + k]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                terms = words[np.repeat(start - ends[:-1], n) + np.arange(ends[-1])]
+                yield pa.RecordBatch.from_arrays([piece.column("item").take(pa.array(owner)), pa.array(mix64(digest).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(terms.view(np.int64)))], names=["item", "window", "terms"])
+
+    source = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("__text__")).where("item is not null and __text__ is not null")
+    return source.mapInArrow(run, "item string, window long, terms array<long>")
+
+
+def positional_index(docs: DataFrame, text: str, keep: list[str], known: BlockedBloom) -> DataFrame:
+    """One table of three kinds of rows by block of documents. 0: a document (``keep`` columns, ``row`` in its block, ``n`` words).
+    1: a posting list (``term``, ``n`` positions, ``posts``). 2: the first position of each document of the block."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text__"))
+    own = [T.StructField("__kind__", T.IntegerType()), T.StructField("__block__", T.LongType()), T.StructField("__row__", T.IntegerType()), T.StructField("__term__", T.LongType()), T.StructField("__n__", T.LongType()), T.StructField("__posts__", T.BinaryType())]
+    schema = T.StructType([*(T.StructField(c, source.schema[c].dataType, True) for c in keep), *own])
+    arrow = to_arrow_schema(schema)
+
+    def rows_of(kind: int, block: int, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        columns = columns | {"__kind__": pa.array(np.full(n, kind, np.int32)), "__block__": pa.array(np.full(n, block, np.int64))}
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        hasher, block = WordHasher(NON_ALNUM_BYTES), TaskContext.get().partitionId() << 32
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        firsts: list[np.ndarray] = []
+        held = documents = 0
+        words_so_far = 0
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            words, positions = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.argsort(words, kind="stable")
+            words, positions = words[order], positions[order]
+            at = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
+            ends = np.append(at, len(words)).astype(np.int32)
+            posts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(positions)])
+            yield rows_of(1, block, len(at), {"__term__": pa.array(words[at].view(np.int64)), "__n__": pa.array(np.diff(ends)), "__posts__": posts})
+            yield rows_of(2, block, 1, {"__n__": pa.array([documents]), "__posts__": pa.array([np.concatenate(firsts).tobytes()], pa.binary())})
+
+        for batch in batches:
+            for piece in pieces(batch, "__text__"):
+                rows, words = hasher.words(piece.column("__text__"))
+                n = piece.num_rows
+                count = np.bincount(rows, minlength=n)
+                # documents lie a gap apart, the first one too
+                firsts.append((words_so_far + np.cumsum(count) - count + (documents + 1 + np.arange(n)) * _GAP).astype(np.uint32))
+                chosen = np.flatnonzero(known.contains(words))
+                kept.append((words[chosen], (words_so_far + chosen + (documents + 1 + rows[chosen]) * _GAP).astype(np.uint32)))
+                yield rows_of(0, block, n, {c: piece.column(c) for c in keep} | {"__row__": pa.array(np.arange(documents, documents + n)), "__n__": pa.array(count)})
+                words_so_far += len(words)
+                documents += n
+                held += piece.column("__text__").nbytes
+                if held >= BLOCK_BYTES:
+                    yield from lists()
+                    block += 1
+                    kept, firsts = [], []
+                    held = documents = words_so_far = 0
+        if documents:
+            yield from lists()
+
+    return source.mapInArrow(run, schema)
+
+
+def _routes(windows: DataFrame, lists: DataFrame, misses: int) -> DataFrame:
+    """(window, terms, block): the blocks that hold one of the rarest terms of a window. A window with more terms unknown to the corpus
+    than may be missing has none."""
+    counts = lists.groupBy("term").agg(F.sum("n").alias("c"))
+    places = windows.select("window", F.size("terms").alias("size"), F.explode("terms").alias("term")).join(counts, "term", "left")
+    rare = places.groupBy("window").agg(F.max("size").alias("size"), F.count("c").alias("there"), F.sort_array(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "term")))).alias("rare"))
+    allowed = F.when(F.col("size") > 2 * misses, misses).otherwise(0)
+    more = allowed - (F.col("size") - F.col("there")) + 1
+    anchors = rare.where(more > 0).select("window", F.explode(F.slice("rare", F.lit(1), more)).alias("x")).select("window", F.col("x.term").alias("term")).distinct()
+    return anchors.join(lists.select("term", "block"), "term").select("window", "block").distinct().join(windows, "window")
+
+
+_MATCHES = "block long, row int, window long, start long, size int, near boolean"
+
+
+def _matcher(slack: int, misses: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(index: pa.Table, routed: pa.Table) -> pa.Table:
+        out: dict[str, list[np.ndarray]] = {k: [np.zeros(0, np.int64)] for k in ("row", "window", "start", "size", "near")}
+        block = 0
+        if index.num_rows and routed.num_rows:
+            block = index["block"][0].as_py()
+            first = np.frombuffer(index.filter(pa.compute.equal(index["kind"], 2))["posts"][0].as_py(), np.uint32).astype(np.int64)
+            lists = index.filter(pa.compute.equal(index["kind"], 1))
+            lists = lists.take(pa.compute.sort_indices(lists["term"]))
+            terms = lists["term"].to_numpy()
+            positions = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.uint32) for x in lists["posts"].to_pylist())]).astype(np.int64)
+            postings = Postings(terms, lists["n"].to_numpy(), positions)
+            sizes = pa.compute.list_value_length(routed["terms"]).to_numpy()
+            for size in np.unique(sizes).tolist():
+                own = routed.filter(pa.array(sizes == size))
+                names = own["window"].to_numpy()
+                shapes = postings.ids(pa.compute.list_flatten(own["terms"]).to_numpy().reshape(-1, size))
+                for near in (False, True):
+                    if near and (not misses or size <= 2 * misses):
+                        continue
+                    win, start = postings.find(shapes, slack, misses) if near else postings.find(shapes)
+                    row = np.searchsorted(first, start + (size - 1 if near else 0), "right") - 1
+                    if near:
+                        win, row = np.unique(np.stack([win, np.maximum(row, 0)]), axis=1)
+                        start = np.zeros_like(row)
+                    for k, x in (("row", row), ("window", names[win]), ("start", start), ("size", np.full(len(row), size)), ("near", np.full(len(row), near))):
+                        out[k].append(x)
+        columns = {k: np.concatenate(x) for k, x in out.items()}
+        n = len(columns["row"])
+        return pa.Table.from_arrays([pa.array(np.full(n, block, np.int64)), pa.array(columns["row"].astype(np.int32)), pa.array(columns["window"]), pa.array(columns["start"]), pa.array(columns["size"].astype(np.int32)), pa.array(columns["near"].astype(bool))], names=["block", "row", "window", "start", "size", "near"])
+
+    return run
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, text: str, item: str, keep: list[str], window: int, slack: int, misses: int, filter_blocks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their place and number of words, matches, (item, window)); all are written tables."""
+    listed = materialize(benchmark_windows(benchmark, item, text, window), "windows")
+    windows = listed.dropDuplicates(["window"]).select("window", "terms")
+    known = build_bloom(listed.select(F.explode("terms").alias("term")).distinct(), "term", filter_blocks)
+    index = materialize(positional_index(docs, text, keep, known), "postings")
+    documents = index.where("__kind__ = 0").select(*[F.col(f"`{c}`") for c in keep], F.col("__block__"), F.col("__row__"), F.col("__n__").alias("n_words"))
+    stored = index.where("__kind__ > 0").select(F.col("__kind__").alias("kind"), F.col("__block__").alias("block"), F.col("__term__").alias("term"), F.col("__n__").alias("n"), F.col("__posts__").alias("posts"))
+    parts = -(-windows.count() // MOST_WINDOWS) or 1
+    routed = _routes(windows, stored.where("kind = 1"), misses).withColumn("part", F.pmod("window", F.lit(parts)))
+    shards = stored.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    found = shards.groupBy("block", "part").cogroup(routed.groupBy("block", "part")).applyInArrow(_matcher(slack, misses), _MATCHES)
+    return documents, materialize(found, "matches"), listed.select("item", "window").distinct()
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", window: int = 10, slack: int = 2, misses: int = 2, filter_blocks: int = 1 << 12) -> DataFrame:
     """Per document: n_words, n_hit (words in an occurring window), n_items, items (ids, sorted as strings), n_near_items.
 
-    Words are maximal runs of letters, digits and non-ASCII characters, A-Z as a-z. An item counts as near if a window of it
-    occurs with all but ``misses`` words within ``slack`` of their place. Null and empty texts have no words; benchmark rows
-    without an id or words match nothing; repeated items and documents are each reported. An empty benchmark hits nothing.
+    Words are maximal runs of letters, digits and non-ASCII characters, A-Z as a-z. An item counts as near if a window of it (of
+    over twice ``misses`` words) occurs with all but ``misses`` words within ``slack`` of their place, or occurs. Null and empty
+    texts have no words; benchmark rows without an id or words match nothing; rows of one item id are one item; repeated documents
+    are each reported. An empty benchmark hits nothing. A kept column named like a result is replaced by it.
 
-    The windows go to the tasks by value. ``most_items`` checks that size: a larger benchmark is matched in blocks of that
-    many items, whose results are merged by document.
+    ``filter_blocks`` fixes the filter of benchmark terms at 64 bytes each, whatever the benchmark; a fuller one only lets more
+    terms into the index.
     """
-    fields = [field("n_words", "long"), field("n_hit", "long"), field("n_items", "long"), field("items", "array<string>"), field("n_near_items", "long")]
-    listed = benchmark.select(item, text)
-    if listed.limit(most_items + 1).count() <= most_items:
-        return annotate(docs, text, _matcher(WindowSet([tuple(r) for r in listed.collect()], window), slack, misses), fields, keep)
-    from tessera.llm._storage import materialize
-
-    names = listed.select(item).distinct().count()
-    parts = -(-names // most_items) * 2
-    blocks = materialize(listed.select(item, text, F.pmod(F.xxhash64(item), F.lit(parts)).alias("block")), "benchmark")
-    numbered = materialize(docs.select(*keep, text).withColumn("__row__", F.monotonically_increasing_id()), "numbered")
-    found = []
-    for b in range(parts):
-        rows = [tuple(r) for r in blocks.where(F.col("block") == b).select(item, text).collect()]
-        found.append(annotate(numbered, text, _marker(WindowSet(rows, window), slack, misses), [field("n_words", "long"), field("words", "array<long>"), field("items", "array<string>"), field("near", "array<string>")], [*keep, "__row__"]))
-    merged = reduce(DataFrame.unionByName, found).groupBy("__row__").agg(*[F.any_value(c).alias(c) for c in keep], F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    return merged.select(*keep, "n_words", F.size("words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.size("near").cast("long").alias("n_near_items"))
-
-
-def _marker(windows: WindowSet, slack: int, misses: int):
-    """As _matcher, but with the numbers of the words hit, so that blocks of one benchmark can be merged."""
-
-    def make():
-        hasher = WordHasher(NON_ALNUM_BYTES)
-
-        def run(texts: pa.Array) -> list:
-            n = len(texts)
-            rows, words = hasher.words(texts)
-            index = PositionalIndex(windows.terms, rows, words)
-            first_word = np.searchsorted(rows, np.arange(n))
-            hit, pairs, near = [set() for _ in range(n)], [], []
-            for shapes, ids in windows.groups:
-                win, start = index.find(shapes)
-                row, word = _unposition(start, first_word, rows)
-                for r, w in zip(row.tolist(), (word - first_word[row]).tolist() if len(row) else [], strict=True):
-                    hit[r].update(range(w, w + shapes.shape[1]))
-                pairs.append((row, ids[win]))
-                if misses and shapes.shape[1] > 2 * misses:
-                    win, start = index.find(shapes, slack, misses)
-                    near.append((np.searchsorted(first_word + np.arange(n) * _GAP, start + shapes.shape[1] - 1, "right") - 1, ids[win]))
-            items, close = _items(windows, pairs, n), _items(windows, near, n)
-            return [counts_per_row(rows, n).tolist(), [sorted(x) for x in hit], [[windows.names[i] for i in x] for x in items], [[windows.names[i] for i in {*c, *x}] for c, x in zip(close, items, strict=True)]]
-
-        return run
-
-    return make
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", window: int = 10, most_items: int = 50_000) -> DataFrame:
-    """``docs`` without the rows that hold a window of the benchmark, read once for each ``most_items`` items."""
-    listed = benchmark.select(item, text).where(F.col(item).isNotNull())
-    parts = -(-listed.count() // most_items)
-    for b in range(parts):
-        block = listed if parts == 1 else listed.where(F.pmod(F.xxhash64(F.col(item).cast("string")), F.lit(parts)) == b)
-        windows = WindowSet([tuple(r) for r in block.collect()], window)
-
-        def make(windows: WindowSet = windows):
-            match = _matcher(windows, 0, 0)()
-            return lambda texts: [not n for n in match(texts)[1]]
-
-        docs = select_rows(docs, text, make)
-    return docs
+    made = ("n_words", "n_hit", "n_items", "items", "n_near_items")
+    keep = [c for c in keep if c not in made]
+    documents, matches, listed = _search(docs, benchmark, text, item, keep, window, slack, misses, filter_blocks)
+    before = F.max(F.col("start") + F.col("size")).over(Window.partitionBy("block", "row").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1))
+    to = F.col("start") + F.col("size")
+    covered = matches.where("not near").withColumn("new", F.greatest(F.lit(0), to - F.greatest("start", F.coalesce(before, F.col("start")))))
+    hits = covered.groupBy("block", "row").agg(F.sum("new").cast("long").alias("n_hit"))
+    owners = matches.select("block", "row", "window", "near").distinct().join(listed, "window").groupBy("block", "row", "item").agg(F.max(~F.col("near")).alias("exact"))
+    items = owners.groupBy("block", "row").agg(F.sort_array(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.count("*").alias("n_near_items"))
+    places = hits.join(items, ["block", "row"], "full").withColumnsRenamed({"block": "__block__", "row": "__row__"})
+    out = documents.join(places, ["__block__", "__row__"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    found = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], "n_words", zero(F.col("n_hit")).alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), zero(F.col("n_near_items")).alias("n_near_items"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", window: int = 10) -> DataFrame:
+    """``docs`` without the rows that hold a window of the benchmark.
+
+    Rows with one text share their fate, whatever their ids. Null and empty texts stay, an empty benchmark drops nothing, an empty
+    table stays empty, and columns stay as they are. Texts are told apart by two 64-bit hashes; those of contaminated texts are
+    broadcast up to 65,536, beyond that joined by shuffle.
+    """
+    marks = [F.xxhash64(F.col(f"`{text}`"), F.lit(k)).alias(f"__mark{k}__") for k in range(2)]
+    documents, matches, _ = _search(docs.select(*marks, F.col(f"`{text}`")), benchmark, text, item, ["__mark0__", "__mark1__"], window, 0, 0, 1 << 12)
+    hit = matches.select(F.col("block").alias("__block__"), F.col("row").alias("__row__")).distinct()
+    hit = materialize(documents.join(hit, ["__block__", "__row__"], "left_semi").select("__mark0__", "__mark1__").distinct(), "contaminated")
+    small = hit.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS
+    same = [own == hit[f"__mark{k}__"] for k, own in enumerate(F.xxhash64(docs[f"`{text}`"], F.lit(k)) for k in range(2))]
+    return docs.join(F.broadcast(hit) if small else hit, same[0] & same[1], "left_anti")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

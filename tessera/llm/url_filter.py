@@ -39,17 +39,26 @@ class BlockedBloom:
         bits = (hashes[:, None] * _MULTIPLIERS[None, :]) >> np.uint64(58)
         return block.astype(np.int64), np.uint64(1) << bits
 
+    def contains(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each 64-bit hash may have been added."""
+        out = np.empty(len(hashes), bool)
+        for k in range(0, len(hashes), 1 << 16):
+            block, masks = self.places(hashes[k : k + (1 << 16)], len(self.words))
+            out[k : k + (1 << 16)] = ((self.words[block] & masks) == masks).all(1)
+        return out
+
     def may_contain(self, keys: list[str]) -> np.ndarray:
-        block, masks = self.places(_key_hashes(keys), len(self.words))
-        return ((self.words[block] & masks) == masks).all(1)
+        return self.contains(_key_hashes(keys))
 
 
 def build_bloom(keys: DataFrame, column: str, blocks: int) -> BlockedBloom:
-    """The filter of a key column, built where the keys are; at most ``blocks`` * 8 words reach the driver."""
+    """The filter of a column of string keys or of 64-bit hashes, built where they are; at most ``blocks`` * 8 words reach the driver."""
+    hashed = dict(keys.dtypes)[column] == "bigint"
 
     def run(batches):
         for batch in batches:
-            block, masks = BlockedBloom.places(_key_hashes(batch.column(0).to_pylist()), blocks)
+            own = batch.column(0)
+            block, masks = BlockedBloom.places(own.to_numpy().view(np.uint64) if hashed else _key_hashes(own.to_pylist()), blocks)
             at = (block[:, None] * 8 + np.arange(8)).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(masks.ravel().view(np.int64))], names=["at", "mask"])
 

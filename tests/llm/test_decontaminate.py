@@ -1,6 +1,7 @@
 import random
 import re
 
+from tessera.llm import decontaminate
 from tessera.llm.decontaminate import drop_contaminated, find_contamination
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -40,12 +41,14 @@ def make(spark):
     return docs, items, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
 
 
-def test_hits_equal_plain_search_and_blocks_change_nothing(spark):
+def test_hits_equal_plain_search_and_blocks_change_nothing(spark, monkeypatch):
     docs, items, d, b = make(spark)
     assert rows(find_contamination(d, b)) == plain(docs, items)
-    assert rows(find_contamination(d, b, most_items=4)) == plain(docs, items)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(decontaminate, "MOST_WINDOWS", 40)
+    assert rows(find_contamination(d, b, filter_blocks=1)) == plain(docs, items)
     clean = {k for k, _, n, _ in plain(docs, items) if n == 0}
-    assert {str(r.doc_id) for r in drop_contaminated(d, b).collect()} == clean == {str(r.doc_id) for r in drop_contaminated(d, b, most_items=5).collect()}
+    assert {str(r.doc_id) for r in drop_contaminated(d, b).collect()} == clean
 
 
 def test_proximity(spark):
@@ -85,7 +88,16 @@ def test_proximity_equals_plain_search_with_many_documents(spark):
     assert sum(n > 0 for k, n in want.items() if k not in exact) > 20
     d, b = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
     assert {x.doc_id: x.n_near_items for x in find_contamination(d, b).collect()} == want
-    assert {x.doc_id: x.n_near_items for x in find_contamination(d, b, most_items=5).collect()} == want
+
+
+def test_rows_of_one_item_are_one_item_and_extra_columns_clash_with_nothing(spark):
+    b = spark.createDataFrame([("a", "one two three"), ("a", "one two three"), ("a", "three four"), ("b", "one two three")], "item_id string, text string")
+    d = spark.createDataFrame([(1, "say one two three four", 7, "x", 9, "y"), (2, "two", 8, "z", 9, "y")], "doc_id long, text string, n_hit long, block string, row long, items string")
+    found = find_contamination(d, b, keep=("doc_id", "text", "n_hit", "block", "row", "items"))
+    assert found.columns == ["doc_id", "text", "block", "row", "n_words", "n_hit", "n_items", "items", "n_near_items"]
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == [(1, "say one two three four", "x", 9, 5, 4, 2, ["a", "b"], 2), (2, "two", "z", 9, 1, 0, 0, [], 0)]
+    kept = drop_contaminated(d, b)
+    assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [2]
 
 
 def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
