@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_scratch: dict[str, str] = {}
+_run_dirs: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -18,12 +19,46 @@ def scratch_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _local_scratch.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tessera-"))
+    return tempfile.gettempdir()
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables in ``scratch_dir``; it goes when the application ends."""
+    name = spark.sparkContext.applicationId
+    if name not in _run_dirs:
+        path = f"{scratch_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:8]}"
+        files, where = _file_system(spark, path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _run_dirs[name] = path
+    return _run_dirs[name]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there and a lost executor loses nothing."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there and a lost executor loses nothing.
+
+    The shuffle files behind it are given back at once, as nothing reads them again.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later step reads."""
+    for df in tables:
+        files, where = _file_system(df.sparkSession, df.table_path)
+        files.delete(where, True)

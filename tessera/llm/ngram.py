@@ -1,9 +1,9 @@
 """Interpolated modified Kneser-Ney bigram scores of every text, from counts over the whole corpus.
 
-Words are 64-bit hashes, contexts 32-bit hashes over the whole corpus: words that share one share their context totals, about
-one word in 2^32 / (distinct words). The model is stored as sorted hash arrays, one row per range of words: the words with their
+Words and contexts are 64-bit hashes. The model is stored as sorted hash arrays, one row per range of words: the words with their
 counts and continuation counts, and the contexts that occur in the range with their totals and back-off weights. A worker that
-scores a range maps the arrays of that range from a scratch file, so its memory follows the range and not the model.
+scores a range maps the arrays of that range from a scratch file, written one after another, so its memory follows the range and
+not the model. How many ranges there are follows the number of tokens.
 
 Three readings of the corpus: heavy words (their pairs are spread over all ranges, so no range holds a hot word), pair counts,
 and scoring. What is shuffled is aggregated before: distinct pairs with the documents they are in, never single tokens.
@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,9 @@ from tessera.llm._words import SPACE_BYTES, WordHasher, mix64
 END, BEGIN = mix64(np.array([0xE0D, 0xB0B], np.uint64))
 #: Tokens whose pairs are aggregated before the shuffle; a worker holds about 150 bytes for each.
 CHUNK_TOKENS = 1_000_000
+#: Tokens to a range of words, on average, and the most ranges.
+RANGE_TOKENS = 2_000_000
+MOST_RANGES = 1 << 14
 
 
 def tokens(hasher: WordHasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,12 +45,12 @@ def tokens(hasher: WordHasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     before = np.empty_like(out)
     before[1:] = out[:-1]
     before[ends - count] = BEGIN
-    return np.repeat(np.arange(n), count + 1), out, (mix64(before) >> np.uint64(32)).astype(np.uint32)
+    return np.repeat(np.arange(n), count + 1), out, mix64(before)
 
 
 def _range_of(words: np.ndarray, contexts: np.ndarray, heavy: np.ndarray, ranges: int) -> np.ndarray:
     """A range of words, but by word and context for heavy words."""
-    spread = np.where(np.isin(words, heavy), mix64(words ^ (contexts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), words) if len(heavy) else words
+    spread = np.where(np.isin(words, heavy), mix64(words ^ (contexts * np.uint64(0x9E3779B97F4A7C15))), words) if len(heavy) else words
     return (((spread >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
@@ -79,15 +81,8 @@ class _Pairs:
     """The distinct (word, context) pairs of a chunk in order of range, word and context, and where each token lies among them."""
 
     def __init__(self, words: np.ndarray, contexts: np.ndarray, heavy: np.ndarray, ranges: int):
-        by_word = np.argsort(words)
-        first = _starts(words[by_word])
-        key = np.empty(len(words), np.uint64)
-        key[by_word] = np.repeat(np.arange(len(first), dtype=np.uint64) << np.uint64(32), np.diff(np.append(first, len(words))))
-        del by_word
-        key |= contexts
-        order = np.argsort(key, kind="stable")
-        at = _starts(key[order])
-        del key
+        order = np.lexsort((contexts, words))
+        at = _starts(words[order], contexts[order])
         size = np.diff(np.append(at, len(order)))
         w, u = words[order[at]], contexts[order[at]]
         r = _range_of(w, u, heavy, ranges)
@@ -131,8 +126,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
         yield ids, np.array(held, bool), *joined()
 
 
-def _heavy_words(source: DataFrame, ranges: int) -> np.ndarray:
-    """All words with over 1 / (8 * ranges) of the tokens (and some with over half of that): at most 16 * ranges words."""
+def _heavy_words(source: DataFrame, least_ranges: int) -> tuple[np.ndarray, int]:
+    """(all words with over 1 / (8 * ranges) of the tokens, and some with over half of that: at most 16 * ranges words; ranges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(SPACE_BYTES)
@@ -142,13 +137,14 @@ def _heavy_words(source: DataFrame, ranges: int) -> np.ndarray:
                 w = np.sort(w)
                 first = _starts(w)
                 n = np.diff(np.append(first, len(w)))
-                often = n * 16 * ranges >= len(w)
+                often = n * 16 * MOST_RANGES >= len(w)
                 yield pa.RecordBatch.from_arrays([pa.array(w[first][often].view(np.int64)), pa.array(n[often]), pa.array(np.where(np.arange(often.sum()) == 0, len(w), 0))], names=["w", "n", "all"])
 
     counted = source.mapInArrow(run, "w long, n long, all long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
     counted = materialize(counted, "heavy")
     total = counted.agg(F.sum("all")).first()[0] or 0
-    return np.array(sorted(r[0] for r in counted.where(F.col("n") * 16 * ranges >= total).select("w").collect()), np.int64).view(np.uint64)
+    ranges = min(MOST_RANGES, max(least_ranges, -(-total // RANGE_TOKENS)))
+    return np.array(sorted(r[0] for r in counted.where(F.col("n") * 16 * ranges >= total).select("w").collect()), np.int64).view(np.uint64), ranges
 
 
 _COUNTS = "r int, w binary, k binary, u binary, c binary, big binary"
@@ -171,7 +167,7 @@ def _count_messages(source: DataFrame, heavy: np.ndarray, ranges: int) -> DataFr
 def _merged(table: pa.Table, values: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, context, summed value) of a range's messages, sorted by word and context."""
     w = np.concatenate([np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(k, np.uint32)) for a, k in zip(table["w"].to_pylist(), table["k"].to_pylist(), strict=True)])
-    u = np.concatenate([np.frombuffer(x, np.uint32) for x in table["u"].to_pylist()])
+    u = np.concatenate([np.frombuffer(x, np.uint64) for x in table["u"].to_pylist()])
     v = np.concatenate([values(i) for i in range(table.num_rows)])
     order = np.lexsort((u, w))
     w, u = w[order], u[order]
@@ -206,7 +202,7 @@ def _count_range(heavy: np.ndarray, parts: int) -> Callable[[pa.Table], pa.Table
         at = _starts(u)
         own = u[at]
         sums = [_sums(x.astype(np.int64), at) for x in (n, n == 1, n == 2, n >= 3)]
-        part = (own.astype(np.int64) * parts) >> 32
+        part = (((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
         edges = np.searchsorted(part, np.arange(parts + 1))
         for q in range(parts):
             a, b = edges[q], edges[q + 1]
@@ -229,7 +225,7 @@ def _total_contexts(d: np.ndarray) -> Callable[[pa.Table], pa.Table]:
     """For one part of the contexts: their totals over all ranges, sent back to each range for the contexts it holds."""
 
     def run(table: pa.Table) -> pa.Table:
-        us = [np.frombuffer(x, np.uint32) for x in table["u"].to_pylist()]
+        us = [np.frombuffer(x, np.uint64) for x in table["u"].to_pylist()]
         u = np.concatenate(us)
         order = np.argsort(u, kind="stable")
         at = _starts(u[order])
@@ -265,22 +261,29 @@ def _score_messages(source: DataFrame, heavy: np.ndarray, ranges: int, schema: T
     return source.mapInArrow(run, schema)
 
 
-@contextmanager
-def mapped(arrays: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
-    """The arrays, read-only and memory-mapped from a scratch file of this task; the file goes with the block."""
-    handle, path = tempfile.mkstemp(prefix="model-")
-    try:
-        spans, at = {}, 0
-        with os.fdopen(handle, "wb") as f:
-            for name, x in arrays.items():
-                f.write(b"\0" * (-at % 8))
-                at += -at % 8
-                f.write(np.ascontiguousarray(x).tobytes())
-                spans[name] = (at, x.dtype, len(x))
-                at += x.nbytes
-        yield {name: np.memmap(path, dtype, "r", offset, (n,)) if n else np.zeros(0, dtype) for name, (offset, dtype, n) in spans.items()}
-    finally:
-        os.unlink(path)
+class MappedArrays:
+    """Arrays of a model, each written to a scratch file of this task when it is added and read back by mapping; the file goes at the
+    end."""
+
+    def __init__(self):
+        handle, self._path = tempfile.mkstemp(prefix="model-")
+        self._file = os.fdopen(handle, "wb")
+
+    def __enter__(self) -> MappedArrays:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._file.close()
+        os.unlink(self._path)
+
+    def add(self, x: np.ndarray) -> np.ndarray:
+        if not len(x):
+            return x
+        self._file.write(b"\0" * (-self._file.tell() % 8))
+        at = self._file.tell()
+        np.ascontiguousarray(x).tofile(self._file)
+        self._file.flush()
+        return np.memmap(self._path, x.dtype, "r", at, x.shape)
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,38 +305,44 @@ def _score_range(stats: dict, arrow: pa.Schema) -> Callable[[pa.Table, pa.Table]
         messages = messages.filter(pa.compute.is_null(messages["ids"]))
         if not messages.num_rows:
             return pa.Table.from_pylist(out, arrow)
-        parts = {k: model.filter(pa.compute.is_valid(model[k])) for k in ("w", "u")}
-        arrays = {k: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in parts[p][k].to_pylist())]) for p, k, t in (("w", "w", np.uint64), ("w", "cw", np.int64), ("w", "cont", np.int64), ("u", "u", np.uint32), ("u", "c", np.float64), ("u", "g", np.float32))}
-        order = np.argsort(arrays["u"])
-        arrays |= {k: arrays[k][order] for k in ("u", "c", "g")}
-        words = np.concatenate([arrays["w"], stats["hw"]])
-        order = np.argsort(words)
-        arrays |= {"w": words[order], "cw": np.concatenate([arrays["cw"], stats["hc"]])[order], "cont": np.concatenate([arrays["cont"], stats["hn"]])[order]}
         rows = messages.to_pylist()
         sizes = [_large(m["c"], m["big"]) for m in rows]
         docs = [np.frombuffer(m["docs"], np.uint16 if m["wide"] == 2 else np.uint32) for m in rows]
         trains = [np.unpackbits(np.frombuffer(m["train"], np.uint8)).astype(bool)[x] for m, x in zip(rows, docs, strict=True)]
         counts = [np.bincount(np.repeat(np.arange(len(s)), s), t, minlength=len(s)).astype(np.int64) for s, t in zip(sizes, trains, strict=True)]
         w, u, c = _merged(messages, lambda i: counts[i])
-        with mapped(arrays) as a:
-            place, there = _find(a["w"], w)
-            cw = np.where(there, a["cw"][place] if len(a["w"]) else 0, 0)
-            cont = np.where(there, a["cont"][place] if len(a["w"]) else 0, 0)
-            lower = np.maximum(cont - e[np.minimum(cont, 3)], 0) / max(stats["T"], 1) + stats["lower_left"] / (stats["V"] + 1)
-            place, there = _find(a["u"], u)
-            there &= (a["c"][place] if len(a["c"]) else 0) > 0
-            total = np.where(there, a["c"][place] if len(a["u"]) else 1.0, 1.0)
-            left = np.where(there, a["g"][place] if len(a["u"]) else 1.0, 1.0)
+        with MappedArrays() as store:
+            own = model.filter(pa.compute.is_valid(model["w"]))
+            column = lambda k, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in own[k].to_pylist())])
+            words = np.concatenate([column("w", np.uint64), stats["hw"]])
+            order = np.argsort(words)
+            words = store.add(words[order])
+            counts, continued = (store.add(np.concatenate([column(k, np.int64), stats[h]])[order]) for k, h in (("cw", "hc"), ("cont", "hn")))
+            place, there = _find(words, w)
+            cw = np.where(there, counts[place], 0) if len(words) else np.zeros(len(w), np.int64)
+            cont = np.where(there, continued[place], 0) if len(words) else np.zeros(len(w), np.int64)
+            own = model.filter(pa.compute.is_valid(model["u"]))
+            contexts = column("u", np.uint64)
+            order = np.argsort(contexts)
+            contexts = store.add(contexts[order])
+            totals, weights = (store.add(column(k, t)[order]) for k, t in (("c", np.float64), ("g", np.float32)))
+            del order, own
+            place, there = _find(contexts, u)
+            total = np.where(there, totals[place], 0.0) if len(contexts) else np.zeros(len(u))
+            there &= total > 0
+            total = np.where(there, total, 1.0)
+            left = np.where(there, weights[place], 1.0) if len(contexts) else np.ones(len(u))
+        lower = np.maximum(cont - e[np.minimum(cont, 3)], 0) / max(stats["T"], 1) + stats["lower_left"] / (stats["V"] + 1)
         score = np.log10(np.where(there, np.maximum(c - d[np.minimum(c, 3)], 0) / total, 0.0) + left * lower)
         base = np.log10((cw + 1) / (stats["N"] + stats["V"] + 1))
         first = _starts(w)
-        firsts = w[first]
-        span = np.append(first, len(w))
+        firsts, known = w[first], np.unique(u)
+        # (word, context) as one increasing key, both by their place in this range
+        pair = lambda k, v: (k.astype(np.uint64) << np.uint64(32)) | np.searchsorted(known, v).astype(np.uint64)
+        keys = pair(np.repeat(np.arange(len(firsts)), np.diff(np.append(first, len(w)))), u)
         for m, s, x in zip(rows, sizes, docs, strict=True):
             own_w = np.repeat(np.frombuffer(m["w"], np.uint64), np.frombuffer(m["k"], np.uint32))
-            k = np.searchsorted(firsts, own_w)
-            # contexts are sorted within a word: offset each word's contexts into one increasing key
-            at = np.searchsorted((np.repeat(np.arange(len(firsts)), np.diff(span)).astype(np.uint64) << np.uint64(32)) | u, (k.astype(np.uint64) << np.uint64(32)) | np.frombuffer(m["u"], np.uint32))
+            at = np.searchsorted(keys, pair(np.searchsorted(firsts, own_w), np.frombuffer(m["u"], np.uint64)))
             token = np.repeat(at, s)
             own, back = np.unique(x, return_inverse=True)
             sums = [np.bincount(back, v[token], minlength=len(own)) for v in ((cw > 0).astype(float), base, score)]
@@ -370,11 +379,10 @@ def score_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", fold
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, ranges // 2)
     held = F.pmod(F.crc32(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
     source = docs.select(F.col(f"`{id}`").alias("__id__"), held.alias("__held__"), F.col(f"`{text}`").cast("string").alias("__text__"))
-    heavy = _heavy_words(source, ranges)
+    heavy, ranges = _heavy_words(source, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, ranges // 2)
     model = materialize(_count_messages(source, heavy, ranges).groupBy("r").applyInArrow(_count_range(heavy, parts), _MODEL), "model")
     own = model.where("q = -1")
     sums = [int(r or 0) for r in own.agg(*[F.sum(F.get("s", k)) for k in range(11)]).first()]

@@ -3,7 +3,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from tessera.llm import ngram
+from tessera.llm._words import SPACE_BYTES, WordHasher, mix64
 from tessera.llm.ngram import discounts, score_texts
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -50,6 +53,26 @@ def test_scores_equal_a_plain_model(spark, monkeypatch):
     assert scored(score_texts(docs)) == expected(rows)
 
 
+def test_words_that_share_32_bits_share_nothing(spark):
+    names = [f"w{k}" for k in range(300_000)]
+    _, hashes = WordHasher(SPACE_BYTES).words(pa.array(names))
+    for cut in (lambda h: h >> np.uint64(32), lambda h: mix64(h) >> np.uint64(32)):
+        order = np.argsort(cut(hashes), kind="stable")
+        k = np.flatnonzero(np.diff(cut(hashes)[order]) == 0)[0]
+        a, b = names[order[k]], names[order[k + 1]]
+        rows = [(i, f"{a} one {a} two {b} three" if i % 3 else f"{b} one {b} four") for i in range(60)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert scored(score_texts(docs)) == expected(rows)
+
+
+def test_ranges_follow_the_tokens_and_change_nothing(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{(k * j) % 37}" for j in range(30)) + " the" * (k % 9)) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram, "RANGE_TOKENS", 150)
+    assert ngram._heavy_words(docs.selectExpr("text as __text__"), 4)[1] == -(-sum(len(WORD.findall(t)) + 1 for _, t in rows) // 150)
+    assert scored(score_texts(docs)) == expected(rows)
+
+
 def test_odd_rows_and_empty_tables(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert scored(score_texts(odd_docs)) == expected(rows)
