@@ -27,7 +27,7 @@ def pieces(batch: pa.RecordBatch, column: str | int, most: int = _PIECE_BYTES) -
         at = to
 
 
-def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], list]], fields: list[T.StructField], keep: Iterable[str]) -> DataFrame:
+def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], list]], fields: list[T.StructField], keep: Iterable[str], piece_bytes: int = _PIECE_BYTES) -> DataFrame:
     """``keep`` columns of ``df`` and, beside them, what the function made by ``make`` returns for the text column.
 
     ``make`` runs once per task; its function gets a string array and returns one array or list per field. An input column
@@ -42,7 +42,7 @@ def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            for piece in pieces(batch, _TEXT):
+            for piece in pieces(batch, _TEXT, piece_bytes):
                 out = function(piece.column(_TEXT))
                 own = [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *own], names=[*keep, *(f.name for f in fields)])
@@ -50,14 +50,14 @@ def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], l
     return source.mapInArrow(run, schema)
 
 
-def select_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
+def select_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], list]], piece_bytes: int = _PIECE_BYTES) -> DataFrame:
     """The rows of ``df``, all columns, for which the function made by ``make`` says true of the text column."""
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            for piece in pieces(batch, at):
+            for piece in pieces(batch, at, piece_bytes):
                 yield piece.filter(pa.array(function(piece.column(at)), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

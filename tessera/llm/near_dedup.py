@@ -4,9 +4,9 @@ A document's set of word shingles is sketched by registers ``floor(1 - log_b(min
 exponentially spaced minima that merge by maximum and agree with a chance that follows the Jaccard similarity. Bands of
 registers propose pairs, a joint maximum-likelihood estimate drops the unlikely ones and the rest are verified on full sets.
 
-Equal sets are one class from the start. Within a bucket only links to a pivot are proposed, round after round, between
-classes that no link joins yet; what is left apart after the pivots is compared in full, so no link between components is lost
-to the pivots, and a group of copies never becomes all its pairs.
+Equal sets are one class from the start. First each class is compared with the most central one of its buckets, which joins up a
+group of copies without ever making all its pairs; then classes of one bucket that no link has joined are compared in full, so that
+no link between components is lost.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm._arrow import annotate, field
-from tessera.llm._storage import materialize
+from tessera.llm._storage import materialize, release
 from tessera.llm._words import SPACE_BYTES, WordHasher, mix64
 from tessera.llm.components import connected_components
+from tessera.llm.url_filter import build_bloom
 
 #: SetSketch parameters: base, rate and register limit.
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
@@ -149,8 +150,8 @@ def _set_writer(size: int) -> Callable[[], Callable[[pa.Array], list]]:
     return make
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, node): a class's band values."""
+def _cells(classes: DataFrame) -> DataFrame:
+    """(bucket, node, n): a class's band values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -161,46 +162,61 @@ def _buckets(classes: DataFrame) -> DataFrame:
                 h = np.broadcast_to(salt, regs.shape[:2]).copy()
                 for k in range(ROWS):
                     h = mix64(h ^ regs[:, :, k])
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], names=["bucket", "node"])
+                each = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), BANDS))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), each("node"), each("n")], names=["bucket", "node", "n"])
 
-    return classes.select("node", "registers").mapInArrow(run, "bucket long, node long")
+    return classes.select("node", "n", "registers").mapInArrow(run, "bucket long, node long, n long")
 
 
-@F.pandas_udf(T.DoubleType())
-def _estimated(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=float)
-    left, right = (np.frombuffer(b"".join(x), np.uint16).reshape(len(a), -1) for x in (a, b))
-    return pd.Series(estimate(left, right, n_a.to_numpy(np.float64), n_b.to_numpy(np.float64)))
+def _linked(percent: int) -> Callable:
+    @F.pandas_udf(T.BooleanType())
+    def run(r_a: pd.Series, r_b: pd.Series, s_a: pd.Series, s_b: pd.Series) -> pd.Series:
+        """Whether the estimate allows the threshold and the full sets reach it."""
+        out = np.zeros(len(r_a), bool)
+        if len(out):
+            sizes = [np.array([len(x) // 8 for x in s], np.float64) for s in (s_a, s_b)]
+            registers = [np.frombuffer(b"".join(r), np.uint16).reshape(len(out), -1) for r in (r_a, r_b)]
+            for k in np.flatnonzero(estimate(*registers, *sizes) >= percent / 100 - MARGIN):
+                both = len(np.intersect1d(np.frombuffer(s_a[k], np.uint64), np.frombuffer(s_b[k], np.uint64), assume_unique=True))
+                out[k] = both * 100 >= percent * (sizes[0][k] + sizes[1][k] - both)
+        return pd.Series(out)
 
+    return run
 
-@F.pandas_udf(T.LongType())
-def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype=np.int64)
 
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of the proposed (a, b) those that reach the threshold."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("registers").alias(f"r{s}"), F.col("shingles").alias(f"s{s}"))
+    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_linked(percent)("ra", "rb", "sa", "sb")).select("a", "b")
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the proposed (a, b) those that reach the threshold on full sets."""
-    side = lambda s: classes.select(F.col("node").alias(s), F.col("registers").alias(f"r{s}"), F.col("n").alias(f"n{s}"))
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).where(_estimated("ra", "rb", "na", "nb") >= percent / 100 - MARGIN).select("a", "b", "na", "nb")
-    whole = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"))
-    shared = likely.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "na", "nb", _shared("sa", "sb").alias("both"))
-    return shared.where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Sizes that allow the threshold."""
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
-def _sets_of(docs: DataFrame, id: str, text: str, classes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the needed classes, from a second reading of the documents that stand for them."""
-    wanted = classes.join(needed, "node", "left_semi").select("node", "d1", "d2", F.xxhash64(F.col("low").cast("string")).alias("__k__"))
-    keys = wanted.select("__k__").distinct()
-    source = docs.select(F.xxhash64(F.col(f"`{id}`").cast("string")).alias("__k__"), F.col(f"`{text}`").alias("__t__"))
-    small = keys.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS
-    source = source.join(F.broadcast(keys) if small else keys, "__k__", "left_semi")
+
+def _small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has at most ``MOST_BROADCAST_KEYS`` rows (of a few numbers)."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS else df
+
+
+def _with_sets(docs: DataFrame, id: str, text: str, classes: DataFrame, size: int) -> DataFrame:
+    """``classes`` with ``shingles``, from a second reading of the documents that stand for them. A filter of fixed size leaves out most
+    others before their texts are read into sets."""
+    key = lambda c: F.xxhash64(c.cast("string"))
+    known = build_bloom(classes.select(key(F.col("low")).alias("key")), "key", 1 << 14)
+
+    @F.pandas_udf(T.BooleanType())
+    def wanted(keys: pd.Series) -> pd.Series:
+        return pd.Series(known.contains(keys.to_numpy(np.int64).view(np.uint64)))
+
+    source = docs.select(key(F.col(id)).alias("__k__"), F.col(text).alias("__t__")).where(wanted("__k__"))
     found = annotate(source, "__t__", _set_writer(size), [field("d1", "long"), field("d2", "long"), field("shingles", "binary")], [])
-    return found.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).dropDuplicates(["node"]).select("node", "shingles")
+    one = found.join(_small(classes.select("d1", "d2")), ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.any_value("shingles").alias("shingles"))
+    return classes.join(one, ["d1", "d2"])
 
 
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, pivots: tuple[int, ...] = (1, 4)) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``id``, n_shingles, component_id (least id reachable over links, its own included), kept.
 
     Words are runs without ASCII white space, A-Z as a-z; a document's set is its distinct ``size``-word shingles, or its whole
@@ -208,16 +224,15 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     texts have no set, are linked with nothing and are kept. ``kept`` holds where id = component_id (repeated rows with that id
     are all kept). Rows with a null id belong to the component of their set; its id ignores nulls. An empty table gives none.
     """
-    spark = docs.sparkSession
     fields = [field("n", "long"), field("d1", "long"), field("d2", "long"), field("registers", "binary"), field("odd", "binary")]
     source = docs.select(F.col(f"`{id}`").alias("__id__"), F.col(f"`{text}`").alias("__text__"))
     rows = materialize(annotate(source, "__text__", _sketcher(size), fields, ["__id__"]).withColumn("uid", F.monotonically_increasing_id()), "sketches")
     filled = rows.where("n > 0")
     classes = materialize(filled.groupBy("d1", "d2").agg(F.min("uid").alias("node"), F.min("__id__").alias("low"), F.any_value("registers").alias("registers"), F.any_value("odd").alias("odd"), F.any_value("n").alias("n")), "classes")
-    owned = _component_of(spark, source, "__id__", "__text__", classes, size, percent, pivots)
-    by_class = classes.join(owned, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"), "low")
-    lows = by_class.groupBy("component").agg(F.min("low").alias("component_id"))
-    lowest = by_class.join(lows, "component").select("d1", "d2", "component_id")
+    owned = _component_of(source, "__id__", "__text__", classes, size, percent)
+    lows = owned.join(classes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("component_id"))
+    named = materialize(owned.join(lows, "component").select("node", "component", "component_id"), "named")
+    lowest = classes.select("d1", "d2", "node", "low").join(_small(named), "node", "left").select("d1", "d2", F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
     linked = filled.select("__id__", "n", "d1", "d2").join(lowest, ["d1", "d2"]).select("__id__", "n", "component_id")
     alone = rows.where("n = 0").select("__id__", "n", F.col("__id__").alias("component_id"))
     every = linked.unionByName(alone)
@@ -263,7 +278,7 @@ def _signed(classes: DataFrame) -> DataFrame:
 def _could_link(a: str, b: str, percent: int) -> Column:
     """Sizes that allow the threshold, parity bits that allow the difference it allows (at most that many places, and no more
     than six deviations over what it would flip), and registers within ``MARGIN``: those differ in 15 of 16 cases."""
-    fits = (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent)
+    fits = _fits(f"{a}.n", f"{b}.n", percent)
     both = lambda name, k: F.col(f"{a}.{name}")[k].bitwiseXOR(F.col(f"{b}.{name}")[k])
     allowed = (F.col(f"{a}.n") + F.col(f"{b}.n")) * ((100 - percent) / (100 + percent))
     flipped = reduce(lambda x, y: x + y, [F.bit_count(both("odd", k)) for k in range(PARITY // 64)])
@@ -279,33 +294,29 @@ def _could_link(a: str, b: str, percent: int) -> Column:
     return fits & (flipped <= F.least(allowed + 1e-6, expected + 3 * PARITY**0.5)) & (total <= int(REGISTERS * (1 - percent / 100 + MARGIN) * 15 / 16))
 
 
-def _component_of(spark: SparkSession, docs: DataFrame, id: str, text: str, classes: DataFrame, size: int, percent: int, pivots: tuple[int, ...]) -> DataFrame:
-    """(node, component) of the classes that have a link.
-
-    ``pivots`` gives how many nodes of a bucket the others are compared with, turn by turn: the most central, those in the
-    largest buckets, near what a group was copied from. A last turn compares what no link has joined.
-    """
-    cells = materialize(_buckets(classes), "cells")
-    shared = cells.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    cells = materialize(cells.join(shared, "bucket"), "shared")
-    nodes = cells.groupBy("node").agg(F.sum("c").alias("central")).join(_signed(classes), "node")
-    cells = materialize(cells.select("bucket", "node").join(nodes, "node").select("bucket", F.struct("node", "n", "sig", "odd", "central").alias("x")), "cells")
-    sets = materialize(_sets_of(docs, id, text, classes, cells.select("x.node").distinct(), size), "sets")
-    edges = spark.createDataFrame([], "a long, b long")
-    joined = spark.createDataFrame([], "node long, component long")
-    for most in (*pivots, 0):
-        labelled = cells.join(joined, F.col("x.node") == joined["node"], "left").select("bucket", "x", F.coalesce("component", "x.node").alias("component"))
-        split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        left = materialize(labelled.join(split, "bucket"), "apart")
-        other = left.select("bucket", F.col("x").alias("y"), F.col("component").alias("other"))
-        if most:
-            other = other.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("y.central").desc(), "y.node"))).where(F.col("rank") <= most).drop("rank")
-        apart = (F.col("component") != F.col("other")) & (F.lit(True) if most else F.col("x.node") < F.col("y.node"))
-        pairs = left.join(other, "bucket").where(apart & _could_link("x", "y", percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        found = materialize(_verified(pairs.distinct(), classes, sets, percent), "links")
-        edges = edges.union(found)
-        joined = materialize(connected_components(edges), "joined")
-    return joined
+def _component_of(docs: DataFrame, id: str, text: str, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that have a link."""
+    cells = _cells(classes)
+    several = cells.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    shared = materialize(cells.join(several, "bucket"), "cells")
+    central = shared.groupBy("node").agg(F.sum("c").alias("central"))
+    nodes = materialize(_with_sets(docs, id, text, classes.join(central, "node").select("node", "central", "n", "d1", "d2", "low", "registers", "odd"), size), "nodes")
+    # the most central class of a bucket is near what a group was copied from
+    ranked = shared.join(central, "node").groupBy("bucket").agg(F.max(F.struct("central", "node", F.col("n").alias("m"))).alias("top")).select("bucket", "top.node", "top.m").withColumnRenamed("node", "pivot")
+    stars = shared.join(ranked, "bucket").where((F.col("node") != F.col("pivot")) & _fits("n", "m", percent))
+    found = materialize(_verified(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), nodes, percent), "links")
+    joined = connected_components(found)
+
+    labelled = shared.join(_small(joined), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    labelled = materialize(labelled, "labelled")
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    left = materialize(labelled.join(split, "bucket").join(_signed(nodes), "node").select("bucket", "component", F.struct("node", "n", "sig", "odd").alias("x")), "apart")
+    other = left.select("bucket", F.col("x").alias("y"), F.col("component").alias("other"))
+    near = (F.col("component") != F.col("other")) & (F.col("x.node") < F.col("y.node")) & _could_link("x", "y", percent)
+    pairs = left.join(other, "bucket").where(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    more = materialize(_verified(pairs, nodes, percent), "links")
+    release(left, labelled, shared)
+    return connected_components(found.union(more))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ from tessera.llm._arrow import annotate, field, select_rows
 from tessera.llm._words import NON_LETTER_BYTES, WordHasher, mix64
 
 FOLDS = 5
+#: Text read into features at a time; they take about thirty times that.
+_PIECE = 1 << 21
 STEMS = (4, 5, 6)
 
 
@@ -182,7 +184,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", te
     sample = part(F.col(names[-1])).unionByName(part(~F.col(names[-1])))
     source = docs.select(F.col(f"`{id}`").alias("__id__"), F.col(f"`{text}`").cast("string").alias("__text__")).where(F.coalesce(F.length("__text__"), F.lit(0)) <= most_chars)
     # at most 2 * most_rows labelled ids
-    found = annotate(source.join(F.broadcast(sample.select("__id__")), "__id__", "left_semi"), "__text__", _featurizer, [field("words", "binary"), field("n", "double"), field("digest", "long")], ["__id__"])
+    found = annotate(source.join(F.broadcast(sample.select("__id__")), "__id__", "left_semi"), "__text__", _featurizer, [field("words", "binary"), field("n", "double"), field("digest", "long")], ["__id__"], _PIECE)
     one = found.groupBy("__id__").agg(F.min_by(F.struct("words", "n", "digest"), "digest").alias("x")).select("__id__", "x.*")
     rows = one.join(F.broadcast(sample), "__id__").select("words", "n", "digest", *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(names)])
 
@@ -225,7 +227,7 @@ def score_toxicity(docs: DataFrame, chain: list[Link], *, text: str = "text", ke
     Null and empty texts are scored as documents without words. Repeated rows are each scored. Without labelled rows, or with
     one class only, the chain is constant and nothing is called toxic unless every label was.
     """
-    return annotate(docs, text, _scorer(chain), [field(f"p_{c.name}", "double") for c in chain], keep)
+    return annotate(docs, text, _scorer(chain), [field(f"p_{c.name}", "double") for c in chain], keep, _PIECE)
 
 
 def drop_toxic(docs: DataFrame, chain: list[Link], *, text: str = "text") -> DataFrame:
@@ -239,7 +241,7 @@ def drop_toxic(docs: DataFrame, chain: list[Link], *, text: str = "text") -> Dat
         hasher = WordHasher(NON_LETTER_BYTES)
         return lambda texts: chain_probabilities(chain, hasher, texts)[-1] < chain[-1].threshold
 
-    return select_rows(docs, text, make)
+    return select_rows(docs, text, make, _PIECE)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
