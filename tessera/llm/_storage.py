@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _run_dirs: dict[str, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -39,19 +40,23 @@ def run_dir(spark: SparkSession) -> str:
     return _run_dirs[name]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there and a lost executor loses nothing.
 
-    The shuffle files behind it are given back at once, as nothing reads them again.
+    The shuffle files behind it are given back at once, as nothing reads them again. ``arrow_rows`` bounds the rows that go to
+    Python at a time where they are large.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true"} | ({_ARROW_ROWS: str(arrow_rows)} if arrow_rows else {})
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out

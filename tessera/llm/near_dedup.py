@@ -35,6 +35,8 @@ MARGIN = 0.15
 #: Bits of the parity sketch.
 PARITY = 2048
 MOST_BROADCAST_KEYS = 1 << 16
+#: Pairs verified at a time, of some ten thousand bytes each.
+_PAIR_ROWS = 1000
 
 
 def shingle_sets(rows: np.ndarray, words: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +306,7 @@ def _component_of(docs: DataFrame, id: str, text: str, classes: DataFrame, size:
     # the most central class of a bucket is near what a group was copied from
     ranked = shared.join(central, "node").groupBy("bucket").agg(F.max(F.struct("central", "node", F.col("n").alias("m"))).alias("top")).select("bucket", "top.node", "top.m").withColumnRenamed("node", "pivot")
     stars = shared.join(ranked, "bucket").where((F.col("node") != F.col("pivot")) & _fits("n", "m", percent))
-    found = materialize(_verified(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), nodes, percent), "links")
+    found = materialize(_verified(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")), nodes, percent), "links", _PAIR_ROWS)
     joined = connected_components(found)
 
     labelled = shared.join(_small(joined), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
@@ -314,7 +316,7 @@ def _component_of(docs: DataFrame, id: str, text: str, classes: DataFrame, size:
     other = left.select("bucket", F.col("x").alias("y"), F.col("component").alias("other"))
     near = (F.col("component") != F.col("other")) & (F.col("x.node") < F.col("y.node")) & _could_link("x", "y", percent)
     pairs = left.join(other, "bucket").where(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = materialize(_verified(pairs, nodes, percent), "links")
+    more = materialize(_verified(pairs, nodes, percent), "links", _PAIR_ROWS)
     release(left, labelled, shared)
     return connected_components(found.union(more))
 
