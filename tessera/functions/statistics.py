@@ -18,6 +18,20 @@ def p_two_sided(null: Column, real: Column) -> Column:
     return F.least(F.lit(1.0), 2 * F.least(p_right(null, real), p_left(null, real)))
 
 
+def finite(x: Column) -> Column:
+    """The value, or null where it is NaN or infinite, so that aggregates leave it out."""
+    x = x.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def finite_mean(x: Column) -> Column:
+    return F.avg(finite(x))
+
+
+def finite_median(x: Column) -> Column:
+    return F.median(finite(x))
+
+
 def null_summary(df: DataFrame, by: list[str], null: str = "null_value", real: str = "real_value") -> DataFrame:
     """Per group: the real value against its null draws; effect is null where the null median is 0."""
     real_value = F.max(real)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,36 +15,54 @@ def pulse(nodes: DataFrame, targets: DataFrame, heat: float) -> DataFrame:
     return nodes.select("node").join(targets.select("node", F.lit(1).alias("hit")), "node", "left").select("node", F.when(F.col("hit") == 1, F.lit(float(heat))).otherwise(F.lit(0.0)).alias("heat"))
 
 
-def advance(state: DataFrame, nbrs: DataFrame, half_life: float = 120.0, fraction: float = 0.12, floor: float = 0.01, keys: tuple[str, ...] = ()) -> DataFrame:
-    """One synchronous tick of (keys..., node, heat): decay, zero at or under the floor, then each warm node sends a fraction of
-    its heat to its neighbours by weight. Only warm nodes are joined with edges."""
-    k = [*keys, "node"]
-    decayed = state.withColumn("heat", F.col("heat") * F.pow(F.lit(0.5), F.lit(1.0 / half_life)))
-    decayed = decayed.withColumn("heat", F.when(F.col("heat") > floor, F.col("heat")).otherwise(0.0))
-    totals = nbrs.where("weight > 0").groupBy("node").agg(F.sum("weight").alias("all_weight"))
-    sends = decayed.where("heat > 0").join(nbrs.where("weight > 0"), "node").join(totals, "node")
-    incoming = sends.groupBy(*keys, F.col("neighbour").alias("node")).agg(F.sum(F.col("heat") * fraction * F.col("weight") / F.col("all_weight")).alias("received"))
-    kept = decayed.join(totals, "node", "left").withColumn("heat", F.when(F.col("all_weight").isNotNull(), F.col("heat") * (1 - fraction)).otherwise(F.col("heat"))).drop("all_weight")
-    return kept.join(incoming, k, "left").withColumn("heat", F.col("heat") + F.coalesce("received", F.lit(0.0))).drop("received")
+def sending(nbrs: DataFrame) -> DataFrame:
+    """(node, out): what part of what a node sends goes to each neighbour, as a list (a node has few neighbours)."""
+    useful = nbrs.where("weight > 0").groupBy("node").agg(F.sum("weight").alias("all"), F.array_sort(F.collect_list(F.struct("neighbour", "weight"))).alias("out"))
+    return useful.select("node", F.transform("out", lambda x: F.struct(x["neighbour"].alias("to"), (x["weight"] / F.col("all")).alias("share"))).alias("out"))
 
 
-def heat_auc(state: DataFrame, nbrs: DataFrame, ticks: int, horizons: list[int], checkpoint=None, **options) -> DataFrame:
-    """(horizon, keys..., node, auc): heat summed over ticks, at each horizon. ``checkpoint`` (DataFrame -> DataFrame) cuts the
-    lineage every eighth tick where a run is long."""
-    keys = tuple(options.get("keys", ()))
-    state = state.withColumn("auc", F.lit(0.0))
-    out = []
+def _tick(state: DataFrame, shares: DataFrame, half_life: float, fraction: float, floor: float, keys: tuple[str, ...]) -> DataFrame:
+    """One synchronous tick of (keys..., node, heat, auc): each row gives what it keeps and, where it is warm, what it sends to each
+    neighbour, and all are summed by node. The state is read once, so plans of many ticks stay as long as they are many."""
+    decayed = F.col("heat") * F.pow(F.lit(0.5), F.lit(1.0 / half_life))
+    warm = state.withColumn("heat", F.when(decayed > floor, decayed).otherwise(F.lit(0.0))).join(shares, "node", "left")
+    kept = F.struct(F.col("node").alias("to"), F.when(F.col("out").isNull(), F.col("heat")).otherwise(F.col("heat") * (1 - fraction)).alias("heat"), F.col("auc"), F.lit(1).alias("own"))
+    sent = F.transform("out", lambda x: F.struct(x["to"].alias("to"), (F.col("heat") * fraction * x["share"]).alias("heat"), F.lit(0.0).alias("auc"), F.lit(0).alias("own")))
+    rows = F.when((F.col("heat") > 0) & F.col("out").isNotNull(), F.concat(F.array(kept), sent)).otherwise(F.array(kept))
+    moved = warm.select(*keys, F.explode(rows).alias("x")).groupBy(*keys, F.col("x.to").alias("node")).agg(F.sum("x.heat").alias("heat"), F.sum("x.auc").alias("auc"), F.max("x.own").alias("own")).where("own = 1")
+    return moved.select(*keys, "node", "heat", (F.col("auc") + F.col("heat")).alias("auc"))
+
+
+def _evolve(state: DataFrame, nbrs: DataFrame, ticks: int, horizons: list[int], half_life: float = 120.0, fraction: float = 0.12, floor: float = 0.01, keys: tuple[str, ...] = (), checkpoint=None) -> dict[int, DataFrame]:
+    shares = checkpoint(sending(nbrs)) if checkpoint else sending(nbrs).persist()
+    state = state.select(*keys, "node", "heat", F.lit(0.0).alias("auc"))
+    out = {}
     for t in range(1, ticks + 1):
-        moved = advance(state.drop("auc"), nbrs, **options)
-        state = moved.join(state.select(*keys, "node", "auc"), [*keys, "node"]).withColumn("auc", F.col("auc") + F.col("heat"))
-        if checkpoint and t % 8 == 0:
+        state = _tick(state, shares, half_life, fraction, floor, keys)
+        if checkpoint and (t % 8 == 0 or t in horizons):
             state = checkpoint(state)
         if t in horizons:
-            out.append(state.select(F.lit(t).cast("long").alias("horizon"), *keys, "node", "auc"))
-    merged = out[0]
-    for df in out[1:]:
-        merged = merged.union(df)
-    return merged
+            out[t] = state
+    return out
+
+
+def advance_many(state: DataFrame, nbrs: DataFrame, ticks: int, **options) -> DataFrame:
+    """(keys..., node, heat) after ``ticks`` synchronous ticks: decay, zero at or under the floor, then each warm node sends a fraction of its
+    heat to its neighbours by weight. Only warm nodes are joined with edges. ``checkpoint`` (DataFrame -> DataFrame) cuts the lineage
+    of a long run every eighth tick."""
+    return _evolve(state, nbrs, ticks, [ticks], **options)[ticks].drop("auc")
+
+
+def advance(state: DataFrame, nbrs: DataFrame, **options) -> DataFrame:
+    """One tick of ``advance_many``."""
+    return advance_many(state, nbrs, 1, **options)
+
+
+def heat_auc(state: DataFrame, nbrs: DataFrame, ticks: int, horizons: list[int], **options) -> DataFrame:
+    """(horizon, keys..., node, auc): heat summed over ticks, at each horizon, in one pass."""
+    found = _evolve(state, nbrs, ticks, horizons, **options)
+    keys = tuple(options.get("keys", ()))
+    return reduce(DataFrame.unionByName, [found[h].select(F.lit(h).cast("long").alias("horizon"), *keys, "node", "auc") for h in sorted(found)])
 
 
 def foreign_fraction(auc: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:

@@ -12,7 +12,8 @@ OUT_DEGREE, NEIGHBOURS = 6, 12
 
 def similarity_edges(chunks: DataFrame, threshold: float = 0.55, most: int = OUT_DEGREE, territory: str = "territory") -> DataFrame:
     """(source, target, weight): a chunk's ``most`` most similar chunks of its territory at or over the threshold, ties by
-    target descending. The join is on the territory, whose size is capped, so no territory becomes a cross product at scale."""
+    target descending. All pairs of a territory are compared: for territories of capped size. ``registry.bounded_edges`` compares a
+    fixed number of candidates whatever the territories' sizes."""
     side = lambda s: chunks.where(F.col("embedding").isNotNull()).select(territory, F.col("id").alias(s), F.col("embedding").alias(f"{s}_v"))
     pairs = side("source").join(side("target"), territory).where("source <> target").withColumn("weight", cosine(F.col("source_v"), F.col("target_v"))).where(F.col("weight") >= threshold)
     best = Window.partitionBy("source").orderBy(F.col("weight").desc(), F.col("target").desc())
@@ -100,3 +101,20 @@ def lesion(nbrs: DataFrame, target: DataFrame, related: DataFrame) -> DataFrame:
     t, r = target.select(F.col("node").alias("t")), related.select(F.col("node").alias("r"))
     marked = nbrs.join(t, nbrs["node"] == t["t"], "left").join(r, nbrs["neighbour"] == r["r"], "left").where("t is null or r is null").drop("t", "r")
     return marked.join(t, marked["neighbour"] == t["t"], "left").join(r, marked["node"] == r["r"], "left").where("t is null or r is null").drop("t", "r")
+
+
+def component(nbrs: DataFrame, seed: DataFrame, checkpoint=None) -> DataFrame:
+    """(node): all that the seed (node) reaches, step by step until nothing is new; each step joins the frontier alone."""
+    reached = frontier = seed.select("node").distinct()
+    while not frontier.isEmpty():
+        step = frontier.join(nbrs, "node").select(F.col("neighbour").alias("node")).distinct()
+        frontier = step.join(reached, "node", "left_anti")
+        frontier = checkpoint(frontier) if checkpoint else frontier.persist()
+        reached = reached.union(frontier)
+    return reached
+
+
+def component_classes(nbrs: DataFrame, seed: DataFrame, classes: DataFrame, checkpoint=None) -> DataFrame:
+    """(class, nodes) over the seed's component; unknown nodes are other."""
+    seen = component(nbrs, seed, checkpoint).join(classes, "node", "left")
+    return seen.groupBy(F.coalesce("class", F.lit("other")).alias("class")).agg(F.count("*").alias("nodes"))

@@ -58,9 +58,14 @@ def centroids(chunks: DataFrame) -> DataFrame:
     return means.groupBy("territory").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"), F.max("members").alias("members"))
 
 
-def nearest(territories: DataFrame, query: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` territories nearest to each query (query_id, vector); the queries are few and broadcast."""
-    scored = territories.crossJoin(F.broadcast(query)).withColumn("similarity", cosine(F.col("vector"), F.col("centroid")))
+def nearest(territories: DataFrame, query: DataFrame, k: int = 3, most: int = 1 << 14) -> DataFrame:
+    """The ``k`` territories nearest to each query (query_id, vector). The side of fewer than ``most`` rows is broadcast, the territories
+    if both are; one of them must be."""
+    sides = [territories, query]
+    small = next((i for i, df in enumerate(sides) if df.limit(most + 1).count() <= most), None)
+    if small is None:
+        raise ValueError(f"over {most} territories and queries: ask in blocks")
+    scored = sides[1 - small].crossJoin(F.broadcast(sides[small])).withColumn("similarity", cosine(F.col("vector"), F.col("centroid")))
     best = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "territory")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "territory", "similarity", "rank")
 

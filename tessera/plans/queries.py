@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import activation, statistics, text, vectors
 from tessera.functions.arrow import hash_embedder, visible_html, xml_text
+from tessera.functions.config import DynamicsConfig
 from tessera.functions.embedding import HashEmbedder, embed_chunks
-from tessera.operators import corpus, dynamics, graph, permutation, tables, territories, walks
+from tessera.operators import battery, corpus, dynamics, graph, permutation, registry, tables, territories, walks
 from tessera.sources import corpus_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,10 +50,14 @@ def nbrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("label") == 0, "origin").when(F.col("label").isin(1, 2, 3), "related").otherwise("other")
+    kind = F.when(F.col("vec_id") % 7 == 0, "origin").when(F.col("vec_id") % 7 <= 2, "related").otherwise("other")
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), kind.alias("class"))
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.concat(F.lit("s"), (F.col("vec_id") % 7).cast("string")).alias("source"))
+
+
 _COS = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
 _E = f"""p AS (SELECT a.vec_id AS source, b.vec_id AS target, {_COS} AS weight FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
 e AS (SELECT source, target, weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target DESC) AS r FROM p WHERE weight >= {THRESHOLD}) WHERE r <= 6)"""
@@ -60,7 +65,8 @@ _N = _E + """,
 both_ways AS (SELECT source AS node, target AS neighbour, weight FROM e UNION ALL SELECT target, source, weight FROM e),
 m AS (SELECT node, neighbour, max(weight) AS weight FROM both_ways GROUP BY ALL),
 n AS (SELECT node, neighbour, weight FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, neighbour) AS r FROM m) WHERE r <= 12)"""
-_C = "c AS (SELECT vec_id AS node, CASE WHEN label = 0 THEN 'origin' WHEN label IN (1, 2, 3) THEN 'related' ELSE 'other' END AS class FROM embeddings)"
+_C = "c AS (SELECT vec_id AS node, CASE WHEN vec_id % 7 = 0 THEN 'origin' WHEN vec_id % 7 <= 2 THEN 'related' ELSE 'other' END AS class FROM embeddings)"
+_G = "g AS (SELECT vec_id AS node, 's' || (vec_id % 7) AS source FROM embeddings)"
 
 
 # --- scans, lookups and keyed mutations ------------------------------------------------------------------------------
@@ -284,22 +290,10 @@ def neighbour_profile(spark, sf_dir):
     return out.withColumns({c: F.round(c, 8) for c in out.columns if c.startswith("w_")})
 
 
-def _loose(spark, sf_dir):
-    base = chunks(spark, sf_dir).where("id < 250").withColumn("territory", F.lit(0))
-    return graph.neighbours(graph.similarity_edges(base, 0.25))
-
-
-_L = f"""lp AS (SELECT a.vec_id AS source, b.vec_id AS target, {_COS} AS weight FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id < 250 AND b.vec_id < 250),
-le AS (SELECT source, target, weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target DESC) AS r FROM lp WHERE weight >= 0.25) WHERE r <= 6),
-lb AS (SELECT source AS node, target AS neighbour, weight FROM le UNION ALL SELECT target, source, weight FROM le),
-lm AS (SELECT node, neighbour, max(weight) AS weight FROM lb GROUP BY ALL),
-n AS (SELECT node, neighbour, weight FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, neighbour) AS r FROM lm) WHERE r <= 12)"""
-
-
-@query(f"""WITH {_L}, {_C}, s AS (SELECT a.class, n.node, round(coalesce(sum(weight) FILTER (b.class <> a.class), 0), 9) AS f, round(sum(weight), 9) AS t FROM n JOIN c a ON a.node = n.node JOIN c b ON b.node = n.neighbour GROUP BY ALL)
+@query(f"""WITH {_N}, {_C}, s AS (SELECT a.class, n.node, round(coalesce(sum(weight) FILTER (b.class <> a.class), 0), 9) AS f, round(sum(weight), 9) AS t FROM n JOIN c a ON a.node = n.node JOIN c b ON b.node = n.neighbour GROUP BY ALL)
 SELECT class, node AS bridge, f AS foreign_weight FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY f DESC, t DESC, node DESC) AS r FROM s) WHERE r = 1""")
 def bridge_nodes(spark, sf_dir):
-    return graph.bridges(_loose(spark, sf_dir), classes(spark, sf_dir))
+    return graph.bridges(nbrs(spark, sf_dir), classes(spark, sf_dir))
 
 
 @query(f"WITH {_E}, b AS (SELECT source, target FROM e WHERE source % 3 <> 0), a AS (SELECT source, target FROM e WHERE target % 3 <> 0) SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b))::DOUBLE / (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS jaccard")
@@ -325,11 +319,11 @@ def online_territories(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS v FROM f GROUP BY label),
-q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 5), s AS (SELECT vec_id AS query_id, label AS territory, list_inner_product(v, e) / sqrt(list_inner_product(v, v) * list_inner_product(e, e)) AS x FROM c, q)
+q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT vec_id AS query_id, label AS territory, list_inner_product(v, e) / sqrt(list_inner_product(v, v) * list_inner_product(e, e)) AS x FROM c, q)
 SELECT query_id, territory, round(x, 8) AS similarity, r::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, territory) AS r FROM s) WHERE r <= 3""")
 def nearest_territories(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    queries = c.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    queries = c.select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
     return territories.nearest(territories.centroids(c), queries).select("query_id", "territory", F.round("similarity", 8).alias("similarity"), F.col("rank").cast("long"))
 
 
@@ -364,35 +358,121 @@ def effective_heat(spark, sf_dir):
     return read(spark, sf_dir, "events").where("value is not null").select("event_id", F.round(heat, 8).alias("heat"))
 
 
-_TICK = """h{b}0 AS (SELECT node, CASE WHEN heat * pow(0.5, 1.0 / 120) > 0.01 THEN heat * pow(0.5, 1.0 / 120) ELSE 0 END AS heat FROM h{a}),
-i{b} AS (SELECT n.neighbour AS node, sum(h.heat * 0.12 * n.weight / t.w) AS r FROM h{b}0 h JOIN n ON n.node = h.node JOIN t ON t.node = h.node WHERE h.heat > 0 GROUP BY n.neighbour),
-h{b} AS (SELECT h.node, CASE WHEN t.w IS NULL THEN h.heat ELSE h.heat * (1 - 0.12) END + coalesce(r, 0) AS heat FROM h{b}0 h LEFT JOIN t ON t.node = h.node LEFT JOIN i{b} i ON i.node = h.node)"""
-_H = f"{_L}, t AS (SELECT node, sum(weight) AS w FROM n GROUP BY node), h0 AS (SELECT vec_id AS node, CASE WHEN vec_id = 1 THEN 3.0::DOUBLE ELSE 0 END AS heat FROM embeddings WHERE vec_id < 250), {_TICK.format(a=0, b=1)}, {_TICK.format(a=1, b=2)}"
+_TICK = """h{b}0 AS MATERIALIZED (SELECT node, CASE WHEN heat * pow(0.5, 1.0 / 120) > 0.01 THEN heat * pow(0.5, 1.0 / 120) ELSE 0 END AS heat FROM h{a}),
+i{b} AS MATERIALIZED (SELECT n.neighbour AS node, sum(h.heat * 0.12 * n.weight / t.w) AS r FROM h{b}0 h JOIN n ON n.node = h.node JOIN t ON t.node = h.node WHERE h.heat > 0 GROUP BY n.neighbour),
+h{b} AS MATERIALIZED (SELECT h.node, CASE WHEN t.w IS NULL THEN h.heat ELSE h.heat * (1 - 0.12) END + coalesce(r, 0) AS heat FROM h{b}0 h LEFT JOIN t ON t.node = h.node LEFT JOIN i{b} i ON i.node = h.node)"""
+_TICKS = 8
+_H = f"{_N.replace('n AS (', 'n AS MATERIALIZED (')}, t AS (SELECT node, sum(weight) AS w FROM n GROUP BY node), h0 AS (SELECT vec_id AS node, CASE WHEN vec_id = 1 THEN 3.0::DOUBLE ELSE 0 END AS heat FROM embeddings), " + ", ".join(_TICK.format(a=k, b=k + 1) for k in range(_TICKS))
+_SUM = lambda k: "(SELECT node, sum(heat) AS auc FROM (" + " UNION ALL ".join(f"SELECT * FROM h{i}" for i in range(1, k + 1)) + ") GROUP BY node)"
 
 
 def _pulsed(spark, sf_dir):
-    nodes = chunks(spark, sf_dir).where("id < 250").select(F.col("id").alias("node"))
+    nodes = chunks(spark, sf_dir).select(F.col("id").alias("node"))
     return dynamics.pulse(nodes, nodes.where("node = 1"), 3.0)
 
 
-@query(f"WITH {_H} SELECT node, round(heat, 8) AS heat FROM h2")
+@query(f"WITH {_H} SELECT node, round(heat, 8) AS heat FROM h{_TICKS}")
 def heat_ticks(spark, sf_dir):
-    n = _loose(spark, sf_dir)
-    return dynamics.advance(dynamics.advance(_pulsed(spark, sf_dir), n), n).withColumn("heat", F.round("heat", 8))
+    return dynamics.advance_many(_pulsed(spark, sf_dir), nbrs(spark, sf_dir), _TICKS).withColumn("heat", F.round("heat", 8))
 
 
-@query(f"WITH {_H} SELECT h.horizon, h.node, round(h.auc, 8) AS auc FROM (SELECT 1::BIGINT AS horizon, node, heat AS auc FROM h1 UNION ALL SELECT 2, h1.node, h1.heat + h2.heat FROM h1 JOIN h2 USING (node)) h")
+@query(f"WITH {_H} SELECT horizon, node, round(auc, 8) AS auc FROM (SELECT 4::BIGINT AS horizon, * FROM {_SUM(4)} UNION ALL SELECT 8, * FROM {_SUM(8)})")
 def heat_auc(spark, sf_dir):
-    return dynamics.heat_auc(_pulsed(spark, sf_dir), _loose(spark, sf_dir), 2, [1, 2]).withColumn("auc", F.round("auc", 8))
+    return dynamics.heat_auc(_pulsed(spark, sf_dir), nbrs(spark, sf_dir), _TICKS, [4, 8]).withColumn("auc", F.round("auc", 8))
 
 
-@query(f"WITH {_H}, {_C}, a AS (SELECT class, sum(h1.heat + h2.heat) AS x FROM h1 JOIN h2 USING (node) JOIN c USING (node) GROUP BY class) SELECT round(max(x) FILTER (class = 'origin'), 8) AS origin, round(max(x) FILTER (class = 'related'), 8) AS related, round(max(x) FILTER (class = 'other'), 8) AS other, round(max(x) FILTER (class = 'related') / sum(x) FILTER (class <> 'origin'), 8) AS fraction FROM a")
+@query(f"WITH {_H}, {_C}, a AS (SELECT class, sum(auc) AS x FROM {_SUM(8)} JOIN c USING (node) GROUP BY class) SELECT round(max(x) FILTER (class = 'origin'), 8) AS origin, round(max(x) FILTER (class = 'related'), 8) AS related, round(max(x) FILTER (class = 'other'), 8) AS other, round(max(x) FILTER (class = 'related') / sum(x) FILTER (class <> 'origin'), 8) AS fraction FROM a")
 def foreign_fraction(spark, sf_dir):
-    auc = dynamics.heat_auc(_pulsed(spark, sf_dir), _loose(spark, sf_dir), 2, [2])
+    auc = dynamics.heat_auc(_pulsed(spark, sf_dir), nbrs(spark, sf_dir), _TICKS, [8])
     out = dynamics.foreign_fraction(auc, classes(spark, sf_dir), ["horizon"]).drop("horizon")
     return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
 
 
+#: A tick of every target's pulse with the queue's semantics, where the budget covers all who are awake: who is awake decays and sends or, at
+#: or under the floor, is zeroed; what arrives is kept raw and wakes its node if that is over the floor.
+_QUEUE = """d{b} AS MATERIALIZED (SELECT target, node, heat, last, awake, heat * pow(0.5, ({b} - last) / 120.0) AS now FROM q{a}),
+a{b} AS MATERIALIZED (SELECT d.target, n.neighbour AS node, sum(now * 0.12 * n.weight / t.w) AS r FROM d{b} d JOIN n ON n.node = d.node JOIN t ON t.node = d.node WHERE awake AND now > 0.0001 GROUP BY ALL),
+b{b} AS MATERIALIZED (SELECT d.target, d.node, CASE WHEN awake AND now <= 0.0001 THEN 0 WHEN awake THEN now * CASE WHEN t.w IS NULL THEN 1 ELSE 1 - 0.12 END WHEN r IS NOT NULL THEN now ELSE heat END + coalesce(r, 0) AS heat, CASE WHEN awake OR r IS NOT NULL THEN {b} ELSE last END AS last, (awake AND now > 0.0001) OR r IS NOT NULL AS moved FROM d{b} d LEFT JOIN t ON t.node = d.node LEFT JOIN a{b} a ON a.target = d.target AND a.node = d.node),
+q{b} AS MATERIALIZED (SELECT target, node, heat, last, moved AND heat > 0.0001 AS awake FROM b{b})"""
+_Q = f"{_N.replace('n AS (', 'n AS MATERIALIZED (')}, t AS (SELECT node, sum(weight) AS w FROM n GROUP BY node), q0 AS (SELECT x.vec_id AS target, e.vec_id AS node, CASE WHEN x.vec_id = e.vec_id THEN 10.0::DOUBLE ELSE 0 END AS heat, 0 AS last, x.vec_id = e.vec_id AS awake FROM embeddings x, embeddings e WHERE x.vec_id % 7 = 0), " + ", ".join(_QUEUE.format(a=k, b=k + 1) for k in range(12))
+_WHOLE = DynamicsConfig(active_budget=1 << 30)
+
+
+@query(f"WITH {_Q}, s AS (" + " UNION ALL ".join(f"SELECT {h}::BIGINT AS horizon, target, node, sum(heat) AS auc FROM ({' UNION ALL '.join(f'SELECT target, node, heat FROM q{i}' for i in range(1, h + 1))}) GROUP BY ALL" for h in (5, 12)) + ") SELECT target, horizon, node, round(auc, 8) AS auc FROM s WHERE auc > 0")
+def heat_totals(spark, sf_dir):
+    targets = classes(spark, sf_dir).where("class = 'origin'")
+    return battery.heat_totals(_nodes(spark, sf_dir), nbrs(spark, sf_dir), targets, [5, 12], config=_WHOLE).withColumn("auc", F.round("auc", 8))
+
+
+def _nodes(spark, sf_dir):
+    return chunks(spark, sf_dir).select(F.col("id").alias("node"))
+
+
+@query()
+def pair_battery(spark, sf_dir):
+    return battery.pair_battery(_nodes(spark, sf_dir), nbrs(spark, sf_dir), classes(spark, sf_dir))
+
+
+@query()
+def pair_battery_summary(spark, sf_dir):
+    return battery.battery_summary(pair_battery(spark, sf_dir), [20, 60, 120, 240])
+
+
+@query()
+def global_nulls(spark, sf_dir):
+    drawn = battery.global_nulls(_nodes(spark, sf_dir), nbrs(spark, sf_dir), classes(spark, sf_dir), trials=1000)
+    return drawn.groupBy("target").agg(F.count("*").alias("trials"), F.median("fraction").alias("mid"), F.percentile("fraction", F.lit(0.95)).alias("q95"))
+
+
+@query()
+def source_cells(spark, sf_dir):
+    return battery.source_cells(_nodes(spark, sf_dir), nbrs(spark, sf_dir), sources(spark, sf_dir), trials=200)
+
+
+@query()
+def heat_field_signal(spark, sf_dir):
+    field = battery.heat_field(_nodes(spark, sf_dir), nbrs(spark, sf_dir), classes(spark, sf_dir).where("class = 'origin'"))
+    return battery.field_signal(field, nbrs(spark, sf_dir))
+
+
+@query()
+def routing_report(spark, sf_dir):
+    auc = battery.heat_totals(_nodes(spark, sf_dir), nbrs(spark, sf_dir), classes(spark, sf_dir).where("class = 'origin'"), [120]).drop("horizon")
+    top = permutation.top_destination(auc, sources(spark, sf_dir))
+    rows = battery.pair_battery(_nodes(spark, sf_dir), nbrs(spark, sf_dir), classes(spark, sf_dir), trials=1)
+    return battery.routing_summary(rows, top, classes(spark, sf_dir), sources(spark, sf_dir))
+
+
+@query(f"""WITH f AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL), z AS (SELECT label, list(m ORDER BY i) AS v FROM f GROUP BY label),
+k AS (SELECT vec_id, label AS t FROM (SELECT e.vec_id, z.label, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_inner_product(v, embedding::DOUBLE[]) / sqrt(list_inner_product(v, v) * list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) DESC, z.label) AS r FROM embeddings e, z) WHERE r <= 3),
+w AS (SELECT k.vec_id AS source, e.vec_id AS target, row_number() OVER (PARTITION BY k.vec_id, t ORDER BY e.vec_id DESC) AS r FROM k JOIN embeddings e ON e.label = k.t AND e.vec_id <= k.vec_id),
+p AS (SELECT source, target, {_COS} AS weight FROM w JOIN embeddings a ON a.vec_id = source JOIN embeddings b ON b.vec_id = target WHERE r <= 67 AND source <> target)
+SELECT source, target, round(weight, 9) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target DESC) AS r FROM p WHERE weight >= {THRESHOLD}) WHERE r <= 6""")
+def bounded_edges(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return registry.bounded_edges(c, territories.centroids(c), THRESHOLD).withColumn("weight", F.round("weight", 9))
+
+
+@query("SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS handle FROM embeddings")
+def node_handles(spark, sf_dir):
+    return registry.handles(chunks(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT vec_id AS id, (vec_id % 10) / 10.0::DOUBLE AS novelty, (vec_id % 4)::DOUBLE AS heat, vec_id % 50 AS last FROM embeddings WHERE vec_id % 3 <> 0)
+SELECT e.vec_id AS id, round(CASE WHEN s.id IS NOT NULL THEN s.heat * pow(0.5, (60 - last) / 120.0) ELSE 3.0 * (e.vec_id % 10) / 10 END, 9) AS effective, s.id IS NULL AS fresh FROM embeddings e LEFT JOIN s ON s.id = e.vec_id WHERE e.vec_id % 11 <> 0""")
+def registered_states(spark, sf_dir):
+    base = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("territory"), ((F.col("vec_id") % 10) / 10).alias("novelty"))
+    old = base.where("id % 3 <> 0").select("*", F.lit(0.0).alias("familiarity"), F.lit(1.0).alias("mass"), (F.col("id") % 4).cast("double").alias("heat"), (F.col("id") % 50).alias("last_decay_tick"), (F.col("id") % 50).alias("last_touch_tick"), F.lit(7).cast("long").alias("use_count"))
+    state = registry.remove(registry.register(old, base, 60), base.where("id % 11 = 0"))
+    return registry.with_effective(state, 60).select("id", F.round("effective", 9).alias("effective"), (F.col("use_count") == 0).alias("fresh"))
+
+
+@query("""WITH z AS (SELECT label, count(*) AS n, count(*) FILTER (vec_id % 5 <> 0) AS k FROM embeddings GROUP BY label) SELECT label AS territory, k::BIGINT AS members, round((SELECT avg(embedding[1]::DOUBLE) FROM embeddings e WHERE e.label = z.label AND vec_id % 5 <> 0), 8) AS first FROM z WHERE k > 0""")
+def centroids_after_removal(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return registry.centroids_without(territories.centroids(c), c.where("id % 5 = 0")).select("territory", "members", F.round(F.element_at("centroid", 1), 8).alias("first"))
+
+
 @query("""WITH s AS (SELECT user_id AS id, greatest(0, least(1, value / 100)) AS s FROM events WHERE value > 0), f AS (SELECT id, 1 - exp(sum(ln(1 - 0.08 * s))) AS closed, sum(s) AS given, count(*) AS uses FROM s WHERE s > 0 GROUP BY id)
 SELECT u.id, round(1 - (1 - 0.1) * (1 - coalesce(closed, 0)), 6) AS familiarity, round(1 + 0.15 * coalesce(given, 0), 6) AS mass, round(0.75 * coalesce(given, 0), 6) AS heat, coalesce(uses, 0)::BIGINT AS use_count FROM (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 2 = 0) u LEFT JOIN f ON f.id = u.id""")
 def feedback(spark, sf_dir):
@@ -414,15 +494,15 @@ def settling(spark, sf_dir):
     return out.select("tick", F.round("energy", 6).alias("energy"), F.round("change", 6).alias("change"), "quiet", "settled", "restabilized")
 
 
-@query("SELECT user_id AS node, round(sum(0.25 * value * pow(0.5, (20000 - event_id) / 200.0)), 8) AS value FROM events WHERE value IS NOT NULL AND event_id BETWEEN 9000 AND 20000 GROUP BY user_id")
+@query("SELECT user_id AS node, round(sum(0.25 * value * pow(0.5, (200000 - event_id) / 20000.0)), 8) AS value FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def heat_map(spark, sf_dir):
-    touches = read(spark, sf_dir, "events").where("value is not null and event_id between 9000 and 20000").select(F.col("user_id").alias("node"), F.col("event_id").alias("tick"), F.col("value").alias("weight"))
-    return dynamics.heat_map(touches, 20000).withColumn("value", F.round("value", 8))
+    touches = read(spark, sf_dir, "events").where("value is not null").select(F.col("user_id").alias("node"), F.col("event_id").alias("tick"), F.col("value").alias("weight"))
+    return dynamics.heat_map(touches, 200000, half_life=20000.0).withColumn("value", F.round("value", 8))
 
 
-@query("SELECT user_id AS node, round(1 - pow(2, -(20000 - max(event_id)) / 200.0), 8) AS value FROM events WHERE event_id <= 20000 GROUP BY user_id")
+@query("SELECT user_id AS node, round(1 - pow(2, -(200000 - max(event_id)) / 20000.0), 8) AS value FROM events GROUP BY user_id")
 def cold_map(spark, sf_dir):
-    return dynamics.cold_map(read(spark, sf_dir, "events").where("event_id <= 20000").select(F.col("user_id").alias("node"), F.col("event_id").alias("tick")), 20000).withColumn("value", F.round("value", 8))
+    return dynamics.cold_map(read(spark, sf_dir, "events").select(F.col("user_id").alias("node"), F.col("event_id").alias("tick")), 200000, half_life=20000.0).withColumn("value", F.round("value", 8))
 
 
 # --- statistics and permutation nulls --------------------------------------------------------------------------------
@@ -464,36 +544,36 @@ def rank_correlation(spark, sf_dir):
     return statistics.spearman(rows, "a", "b", ["l_returnflag"]).withColumn("rho", F.round("rho", 8))
 
 
-@query("""WITH v AS (SELECT vec_id AS id, embedding[1]::DOUBLE + 0.02 AS x FROM embeddings WHERE vec_id < 60), d AS (SELECT trial, CASE WHEN sha256('3:' || trial || ':' || id)[1:1] < '8' THEN x ELSE -x END AS y FROM v, range(200) t(trial)), m AS (SELECT trial, median(y) AS m FROM d GROUP BY trial), r AS (SELECT median(x) AS r FROM v)
+@query("""WITH v AS (SELECT vec_id AS id, embedding[1]::DOUBLE + 0.02 AS x FROM embeddings), d AS (SELECT trial, CASE WHEN sha256('3:' || trial || ':' || id)[1:1] < '8' THEN x ELSE -x END AS y FROM v, range(200) t(trial)), m AS (SELECT trial, median(y) AS m FROM d GROUP BY trial), r AS (SELECT median(x) AS r FROM v)
 SELECT round(r, 8) AS real_median, round((1 + count(*) FILTER (m >= r)) / (1 + count(*)), 9) AS p, count(*)::BIGINT AS trials FROM m, r GROUP BY r""")
 def sign_flip(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").where("vec_id < 60").select(F.col("vec_id").alias("id"), (F.element_at("embedding", 1).cast("double") + 0.02).alias("x"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.element_at("embedding", 1).cast("double") + 0.02).alias("x"))
     return statistics.sign_flip_test(rows, "x", "id", 200, 3).select(F.round("real_median", 8).alias("real_median"), F.round("p", 9).alias("p"), "trials")
 
 
 def _movers(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").where("vec_id < 250").select(F.col("vec_id").alias("node"), (F.col("vec_id") == 1).alias("fixed"), (F.col("label") % 3).alias("stratum"))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), (F.col("vec_id") == 1).alias("fixed"), (F.col("label") % 3).alias("stratum"))
 
 
-_PERM = """mv AS (SELECT vec_id AS node, label % 3 AS stratum, trial FROM embeddings, range(5) t(trial) WHERE vec_id < 250 AND vec_id <> 1),
+_PERM = """mv AS (SELECT vec_id AS node, label % 3 AS stratum, trial FROM embeddings, range(20) t(trial) WHERE vec_id <> 1),
 pa AS (SELECT *, row_number() OVER (PARTITION BY trial{s} ORDER BY node) AS k FROM mv), pb AS (SELECT trial, stratum, node AS identity, row_number() OVER (PARTITION BY trial{s} ORDER BY sha256('9:' || trial || ':' || node)) AS k FROM mv),
 pm AS (SELECT pa.trial, pa.node, pb.identity FROM pa JOIN pb ON pa.trial = pb.trial AND pa.k = pb.k{j})"""
 
 
 @query("WITH " + _PERM.format(s="", j="") + " SELECT trial::INTEGER AS trial, node, identity FROM pm")
 def identity_permutation(spark, sf_dir):
-    return permutation.permutations(_movers(spark, sf_dir), 5, 9)
+    return permutation.permutations(_movers(spark, sf_dir), 20, 9)
 
 
 @query("WITH " + _PERM.format(s=", stratum", j=" AND pa.stratum = pb.stratum") + " SELECT trial::INTEGER AS trial, node, identity FROM pm")
 def stratified_permutation(spark, sf_dir):
-    return permutation.permutations(_movers(spark, sf_dir), 5, 9, "stratum")
+    return permutation.permutations(_movers(spark, sf_dir), 20, 9, "stratum")
 
 
-@query(f"WITH {_H}, {_C}, {_PERM.format(s='', j='')}, a AS (SELECT node, h1.heat + h2.heat AS auc FROM h1 JOIN h2 USING (node)), z AS (SELECT trial, a.node, auc, coalesce(identity, a.node) AS identity FROM a CROSS JOIN range(5) t(trial) LEFT JOIN pm USING (trial, node)) SELECT trial::INTEGER AS trial, 2::BIGINT AS horizon, round(sum(auc) FILTER (class = 'related') / sum(auc) FILTER (class <> 'origin'), 8) AS fraction FROM z JOIN c ON c.node = z.identity GROUP BY trial")
+@query(f"WITH {_H}, {_C}, {_PERM.format(s='', j='')}, a AS {_SUM(8)}, z AS (SELECT trial, a.node, auc, coalesce(identity, a.node) AS identity FROM a CROSS JOIN range(20) t(trial) LEFT JOIN pm USING (trial, node)) SELECT trial::INTEGER AS trial, 8::BIGINT AS horizon, round(sum(auc) FILTER (class = 'related') / sum(auc) FILTER (class <> 'origin'), 8) AS fraction FROM z JOIN c ON c.node = z.identity GROUP BY trial")
 def null_fractions(spark, sf_dir):
-    auc = dynamics.heat_auc(_pulsed(spark, sf_dir), _loose(spark, sf_dir), 2, [2])
-    return permutation.null_fractions(auc, permutation.permutations(_movers(spark, sf_dir), 5, 9), classes(spark, sf_dir), ["horizon"]).withColumn("fraction", F.round("fraction", 8))
+    auc = dynamics.heat_auc(_pulsed(spark, sf_dir), nbrs(spark, sf_dir), _TICKS, [8])
+    return permutation.null_fractions(auc, permutation.permutations(_movers(spark, sf_dir), 20, 9), classes(spark, sf_dir), ["horizon"]).withColumn("fraction", F.round("fraction", 8))
 
 
 @query("WITH s AS (SELECT vec_id % 97 AS degree, count(*) AS n, count(DISTINCT label % 2) AS labels FROM embeddings GROUP BY ALL) SELECT round(sum(CASE WHEN labels > 1 THEN n ELSE 0 END)::DOUBLE / sum(n), 9) AS movable FROM s")
@@ -502,28 +582,27 @@ def movable_fraction(spark, sf_dir):
 
 
 def _stream(seed: int, trials: int, spark, sf_dir):
-    nodes = read(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    nodes = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     return nodes.select("target", "trial", F.round(permutation.uniform(seed, F.col("trial"), F.col("target")), 6).alias("fraction"))
 
 
-_ST = "s{k} AS (SELECT vec_id AS target, trial, round(('0x' || sha256('{k}:' || trial || ':' || vec_id)[:12])::UBIGINT::DOUBLE / 281474976710656.0::DOUBLE, 6) AS fraction FROM embeddings, range({n}) t(trial) WHERE vec_id < 20)"
+_ST = "s{k} AS (SELECT vec_id AS target, trial, round(('0x' || sha256('{k}:' || trial || ':' || vec_id)[:12])::UBIGINT::DOUBLE / 281474976710656.0::DOUBLE, 6) AS fraction FROM embeddings, range({n}) t(trial))"
 
 
-@query(f"""WITH {_ST.format(k=21, n=60)}, {_ST.format(k=22, n=80)}, l AS (SELECT target, median(fraction) AS mid, quantile_cont(fraction, 0.95) AS q95 FROM s21 GROUP BY target), r AS (SELECT vec_id AS target, 0.8::DOUBLE AS fraction FROM embeddings WHERE vec_id < 20),
+@query(f"""WITH {_ST.format(k=21, n=60)}, {_ST.format(k=22, n=80)}, l AS (SELECT target, median(fraction) AS mid, quantile_cont(fraction, 0.95) AS q95 FROM s21 GROUP BY target), r AS (SELECT vec_id AS target, 0.8::DOUBLE AS fraction FROM embeddings),
 o AS (SELECT median(fraction - mid) AS a, sum((fraction > q95)::BIGINT) AS b, max(fraction - mid) AS c FROM r JOIN l USING (target)), e AS (SELECT trial, median(fraction - mid) AS a, sum((fraction > q95)::BIGINT) AS b, max(fraction - mid) AS c FROM s22 JOIN l USING (target) GROUP BY trial)
 SELECT round(o.a, 8) AS real_median_delta, o.b::BIGINT AS real_passed, round(o.c, 8) AS real_max_delta, round((1 + count(*) FILTER (e.a >= o.a)) / (1 + count(*)), 9) AS p_median_delta, round((1 + count(*) FILTER (e.b >= o.b)) / (1 + count(*)), 9) AS p_passed, round((1 + count(*) FILTER (e.c >= o.c)) / (1 + count(*)), 9) AS p_max_delta FROM e, o GROUP BY o.a, o.b, o.c""")
 def omnibus(spark, sf_dir):
-    real = read(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("target"), F.lit(0.8).alias("fraction"))
+    real = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("target"), F.lit(0.8).alias("fraction"))
     out = permutation.omnibus(real, _stream(21, 60, spark, sf_dir), _stream(22, 80, spark, sf_dir))
     return out.select(F.round("real_median_delta", 8).alias("real_median_delta"), "real_passed", F.round("real_max_delta", 8).alias("real_max_delta"), *[F.round(c, 9).alias(c) for c in ("p_median_delta", "p_passed", "p_max_delta")])
 
 
-@query(f"""WITH {_L}, g AS (SELECT vec_id AS node, 's' || label AS source FROM embeddings), x AS (SELECT a.node AS target, ga.source AS origin, gb.source AS destination, sum(a.weight) AS heat FROM n a JOIN g ga ON ga.node = a.node JOIN g gb ON gb.node = a.neighbour WHERE ga.source <> gb.source GROUP BY ALL), y AS (SELECT *, heat / sum(heat) OVER (PARTITION BY target) AS share FROM x)
+@query(f"""WITH {_N}, {_G}, x AS (SELECT a.node AS target, ga.source AS origin, gb.source AS destination, sum(a.weight) AS heat FROM n a JOIN g ga ON ga.node = a.node JOIN g gb ON gb.node = a.neighbour WHERE ga.source <> gb.source GROUP BY ALL), y AS (SELECT *, heat / sum(heat) OVER (PARTITION BY target) AS share FROM x)
 SELECT origin, destination, round(median(share), 8) AS share, count(*)::BIGINT AS targets FROM y GROUP BY ALL""")
 def source_matrix(spark, sf_dir):
-    auc = _loose(spark, sf_dir).select(F.col("node").alias("target"), F.col("neighbour").alias("node"), F.col("weight").alias("auc"))
-    sources = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("source"))
-    return permutation.source_matrix(auc, sources).withColumn("share", F.round("share", 8))
+    auc = nbrs(spark, sf_dir).select(F.col("node").alias("target"), F.col("neighbour").alias("node"), F.col("weight").alias("auc"))
+    return permutation.source_matrix(auc, sources(spark, sf_dir)).withColumn("share", F.round("share", 8))
 
 
 @query("""WITH p AS (SELECT conv_id AS trial, role AS arm, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS step, turn FROM conversations), l AS (SELECT trial, min(n) AS n FROM (SELECT trial, arm, max(step) AS n FROM p GROUP BY ALL) GROUP BY trial)
@@ -555,16 +634,16 @@ def source_inventory(spark, sf_dir):
 # --- corpora, replay, walks, gates and status ------------------------------------------------------------------------
 
 
-@query(f"WITH {_E} SELECT (SELECT count(*) FROM embeddings)::BIGINT AS chunks, (SELECT count(DISTINCT len(embedding)) FROM embeddings)::BIGINT AS dimensions, (SELECT count(*) FROM e)::BIGINT AS edges, (SELECT count(*) FROM (SELECT source AS x FROM e UNION ALL SELECT target FROM e) WHERE x % 11 = 0)::BIGINT AS dangling_edges, (SELECT count(*) FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id % 13 = 0)::BIGINT + 0 AS chunks_without_source".replace("(SELECT count(*) FROM embeddings)::BIGINT", "(SELECT count(*) FROM embeddings WHERE vec_id % 11 <> 0)::BIGINT").replace("FROM embeddings)::BIGINT AS dimensions", "FROM embeddings WHERE vec_id % 11 <> 0)::BIGINT AS dimensions"))
+@query(f"WITH {_E}, v AS (SELECT source, target + 400 AS target FROM e) SELECT (SELECT count(*) FROM embeddings)::BIGINT AS chunks, (SELECT count(DISTINCT len(embedding)) FROM embeddings)::BIGINT AS dimensions, (SELECT count(*) FROM v)::BIGINT AS edges, (SELECT count(*) FROM v WHERE target NOT IN (SELECT vec_id FROM embeddings))::BIGINT AS dangling_edges, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT 2 * vec_id FROM embeddings))::BIGINT AS chunks_without_source")
 def corpus_integrity(spark, sf_dir):
-    kept = chunks(spark, sf_dir).where("id % 11 <> 0")
-    return corpus.integrity(kept, kept.where("id % 13 <> 0").select(F.col("id").alias("chunk_id")), edges(spark, sf_dir))
+    whole = chunks(spark, sf_dir)
+    return corpus.integrity(whole, whole.select((2 * F.col("id")).alias("chunk_id")), edges(spark, sf_dir).withColumn("target", F.col("target") + 400))
 
 
-@query("""WITH r AS (SELECT source, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents WHERE source IN ('src1', 'src2') OR doc_id < 3), s AS (SELECT source, min(k)::BIGINT AS first, max(k)::BIGINT AS last FROM r GROUP BY source)
+@query("""WITH r AS (SELECT source, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents), s AS (SELECT source, min(k)::BIGINT AS first, max(k)::BIGINT AS last FROM r GROUP BY source)
 SELECT source, first, last, NOT EXISTS (SELECT 1 FROM s o WHERE o.source <> s.source AND o.first <= s.last AND o.last >= s.first) AS confounded FROM s""")
 def order_confounded(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("source in ('src1', 'src2') or doc_id < 3").select("source", F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"))
+    docs = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"))
     return corpus.order_confounded(docs).select("source", F.col("first").cast("long"), F.col("last").cast("long"), "confounded")
 
 
@@ -577,16 +656,16 @@ def status(spark, sf_dir):
 
 @query()
 def order_replay(spark, sf_dir):
-    return corpus.replay_orders(chunks(spark, sf_dir).where("id < 120"), 4, 3, threshold=0.2, territory_threshold=0.3)
+    return corpus.replay_orders(chunks(spark, sf_dir), 4, 3, threshold=0.2, territory_threshold=0.3)
 
 
-@query(f"""WITH RECURSIVE {_L}, sc AS (SELECT vec_id AS node, (vec_id % 5) / 5.0::DOUBLE AS score FROM embeddings), ww AS (SELECT n.node, n.neighbour, exp(coalesce(score, 0)) AS w FROM n LEFT JOIN sc ON sc.node = n.neighbour),
+@query(f"""WITH RECURSIVE {_N}, sc AS (SELECT vec_id AS node, (vec_id % 5) / 5.0::DOUBLE AS score FROM embeddings), ww AS (SELECT n.node, n.neighbour, exp(coalesce(score, 0)) AS w FROM n LEFT JOIN sc ON sc.node = n.neighbour),
 wu AS (SELECT *, sum(w) OVER (PARTITION BY node ORDER BY neighbour ROWS UNBOUNDED PRECEDING) AS h, sum(w) OVER (PARTITION BY node) AS t, row_number() OVER (PARTITION BY node ORDER BY neighbour DESC) AS r FROM ww), wr AS (SELECT node, neighbour, (h - w) / t AS lo, CASE WHEN r = 1 THEN 2.0 ELSE h / t END AS hi FROM wu),
-p AS (SELECT vec_id AS walk, 0 AS step, vec_id AS node FROM embeddings WHERE vec_id < 30 UNION ALL SELECT p.walk, p.step + 1, wr.neighbour FROM p JOIN wr ON wr.node = p.node AND ('0x' || sha256('31:' || p.walk || ':' || (p.step + 1))[:12])::UBIGINT::DOUBLE / 281474976710656.0::DOUBLE >= lo AND ('0x' || sha256('31:' || p.walk || ':' || (p.step + 1))[:12])::UBIGINT::DOUBLE / 281474976710656.0::DOUBLE < hi WHERE p.step < 4) SELECT walk, step, node FROM p""")
+st AS (SELECT vec_id AS walk, 0 AS step, vec_id AS node FROM embeddings UNION ALL SELECT st.walk, st.step + 1, wr.neighbour FROM st JOIN wr ON wr.node = st.node AND ('0x' || sha256('31:' || st.walk || ':' || (st.step + 1))[:12])::UBIGINT::DOUBLE / 281474976710656.0::DOUBLE >= lo AND ('0x' || sha256('31:' || st.walk || ':' || (st.step + 1))[:12])::UBIGINT::DOUBLE / 281474976710656.0::DOUBLE < hi WHERE st.step < 4) SELECT walk, step, node FROM st""")
 def softmax_walks(spark, sf_dir):
     base = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"))
-    starts = base.where("node < 30").select(F.col("node").alias("walk"), "node")
-    return walks.softmax_walks(_loose(spark, sf_dir), base.withColumn("score", (F.col("node") % 5) / F.lit(5.0)), starts, 4, 31)
+    starts = base.select(F.col("node").alias("walk"), "node")
+    return walks.softmax_walks(nbrs(spark, sf_dir), base.withColumn("score", (F.col("node") % 5) / F.lit(5.0)), starts, 4, 31)
 
 
 @query("""SELECT gate, value, passed FROM (VALUES ('p', 0.004::DOUBLE, true), ('tolerance', 0.01, true), ('coverage', 0.8, false), ('absent', NULL, false), ('all', NULL, false)) t(gate, value, passed)""")
@@ -620,12 +699,11 @@ def allow_rules(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.allow_rules(F.col("url"), [("#top$", False, "anchor"), ("/en/", True, "english tree")]).alias("r")).select("page_id", "r.*")
 
 
-@query(f"""WITH {_L}, g AS (SELECT vec_id AS node, 's' || label AS source FROM embeddings), x AS (SELECT a.node AS target, gb.source, round(sum(a.weight), 9) AS heat FROM n a JOIN g ga ON ga.node = a.node JOIN g gb ON gb.node = a.neighbour WHERE ga.source <> gb.source GROUP BY ALL)
+@query(f"""WITH {_N}, {_G}, x AS (SELECT a.node AS target, gb.source, round(sum(a.weight), 9) AS heat FROM n a JOIN g ga ON ga.node = a.node JOIN g gb ON gb.node = a.neighbour WHERE ga.source <> gb.source GROUP BY ALL)
 SELECT target, source AS destination, heat FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY heat DESC, source DESC) AS r FROM x) WHERE r = 1""")
 def top_destination(spark, sf_dir):
-    auc = _loose(spark, sf_dir).select(F.col("node").alias("target"), F.col("neighbour").alias("node"), F.col("weight").alias("auc"))
-    sources = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("source"))
-    return permutation.top_destination(auc, sources)
+    auc = nbrs(spark, sf_dir).select(F.col("node").alias("target"), F.col("neighbour").alias("node"), F.col("weight").alias("auc"))
+    return permutation.top_destination(auc, sources(spark, sf_dir))
 
 
 @query("""WITH p AS (SELECT conv_id AS trial, role AS arm, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS step, length(text)::DOUBLE AS v FROM conversations), l AS (SELECT trial, min(n) AS n FROM (SELECT trial, arm, max(step) AS n FROM p GROUP BY ALL) GROUP BY trial),
