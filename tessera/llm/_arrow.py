@@ -51,7 +51,10 @@ def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], l
 
 
 def select_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], list]], piece_bytes: int = _PIECE_BYTES) -> DataFrame:
-    """The rows of ``df``, all columns, for which the function made by ``make`` says true of the text column."""
+    """The rows of ``df``, all columns, for which the function made by ``make`` says true of the text column.
+
+    A null text reaches the function as null; repeated rows are each judged; an empty table stays empty.
+    """
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -244,21 +244,29 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component (its least id) and all that are linked with nothing.
 
-    Rows that share id and text are one document. Documents without words are all kept.
+    Rows that share id and text are one document; rows that share an id but not the text are each judged as part of that id's
+    component. Null, empty and blank texts are all kept, also with a null id; an empty table stays empty; columns stay as they are,
+    whatever their names.
     """
     judged = materialize(near_duplicates(docs, id=id, text=text, size=size, percent=percent), "judged")
-    kept = judged.where("kept").groupBy(F.col(id).alias("__id__")).agg((F.count("*") > 1).alias("__again__"), (F.max("n_shingles") > 0).alias("__set__"))
+    own, again = (_free(docs, c) for c in ("__id__", "__text__"))
+    kept = judged.where("kept").groupBy(F.col(id).alias(own)).agg((F.count("*") > 1).alias("several"), (F.max("n_shingles") > 0).alias("filled"))
     kept = materialize(kept, "kept")
-    again = kept.where("__again__ and __set__")
-    ids = kept.select("__id__")
-    ids = F.broadcast(ids) if ids.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS else ids
-    same = docs[f"`{id}`"].eqNullSafe(F.col("__id__"))
-    out = docs.join(ids, same, "left_semi")
-    if again.isEmpty():
+    same = lambda df, ids: df[f"`{id}`"].eqNullSafe(ids[own])
+    ids = _small(kept.select(own))
+    out = docs.join(ids, same(docs, ids), "left_semi")
+    twice = kept.where("several and filled").select(own)
+    if twice.isEmpty():
         return out
-    twice = again.select("__id__")
-    several = out.join(twice, out[f"`{id}`"].eqNullSafe(F.col("__id__")), "left_semi").withColumn("__text__", F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([id, "__text__"]).drop("__text__")
-    return out.join(twice, out[f"`{id}`"].eqNullSafe(F.col("__id__")), "left_anti").unionByName(several)
+    several = out.join(twice, same(out, twice), "left_semi").withColumn(again, F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([id, again]).drop(again)
+    return out.join(twice, same(out, twice), "left_anti").unionByName(several)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """The name, longer where the table has a column of it."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def _signed(classes: DataFrame) -> DataFrame:

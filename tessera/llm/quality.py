@@ -114,8 +114,7 @@ def measure_quality(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
-    """Without ``most_word_share``, as in its SQL: there texts without common words are kept."""
-    return measure_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), most_word_share=None).drop("class_distance", "word_distance")
+    return measure_quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_distance", "word_distance")
 
 
 def _sql() -> str:
@@ -131,15 +130,16 @@ def _sql() -> str:
     js = "sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}::DOUBLE[]), lambda z: " + term.format("z[1]") + " + " + term.format("z[2]") + " - CASE WHEN z[1] + z[2] > 0 THEN (z[1] + z[2]) * log2((z[1] + z[2]) / 2) ELSE 0 END)) / 2))"
     by_class = ", ".join(js.format(p="cs", q=list(q)) for q in CLASS_SHARES.values())
     own = {lang: "[" + ", ".join(f"ws[{words.index(w) + 1}]" for w in ref) + "]" for lang, ref in WORD_SHARES.items()}
-    by_word = ", ".join(js.format(p=f"list_append({own[lang]}, greatest(0.0, 1 - list_sum({own[lang]})))", q=[*ref.values(), 1 - sum(ref.values())]) for lang, ref in WORD_SHARES.items())
+    word = {lang: js.format(p=f"list_append({own[lang]}, greatest(0.0, 1 - list_sum({own[lang]})))", q=[*ref.values(), 1 - sum(ref.values())]) for lang, ref in WORD_SHARES.items()}
+    by_word, by_share = ", ".join(word.values()), ", ".join(f"{w} / {_wordless_distance(WORD_SHARES[lang])}::DOUBLE" for lang, w in word.items())
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, regexp_split_to_array(lower(t), '[ \t\n\x0B\f\r.,;:!?''"()]+') AS plain FROM d),
 g AS (SELECT doc_id, k, array_to_string(w[k:k + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM w WHERE len(w) >= 3)),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 3)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
 m AS (SELECT w.doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, [{shares}] AS cs, [{counts}] AS ws FROM w LEFT JOIN r USING (doc_id)),
-j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN length(t) >= 200 THEN least({by_class}) ELSE 0 END AS cd, CASE WHEN n_words >= 100 THEN least({by_word}) ELSE 0 END AS wd FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND cd <= 0.3 AND wd <= 0.4 AS kept FROM j
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN length(t) >= 200 THEN least({by_class}) ELSE 0 END AS cd, CASE WHEN n_words >= 100 THEN least({by_word}) ELSE 0 END AS wd, CASE WHEN n_words >= 100 THEN least({by_share}) ELSE 0 END AS word_share FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND cd <= 0.3 AND wd <= 0.4 AND word_share <= 0.9 AS kept FROM j
 """
 
 

@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._arrow import annotate, field
+from tessera.llm._storage import materialize
 from tessera.llm._words import mix64
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER = str.maketrans(_UPPER, _UPPER.lower())
+MOST_BROADCAST_KEYS = 1 << 16
 _MULTIPLIERS = mix64(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -114,18 +117,23 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", keep: tu
     fit nothing and get the default. Rows are neither merged nor dropped; an empty rule table leaves the default everywhere.
     ``blocks`` fixes the filter at 64 bytes each, whatever the list's size; a fuller filter only passes more keys to the join.
     """
-    listed = rules.select(F.concat(F.lower("host"), F.col("path")).alias("__key__"), F.length("path").alias("__len__"), "verdict").where("__key__ is not null")
+    listed = rules.select(F.concat(F.translate("host", _UPPER, _UPPER.lower()), F.col("path")).alias("__key__"), F.length("path").alias("__len__"), "verdict").where("__key__ is not null")
     listed = listed.groupBy("__key__").agg(F.max(F.struct(F.col("verdict") == "block", F.col("verdict")))["verdict"].alias("__verdict__"), F.max("__len__").alias("__len__"))
     listed = listed.where(F.col("__key__").contains("/") | (F.col("__len__") == 0))
     lengths = sorted(r[0] for r in listed.select("__len__").distinct().collect())
     bloom = build_bloom(listed, "__key__", blocks)
     keep = tuple(c for c in keep if c not in ("host", "path", "rule", "verdict"))
-    numbered = pages.select(*keep, url).withColumn("__row__", F.monotonically_increasing_id())
-    found = annotate(numbered, url, _candidates(bloom, lengths), [field("host", "string"), field("path", "string"), field("__hits__", "array<string>")], [*keep, "__row__"])
-    possible = found.withColumn("__key__", F.explode_outer("__hits__")).drop("__hits__").join(listed.select("__key__", "__verdict__"), "__key__", "left")
-    possible = possible.withColumn("__key__", F.when(F.col("__verdict__").isNotNull(), F.col("__key__")))
-    judged = possible.groupBy("__row__").agg(*[F.any_value(c).alias(c) for c in (*keep, "host", "path")], F.max(F.when(F.col("__key__").isNotNull(), F.struct(F.length("__key__").alias("n"), F.col("__key__"), F.col("__verdict__")))).alias("best"))
-    return judged.select(*keep, "host", "path", F.col("best.__key__").alias("rule"), F.coalesce("best.__verdict__", F.lit(default)).alias("verdict"))
+    found = annotate(pages, url, _candidates(bloom, lengths), [field("host", "string"), field("path", "string"), field("__hits__", "array<string>")], keep)
+    numbered = materialize(found.withColumn("__row__", F.monotonically_increasing_id()), "urls")
+    possible = numbered.where(F.size("__hits__") > 0).select("__row__", F.explode("__hits__").alias("__key__"))
+    # the exact join, on each possible key once
+    real = listed.select("__key__", "__verdict__").join(possible.select("__key__").distinct(), "__key__", "left_semi")
+    small = real.limit(MOST_BROADCAST_KEYS + 1).count() <= MOST_BROADCAST_KEYS
+    best = possible.join(F.broadcast(real) if small else real, "__key__").groupBy("__row__").agg(F.max(F.struct(F.length("__key__").alias("n"), F.col("__key__"), F.col("__verdict__"))).alias("__best__"))
+    out = lambda df, rule, verdict: df.select(*[F.col(f"`{c}`") for c in keep], "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    hit = numbered.where(F.size("__hits__") > 0).join(best, "__row__", "left")
+    judged = out(hit, F.col("__best__.__key__"), F.coalesce("__best__.__verdict__", F.lit(default)))
+    return judged.unionByName(out(numbered.where(F.size("__hits__") == 0), F.lit(None).cast("string"), F.lit(default)))
 
 
 #: The rules of the query (host, path, verdict).

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from tessera.llm.components import connected_components, contract
 from tessera.llm.near_dedup import SetSketch, drop_near_duplicates, estimate, near_duplicates
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -56,6 +57,27 @@ def test_components_equal_all_pairs(spark):
     assert kept == {int(d) for d, _, c in plain(docs, 2) if d == c}
 
 
+def test_components_of_links():
+    r = random.Random(2)
+    for n in (1, 5, 60, 400):
+        links = [(r.randrange(n), r.randrange(n)) for _ in range(n)]
+        nodes, roots = contract(*(np.array(x, np.int64) for x in zip(*links, strict=True)))
+        least = {k: k for link in links for k in link}
+        for _ in range(n):
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == least
+
+
+def test_many_links_are_joined_by_steps(spark):
+    links = [(k, k + 1) for k in range(0, 30)] + [(100, 130), (130, 115), (7, 7), (5, 20), (5, 20)]
+    e = spark.createDataFrame(links, "a long, b long")
+    want = {**{k: 0 for k in range(31)}, 100: 100, 115: 100, 130: 100}
+    for most in (1000, 4):
+        assert {x.node: x.component for x in connected_components(e, most).collect()} == want
+    assert connected_components(e.where("a > 999")).count() == 0
+
+
 def test_estimates_are_near_the_truth():
     rng = np.random.default_rng(0)
     sketch = SetSketch(256)
@@ -72,6 +94,7 @@ def test_odd_rows_and_empty_tables(odd_docs, no_docs):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert rows(near_duplicates(odd_docs)) == plain(docs, 5)
     assert near_duplicates(no_docs).count() == 0
+    odd_docs = odd_docs.withColumns({"__id__": odd_docs.doc_id, "__text__": odd_docs.text})
     kept = drop_near_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "5", "6", "7", "None"]

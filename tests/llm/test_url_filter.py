@@ -29,3 +29,7 @@ def test_empty_tables_and_clashing_columns(spark):
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     assert judge_urls(pages, rules.where("1 = 0"), keep=("page_id", "host")).collect()[0].verdict == "allow"
     assert judge_urls(pages.where("1 = 0"), rules).count() == 0
+    odd = judge_urls(pages, rules, keep=("page_id", "url"))
+    assert odd.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and odd.first().url == "http://a.org/"
+    wide = spark.createDataFrame([("É.Org", "/", "block")], "host string, path string, verdict string")
+    assert [r.verdict for r in judge_urls(spark.createDataFrame([(1, "http://É.org/")], "page_id long, url string"), wide).collect()] == ["block"]
