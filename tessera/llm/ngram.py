@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm._arrow import pieces
-from tessera.llm._storage import materialize
+from tessera.llm._storage import materialize, release
 from tessera.llm._words import SPACE_BYTES, WordHasher, mix64
 
 END, BEGIN = mix64(np.array([0xE0D, 0xB0B], np.uint64))
@@ -144,7 +144,9 @@ def _heavy_words(source: DataFrame, least_ranges: int) -> tuple[np.ndarray, int]
     counted = materialize(counted, "heavy")
     total = counted.agg(F.sum("all")).first()[0] or 0
     ranges = min(MOST_RANGES, max(least_ranges, -(-total // RANGE_TOKENS)))
-    return np.array(sorted(r[0] for r in counted.where(F.col("n") * 16 * ranges >= total).select("w").collect()), np.int64).view(np.uint64), ranges
+    heavy = np.array(sorted(r[0] for r in counted.where(F.col("n") * 16 * ranges >= total).select("w").collect()), np.int64).view(np.uint64)
+    release(counted)
+    return heavy, ranges
 
 
 _COUNTS = "r int, w binary, k binary, u binary, c binary, big binary"
@@ -397,6 +399,7 @@ def score_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", fold
     stats["lower_left"] = (stats["e"][1] * t[0] + stats["e"][2] * t[1] + stats["e"][3] * more) / stats["T"] if stats["T"] else 1.0
     contexts = model.where("q >= 0").select("q", "r", "u", "cu", "n1", "n2", "n3").groupBy("q").applyInArrow(_total_contexts(stats["d"]), "r int, u binary, c binary, g binary")
     shards = materialize(own.select("r", "w", "cw", "cont").unionByName(contexts, allowMissingColumns=True), "shards")
+    release(model)
     id_type = docs.schema[id].dataType
     sent = T.StructType.fromDDL(f"r int, chunk long, ids array<{id_type.simpleString()}>, held array<boolean>, n array<long>, w binary, k binary, u binary, c binary, big binary, docs binary, wide int, train binary")
     sent_arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in sent])
