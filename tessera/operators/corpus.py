@@ -70,8 +70,14 @@ def order_confounded(chunks: DataFrame) -> DataFrame:
     return spans.withColumn("confounded", (F.coalesce(before, F.lit(-1)) < F.col("first")) & (F.coalesce(after, F.lit(2**31)) > F.col("last")))
 
 
-def save_snapshot(state: DataFrame, territories: DataFrame, config: dict, tick: int, folder: str) -> None:
-    """Node states and territories of a tick as tables, config and version beside them."""
+def save_snapshot(state: DataFrame, territories: DataFrame, config: dict, tick: int, folder: str, half_life: float = 120.0) -> None:
+    """Node states and territories of a tick as tables, config and version beside them. Where states carry the tick they were last
+    brought up to, their heat is stored as of this tick."""
+    if "last_decay_tick" in state.columns:
+        from tessera.functions.activation import effective_heat
+
+        now = F.lit(max(0, int(tick))).cast("long")
+        state = state.withColumn("heat", effective_heat(F.col("heat"), now, F.col("last_decay_tick"), half_life)).withColumn("last_decay_tick", F.greatest("last_decay_tick", now))
     state.write.mode("overwrite").parquet(f"{folder}/state")
     territories.write.mode("overwrite").parquet(f"{folder}/territories")
     about = json.dumps({"version": SNAPSHOT_VERSION, "tick": max(0, int(tick)), "config": config})
@@ -101,6 +107,28 @@ def status(chunks: DataFrame, edges: DataFrame, state: DataFrame, energy: DataFr
     return out
 
 
+def full_status(chunks: DataFrame, edges: DataFrame, state: DataFrame, energy: DataFrame, stimuli: DataFrame, meta: DataFrame, *, runtime: dict | None = None, snapshot: dict | None = None, now: float = 0.0) -> DataFrame:
+    """One row of everything a status page shows. ``meta`` (key, value) holds settings; the tick comes from the runtime record if its version fits, else
+    from the snapshot, else from the last energy sample. A runtime record is fresh while the daemon runs and it is younger than
+    three ticks (ten seconds at least)."""
+    known = {r["key"]: r["value"] for r in meta.where(F.col("key").isin("daemon_state", "tick_interval_s", "watch_folder_path", "watch_folder_ok", "embedding_model", "embedding_dim")).collect()}
+    usable = lambda d: bool(d) and int(d.get("version", 0)) == SNAPSHOT_VERSION
+    source = "runtime" if usable(runtime) else "snapshot" if usable(snapshot) else None
+    updated = float(runtime.get("updated_at", 0.0)) if source == "runtime" else None
+    age = None if updated is None else max(0.0, now - updated)
+    fresh = known.get("daemon_state") == "running" and age is not None and age <= max(10.0, 3 * float(known.get("tick_interval_s") or 3.0))
+    flag = known.get("watch_folder_ok")
+    out = status(chunks, edges, state, energy).crossJoin(stimuli.agg(F.count("*").alias("pending_stimuli")))
+    tick = F.lit(int((runtime if source == "runtime" else snapshot)["tick"])) if source else F.coalesce("tick", F.lit(0))
+    settled = F.lit(bool(runtime.get("settled"))) if source == "runtime" else F.coalesce("settled", F.lit(False))
+    return out.withColumns({
+        "tick": tick.cast("long"), "settled": settled, "status_source": F.lit(source) if source else F.when(F.col("chunks") > 0, "rebuild").otherwise("empty"),
+        "status_updated_at": F.lit(updated).cast("double"), "runtime_age_s": F.lit(age).cast("double"), "runtime_fresh": F.lit(fresh), "daemon_state": F.lit(known.get("daemon_state") or "unknown"),
+        "snapshot_tick": F.lit(int(snapshot["tick"]) if snapshot else None).cast("long"), "watch_folder_path": F.lit(known.get("watch_folder_path")), "watch_folder_ok": F.lit(None if flag is None else flag == "1").cast("boolean"),
+        "embedding_model": F.lit(known.get("embedding_model")), "embedding_dim": F.lit(known.get("embedding_dim")).cast("int"),
+    })
+
+
 def replay_orders(chunks: DataFrame, orders: int, seed: int, *, threshold: float = 0.55, most: int = 6, probe: int = 3, cap: int = 200, room: int = 256, territory_threshold: float = 0.55) -> DataFrame:
     """(trial, source, target, weight): the graph that each of ``orders`` insertion orders builds, one task an order.
 

@@ -20,6 +20,14 @@ def similarity_edges(chunks: DataFrame, threshold: float = 0.55, most: int = OUT
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("source", "target", "weight")
 
 
+def room_left(edges: DataFrame, existing: DataFrame, most: int = OUT_DEGREE) -> DataFrame:
+    """Of new ``edges`` each source's heaviest, as many as ``existing`` edges leave of its ``most``; ties by target descending."""
+    used = existing.groupBy("source").agg(F.count("*").alias("used"))
+    best = Window.partitionBy("source").orderBy(F.col("weight").desc(), F.col("target").desc())
+    ranked = edges.withColumn("rank", F.row_number().over(best)).join(used, "source", "left")
+    return ranked.where(F.col("rank") + F.coalesce("used", F.lit(0)) <= most).select(*edges.columns)
+
+
 def clean_edges(edges: DataFrame) -> DataFrame:
     """No self-loops, the heavier of repeated edges."""
     return edges.where("source <> target").groupBy("source", "target").agg(F.max("weight").alias("weight"))

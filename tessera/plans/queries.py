@@ -622,13 +622,13 @@ def choice_law(spark, sf_dir):
     return out.select("delta", F.round("predicted", 9).alias("predicted"), F.round("observed", 9).alias("observed"))
 
 
-@query(f"WITH {_N} SELECT 's' || label AS source, count(*)::BIGINT AS chunks, min(coalesce(d, 0))::BIGINT AS min_degree, max(coalesce(d, 0))::BIGINT AS max_degree, round(avg(coalesce(d, 0)), 8) AS mean_degree, min(k)::BIGINT AS first_rank, max(k)::BIGINT AS last_rank FROM (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings) e LEFT JOIN (SELECT node, count(*) AS d FROM n GROUP BY node) g ON g.node = e.vec_id GROUP BY label")
+@query(f"WITH {_N} SELECT 's' || label AS source, count(*)::BIGINT AS chunks, min(coalesce(d, 0))::BIGINT AS min_degree, max(coalesce(d, 0))::BIGINT AS max_degree, round(avg(coalesce(d, 0)), 8) AS mean_degree, round(avg(coalesce(w, 0)), 8) AS mean_weighted_degree, round(avg(k), 8) AS mean_rank, min(k)::BIGINT AS first_rank, max(k)::BIGINT AS last_rank FROM (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings) e LEFT JOIN (SELECT node, count(*) AS d, sum(weight) AS w FROM n GROUP BY node) g ON g.node = e.vec_id GROUP BY label")
 def source_inventory(spark, sf_dir):
     from pyspark.sql import Window
 
     d = graph.degrees(nbrs(spark, sf_dir)).withColumnRenamed("node", "id")
     c = chunks(spark, sf_dir).withColumn("k", F.row_number().over(Window.orderBy("created_at", "id")) - 1).join(d, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    return c.groupBy(F.concat(F.lit("s"), F.col("territory").cast("string")).alias("source")).agg(F.count("*").alias("chunks"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.round(F.avg("degree"), 8).alias("mean_degree"), F.min("k").cast("long").alias("first_rank"), F.max("k").cast("long").alias("last_rank"))
+    return c.groupBy(F.concat(F.lit("s"), F.col("territory").cast("string")).alias("source")).agg(F.count("*").alias("chunks"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.round(F.avg("degree"), 8).alias("mean_degree"), F.round(F.avg(F.coalesce("weighted_degree", F.lit(0.0))), 8).alias("mean_weighted_degree"), F.round(F.avg("k"), 8).alias("mean_rank"), F.min("k").cast("long").alias("first_rank"), F.max("k").cast("long").alias("last_rank"))
 
 
 # --- corpora, replay, walks, gates and status ------------------------------------------------------------------------

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,23 @@ from tessera.functions.arrow import decoded_text, visible_html, xml_text
 MANIFEST = "name string, kind string, url string, path string"
 
 
+def ensure_folder(path: str) -> str:
+    """Make the watched folder if it isn't there; a file in its place is refused."""
+    at = Path(path)
+    if at.exists() and not at.is_dir():
+        raise NotADirectoryError(path)
+    at.mkdir(parents=True, exist_ok=True)
+    return str(at.resolve())
+
+
+def folder_state(path: str) -> tuple[bool, list[str]]:
+    """(whether the folder is there, its files in order, not following links): what a scan reads."""
+    if not os.path.isdir(path):
+        return False, []
+    found = [os.path.join(d, name) for d, folders, names in os.walk(path, followlinks=False) for name in names]
+    return True, sorted(f for f in found if os.path.isfile(f) and not os.path.islink(f))
+
+
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(path, modified, content, text) of all files below a folder; text is null for binary ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -51,6 +71,28 @@ def missing_modules(wanted: DataFrame, present: DataFrame) -> DataFrame:
     return wanted.join(present.select("module"), "module", "left_anti")
 
 
+def require_modules(wanted: DataFrame, present: DataFrame) -> DataFrame:
+    """``wanted`` if all its modules are present; else it fails and names some."""
+    lost = [r["module"] for r in missing_modules(wanted, present).select("module").distinct().orderBy("module").limit(8).collect()]
+    if lost:
+        raise FileNotFoundError("modules without a file: " + ", ".join(lost))
+    return wanted
+
+
+def under(root: str, name: str) -> str:
+    """The path of ``name`` below ``root``; one that leads out of it is refused."""
+    at = (Path(root) / name).resolve()
+    if not at.is_relative_to(Path(root).resolve()):
+        raise ValueError(f"{name} lies outside {root}")
+    return str(at)
+
+
+def harvested_name(path):
+    """Where a cleaned file goes: markup loses its form, so it gets .txt behind its name."""
+    markup = T.extension(path).isin(".html", ".htm", ".xhtml", ".xml", ".cnxml")
+    return F.when(markup, F.concat(path, F.lit(".txt"))).otherwise(path)
+
+
 def cleaned(path, original):
     """The text of a file by its extension, white space collapsed."""
     ext = T.extension(path)
