@@ -53,7 +53,7 @@ def materialize(df: DataFrame, label: str, arrow_rows: int | None = None) -> Dat
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

@@ -29,7 +29,7 @@ END, BEGIN = mix64(np.array([0xE0D, 0xB0B], np.uint64))
 #: Tokens whose pairs are aggregated before the shuffle; a worker holds about 150 bytes for each.
 CHUNK_TOKENS = 1_000_000
 #: Tokens to a range of words, on average, and the most ranges.
-RANGE_TOKENS = 2_000_000
+RANGE_TOKENS = 3_000_000
 MOST_RANGES = 1 << 14
 
 
@@ -126,7 +126,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarra
         yield ids, np.array(held, bool), *joined()
 
 
-def _heavy_words(source: DataFrame, least_ranges: int) -> tuple[np.ndarray, int]:
+def _heavy_words(source: DataFrame) -> tuple[np.ndarray, int]:
     """(all words with over 1 / (8 * ranges) of the tokens, and some with over half of that: at most 16 * ranges words; ranges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def _heavy_words(source: DataFrame, least_ranges: int) -> tuple[np.ndarray, int]
     counted = source.mapInArrow(run, "w long, n long, all long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
     counted = materialize(counted, "heavy")
     total = counted.agg(F.sum("all")).first()[0] or 0
-    ranges = min(MOST_RANGES, max(least_ranges, -(-total // RANGE_TOKENS)))
+    ranges = min(MOST_RANGES, max(1, -(-total // RANGE_TOKENS)))
     heavy = np.array(sorted(r[0] for r in counted.where(F.col("n") * 16 * ranges >= total).select("w").collect()), np.int64).view(np.uint64)
     release(counted)
     return heavy, ranges
@@ -380,10 +380,9 @@ def score_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", fold
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = docs.sparkSession
     held = F.pmod(F.crc32(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
     source = docs.select(F.col(f"`{id}`").alias("__id__"), held.alias("__held__"), F.col(f"`{text}`").cast("string").alias("__text__"))
-    heavy, ranges = _heavy_words(source, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    heavy, ranges = _heavy_words(source)
     parts = max(1, ranges // 2)
     model = materialize(_count_messages(source, heavy, ranges).groupBy("r").applyInArrow(_count_range(heavy, parts), _MODEL), "model")
     own = model.where("q = -1")

@@ -47,6 +47,7 @@ def scored(df):
 
 def test_scores_equal_a_plain_model(spark, monkeypatch):
     monkeypatch.setattr(ngram, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(ngram, "RANGE_TOKENS", 500)
     vocabulary = "the of and river stone cloud field light road house".split()
     rows = [(k, " ".join(vocabulary[(k * j + j * j + k // 3) % 10] for j in range(1 + k % 40)) + f" w{k % 9}") for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -69,7 +70,7 @@ def test_ranges_follow_the_tokens_and_change_nothing(spark, monkeypatch):
     rows = [(k, " ".join(f"w{(k * j) % 37}" for j in range(30)) + " the" * (k % 9)) for k in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(ngram, "RANGE_TOKENS", 150)
-    assert ngram._heavy_words(docs.selectExpr("text as __text__"), 4)[1] == -(-sum(len(WORD.findall(t)) + 1 for _, t in rows) // 150)
+    assert ngram._heavy_words(docs.selectExpr("text as __text__"))[1] == -(-sum(len(WORD.findall(t)) + 1 for _, t in rows) // 150)
     assert scored(score_texts(docs)) == expected(rows)
 
 
