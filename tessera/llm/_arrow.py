@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,19 @@ _TEXT = "__text__"
 _PIECE_BYTES = 8 << 20
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker is used again by later stages, beside those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str | int, most: int = _PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``most`` bytes of text each; a row is never cut."""
     import numpy as np
@@ -46,6 +60,8 @@ def annotate(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], l
                 out = function(piece.column(_TEXT))
                 own = [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *own], names=[*keep, *(f.name for f in fields)])
+                del out, own
+                give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -62,6 +78,7 @@ def select_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array]
         for batch in batches:
             for piece in pieces(batch, at, piece_bytes):
                 yield piece.filter(pa.array(function(piece.column(at)), pa.bool_()))
+                give_back()
 
     return df.mapInArrow(run, df.schema)
 

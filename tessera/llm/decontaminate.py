@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._arrow import pieces
+from tessera.llm._arrow import give_back, pieces
 from tessera.llm._storage import materialize
 from tessera.llm._words import NON_ALNUM_BYTES, WordHasher, mix64
 from tessera.llm.url_filter import BlockedBloom, build_bloom
@@ -178,11 +178,14 @@ def positional_index(docs: DataFrame, text: str, keep: list[str], known: Blocked
                 held += piece.column("__text__").nbytes
                 if held >= BLOCK_BYTES:
                     yield from lists()
+                    give_back()
                     block += 1
                     kept, firsts = [], []
                     held = documents = words_so_far = 0
         if documents:
             yield from lists()
+        kept = firsts = None
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -230,6 +233,8 @@ def _matcher(slack: int, misses: int) -> Callable[[pa.Table, pa.Table], pa.Table
                     for k, x in (("row", row), ("window", names[win]), ("start", start), ("size", np.full(len(row), size)), ("near", np.full(len(row), near))):
                         out[k].append(x)
         columns = {k: np.concatenate(x) for k, x in out.items()}
+        postings = lists = positions = None
+        give_back()
         n = len(columns["row"])
         return pa.Table.from_arrays([pa.array(np.full(n, block, np.int64)), pa.array(columns["row"].astype(np.int32)), pa.array(columns["window"]), pa.array(columns["start"]), pa.array(columns["size"].astype(np.int32)), pa.array(columns["near"].astype(bool))], names=["block", "row", "window", "start", "size", "near"])
 

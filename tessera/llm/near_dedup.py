@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._arrow import annotate, field
+from tessera.llm._arrow import annotate, field, give_back, pieces
 from tessera.llm._storage import materialize, release
 from tessera.llm._words import SPACE_BYTES, WordHasher, mix64
 from tessera.llm.components import connected_components
@@ -181,6 +181,8 @@ def _linked(percent: int) -> Callable:
             for k in np.flatnonzero(estimate(*registers, *sizes) >= percent / 100 - MARGIN):
                 both = len(np.intersect1d(np.frombuffer(s_a[k], np.uint64), np.frombuffer(s_b[k], np.uint64), assume_unique=True))
                 out[k] = both * 100 >= percent * (sizes[0][k] + sizes[1][k] - both)
+            del registers
+            give_back()
         return pd.Series(out)
 
     return run
@@ -208,12 +210,16 @@ def _with_sets(docs: DataFrame, id: str, text: str, classes: DataFrame, size: in
     key = lambda c: F.xxhash64(c.cast("string"))
     known = build_bloom(classes.select(key(F.col("low")).alias("key")), "key", 1 << 14)
 
-    @F.pandas_udf(T.BooleanType())
-    def wanted(keys: pd.Series) -> pd.Series:
-        return pd.Series(known.contains(keys.to_numpy(np.int64).view(np.uint64)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write = _set_writer(size)()
+        for batch in batches:
+            wanted = known.contains(batch.column(0).to_numpy().view(np.uint64))
+            for piece in pieces(batch.filter(pa.array(wanted)), 1):
+                d1, d2, sets = write(piece.column(1))
+                yield pa.RecordBatch.from_arrays([d1, d2, pa.array(sets, pa.binary())], names=["d1", "d2", "shingles"])
+            give_back()
 
-    source = docs.select(key(F.col(id)).alias("__k__"), F.col(text).alias("__t__")).where(wanted("__k__"))
-    found = annotate(source, "__t__", _set_writer(size), [field("d1", "long"), field("d2", "long"), field("shingles", "binary")], [])
+    found = docs.select(key(F.col(id)), F.col(text).cast("string")).mapInArrow(run, "d1 long, d2 long, shingles binary")
     one = found.join(_small(classes.select("d1", "d2")), ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.any_value("shingles").alias("shingles"))
     return classes.join(one, ["d1", "d2"])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._arrow import annotate, field, select_rows
+from tessera.llm._arrow import annotate, field, give_back, select_rows
 from tessera.llm._words import NON_LETTER_BYTES, WordHasher, mix64
 
 FOLDS = 5
@@ -194,6 +194,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", te
         sets = [np.frombuffer(x, np.uint64) for b in table for x in b.column("words").to_pylist()]
         digests = np.concatenate([np.zeros(0, np.int64), *(b.column("digest").to_numpy() for b in table)]).view(np.uint64)
         chain = fit_chain(sets, column("n"), digests, {c: column(f"y{k}") for k, c in enumerate(names)})
+        table = sets = None
+        give_back()
         yield pa.RecordBatch.from_pylist([{"place": k, "name": c.name, "bias": c.bias, "words": c.words.tobytes(), "weights": c.weights.tobytes(), "earlier": c.earlier, "length": c.length, "threshold": c.threshold} for k, c in enumerate(chain)], _LINK_TYPES)
 
     links = sorted(rows.repartition(1).mapInArrow(fit, _LINKS).collect(), key=lambda r: r["place"])
