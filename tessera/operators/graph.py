@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import cosine
+from tessera.functions.vectors import most_similar
 
 OUT_DEGREE, NEIGHBOURS = 6, 12
+#: Chunks of a territory that are compared with as many at a time.
+BLOCK = 2048
 
 
 def similarity_edges(chunks: DataFrame, threshold: float = 0.55, most: int = OUT_DEGREE, territory: str = "territory") -> DataFrame:
     """(source, target, weight): a chunk's ``most`` most similar chunks of its territory at or over the threshold, ties by
-    target descending. All pairs of a territory are compared: for territories of capped size. ``registry.bounded_edges`` compares a
-    fixed number of candidates whatever the territories' sizes."""
-    side = lambda s: chunks.where(F.col("embedding").isNotNull()).select(territory, F.col("id").alias(s), F.col("embedding").alias(f"{s}_v"))
-    pairs = side("source").join(side("target"), territory).where("source <> target").withColumn("weight", cosine(F.col("source_v"), F.col("target_v"))).where(F.col("weight") >= threshold)
+    target descending. All pairs of a territory are compared, two blocks of its chunks at a time, so the work grows with the square
+    of a territory and rows only with its blocks. ``registry.bounded_edges`` compares a fixed number of candidates whatever the
+    territories' sizes."""
+    rows = chunks.select(F.col(territory).alias("territory"), "id", "embedding").where("territory is not null and id is not null and embedding is not null")
+    sizes = rows.groupBy("territory").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(sizes), "territory").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).drop("blocks")
+    kind = rows.schema["id"].dataType.simpleString()
+    against = dealt.toDF("t", "id", "embedding", "b", "a")
+    compared = dealt.groupBy("territory", "own", "other").cogroup(against.groupBy("t", "a", "b")).applyInArrow(most_similar(threshold, most), f"source {kind}, target {kind}, weight double")
     best = Window.partitionBy("source").orderBy(F.col("weight").desc(), F.col("target").desc())
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("source", "target", "weight")
+    return compared.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("source", "target", "weight")
 
 
 def room_left(edges: DataFrame, existing: DataFrame, most: int = OUT_DEGREE) -> DataFrame:
@@ -40,7 +48,8 @@ def last_edges(edges: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
     """(node, neighbour, weight): both directions, the heavier of two edges, the ``most`` heaviest, ties by neighbour."""
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("neighbour"), "weight").union(edges.select("target", "source", "weight"))
+    way = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("neighbour"), "weight")
+    both = edges.select(F.inline(F.array(way("source", "target"), way("target", "source"))))
     merged = both.groupBy("node", "neighbour").agg(F.max("weight").alias("weight"))
     best = Window.partitionBy("node").orderBy(F.col("weight").desc(), "neighbour")
     return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).drop("rank")

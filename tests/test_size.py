@@ -1,6 +1,15 @@
-"""What only shows in larger tables: results that must be whole, and plans that must not grow with the pairs."""
+"""What only shows in larger tables: results that must be whole, and work that must not be done again and again."""
 
-from tessera.operators import dynamics
+import random
+
+import pytest
+
+from tessera.operators import dynamics, graph
+from tessera.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+#: Queries that compare each pair of a territory once, however often they read the graph.
+ONCE = ["similarity_edges"]
 
 
 def test_heat_map_has_all_nodes(spark):
@@ -8,3 +17,49 @@ def test_heat_map_has_all_nodes(spark):
     assert dynamics.heat_map(touches, 5000).count() == 5000
     hottest = dynamics.heat_map(touches, 5000, keep=3).collect()
     assert [r.node for r in hottest] == [4999, 4998, 4997]
+
+
+def fold(a, b):
+    total = 0.0
+    for x, y in zip(a, b, strict=True):
+        total += x * y
+    return total
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_blocks_find_what_all_pairs_find(spark, monkeypatch, block):
+    """Copies, zero vectors, other lengths, null elements, null vectors and territories: each weight equals the plain fold's to the bit."""
+    monkeypatch.setattr(graph, "BLOCK", block)
+    r = random.Random(4)
+    some = [[float(r.randint(-3, 3)) for _ in range(5)] for _ in range(12)]
+    rows = [(f"n{k:03}", r.choice([1, 2, None]) if k % 9 == 0 else k % 2, r.choice(some) if k % 3 else [r.random() - 0.4 for _ in range(5)]) for k in range(90)]
+    rows += [("zero", 1, [0.0] * 5), ("short", 1, [1.0, 2.0]), ("brief", 1, [1.0, 2.5]), ("none", 1, None), ("hole", 1, [1.0, None, 1.0, 1.0, 1.0]), ("empty", 1, []), ("same", 0, some[0]), ("same", 0, some[1])]
+    got = graph.similarity_edges(spark.createDataFrame(rows, "id string, territory int, embedding array<double>"), 0.2, 4).collect()
+    usable = [(i, t, v) for i, t, v in rows if t is not None and v and None not in v]
+    want = []
+    for source in {i for i, _, _ in usable}:
+        found = []
+        for i, t, v in usable:
+            for j, u, w in usable if i == source else ():
+                if i != j and t == u and len(v) == len(w) and (scale := fold(v, v) * fold(w, w)) > 0 and (cosine := fold(v, w) / scale**0.5) >= 0.2:
+                    found.append((cosine, j))
+        want += [(source, j, cosine) for cosine, j in sorted(found, reverse=True)[:4]]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_pairs_are_compared_once(spark, monkeypatch, name):
+    pairs, real = spark.sparkContext.accumulator(0), graph.most_similar
+
+    def counted(*settings):
+        compare = real(*settings)
+
+        def run(key, left, right):
+            pairs.add(len(left) * len(right))
+            return compare(key, left, right)
+
+        return run
+
+    monkeypatch.setattr(graph, "most_similar", counted)
+    QUERIES[name](spark, SF).collect()
+    assert pairs.value == spark.read.parquet(f"{SF}/embeddings.parquet").groupBy("label").count().selectExpr("sum(count * count)").first()[0]
