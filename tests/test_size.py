@@ -9,7 +9,10 @@ from tessera.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: Queries that compare each pair of a territory once, however often they read the graph.
-ONCE = ["similarity_edges"]
+ONCE = [
+    "similarity_edges",
+    "shortest_hops",
+]
 
 
 def test_heat_map_has_all_nodes(spark):
