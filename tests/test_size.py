@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 ONCE = [
     "similarity_edges",
     "shortest_hops",
+    "graph_expansion",
 ]
 
 
