@@ -13,6 +13,7 @@ ONCE = [
     "similarity_edges",
     "shortest_hops",
     "graph_expansion",
+    "cascade_delete_edges",
 ]
 
 
