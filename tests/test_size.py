@@ -14,6 +14,7 @@ ONCE = [
     "shortest_hops",
     "graph_expansion",
     "cascade_delete_edges",
+    "edge_set_jaccard",
 ]
 
 
