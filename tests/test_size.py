@@ -15,6 +15,7 @@ ONCE = [
     "graph_expansion",
     "cascade_delete_edges",
     "edge_set_jaccard",
+    "edge_weight_error",
 ]
 
 
