@@ -16,6 +16,7 @@ ONCE = [
     "cascade_delete_edges",
     "edge_set_jaccard",
     "edge_weight_error",
+    "connected_nodes",
 ]
 
 
