@@ -17,6 +17,7 @@ ONCE = [
     "edge_set_jaccard",
     "edge_weight_error",
     "connected_nodes",
+    "degree",
 ]
 
 
