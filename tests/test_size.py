@@ -18,6 +18,7 @@ ONCE = [
     "edge_weight_error",
     "connected_nodes",
     "degree",
+    "bridge_nodes",
 ]
 
 
