@@ -19,6 +19,7 @@ ONCE = [
     "connected_nodes",
     "degree",
     "bridge_nodes",
+    "neighbour_profile",
 ]
 
 
