@@ -20,6 +20,7 @@ ONCE = [
     "degree",
     "bridge_nodes",
     "neighbour_profile",
+    "source_inventory",
 ]
 
 
