@@ -21,6 +21,7 @@ ONCE = [
     "bridge_nodes",
     "neighbour_profile",
     "source_inventory",
+    "corpus_integrity",
 ]
 
 
