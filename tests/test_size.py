@@ -22,6 +22,7 @@ ONCE = [
     "neighbour_profile",
     "source_inventory",
     "corpus_integrity",
+    "softmax_walks",
 ]
 
 
