@@ -23,6 +23,7 @@ ONCE = [
     "source_inventory",
     "corpus_integrity",
     "softmax_walks",
+    "heat_ticks",
 ]
 
 
