@@ -24,6 +24,7 @@ ONCE = [
     "corpus_integrity",
     "softmax_walks",
     "heat_ticks",
+    "heat_auc",
 ]
 
 
