@@ -25,6 +25,7 @@ ONCE = [
     "softmax_walks",
     "heat_ticks",
     "heat_auc",
+    "foreign_fraction",
 ]
 
 
