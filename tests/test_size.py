@@ -26,6 +26,7 @@ ONCE = [
     "heat_ticks",
     "heat_auc",
     "foreign_fraction",
+    "null_fractions",
 ]
 
 
