@@ -23,7 +23,7 @@ from tessera.functions.statistics import benjamini_hochberg, holm
 
 MOST_EDGES = 1 << 23
 ORIGIN, RELATED, OTHER = 0, 1, 2
-_DRAWN = 1 << 22
+_DRAWN, _TRIALS = 1 << 22, 1 << 11
 
 
 def stable_seed(seed: int, name: str) -> int:
@@ -50,11 +50,11 @@ class PackedGraph:
     @classmethod
     def of(cls, nodes: DataFrame, nbrs: DataFrame, most_edges: int = MOST_EDGES) -> PackedGraph:
         """From (node) and (node, neighbour, weight), behind a check of their size."""
-        n = nbrs.limit(most_edges + 1).count()
-        if n > most_edges or nodes.limit(most_edges + 1).count() > most_edges:
+        table = nbrs.select("node", "neighbour", F.col("weight").cast("double")).limit(most_edges + 1).toArrow()
+        known = nodes.select("node").limit(most_edges + 1).toArrow()["node"]
+        if max(len(table), len(known)) > most_edges:
             raise ValueError(f"over {most_edges} neighbour entries or nodes: use dynamics.heat_auc")
-        ids = np.sort(nodes.select("node").distinct().toArrow()["node"].to_numpy())
-        table = nbrs.select("node", "neighbour", F.col("weight").cast("double")).toArrow()
+        ids = np.unique(known.to_numpy())
         return cls(ids, *(table[c].to_numpy() for c in ("node", "neighbour", "weight")))
 
     def place(self, node: int) -> int | None:
@@ -95,10 +95,10 @@ class PackedGraph:
 
     def spread(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which of the nodes, neighbour, share) over all their neighbours, in order."""
-        n = self.first[nodes + 1] - self.first[nodes]
-        which = np.repeat(np.arange(len(nodes)), n)
-        at = self.first[nodes][which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return which, self.to[at], self.share[at]
+        first = self.first[nodes]
+        n = self.first[nodes + 1] - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(nodes)), n), self.to[at].astype(np.int64), self.share[at]
 
 
 class Heat:
@@ -108,7 +108,7 @@ class Heat:
         n = len(graph.ids)
         self.graph, self.config, self.tick = graph, config, 0
         self.heat, self.last, self.awake = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, bool)
-        self.queue = np.zeros(0, np.int64)
+        self.queue, self._at, self._fade = np.zeros(0, np.int64), np.zeros(n, np.int64), np.ones(1)
 
     def pulse(self, place: int, heat: float) -> None:
         self.heat[place] += heat
@@ -121,11 +121,9 @@ class Heat:
 
     def effective(self, nodes: np.ndarray | slice = slice(None), ahead: int = 0) -> np.ndarray:
         """Heat as of a tick: what is raw decays by the ticks gone since it was brought up to date."""
-        return self.heat[nodes] * 0.5 ** (np.maximum(self.tick + ahead - self.last[nodes], 0) / self.config.half_life)
-
-    def _bring_up(self, nodes: np.ndarray) -> None:
-        self.heat[nodes] = self.effective(nodes)
-        self.last[nodes] = self.tick
+        if self.tick + ahead >= len(self._fade):
+            self._fade = 0.5 ** (np.arange(2 * (self.tick + ahead) + 128) / self.config.half_life)
+        return self.heat[nodes] * self._fade[self.tick + ahead - self.last[nodes]]
 
     def prefix(self) -> tuple[np.ndarray, np.ndarray]:
         """(node, its heat by then) of what the next tick will work on."""
@@ -141,20 +139,24 @@ class Heat:
         if not len(nodes):
             return
         self.awake[nodes] = False
-        self._bring_up(nodes)
-        warm = self.heat[nodes] > self.config.floor
-        self.heat[nodes[~warm]] = 0.0
-        nodes = nodes[warm]
+        heat = self.effective(nodes)
+        self.last[nodes] = self.tick
+        warm = heat > self.config.floor
+        self.heat[nodes] = np.where(warm, heat, 0.0)
+        nodes, heat = nodes[warm], heat[warm]
         if self.config.diffusion > 0:
             which, to, share = self.graph.spread(nodes)
-            sent = np.where(self.graph.first[nodes + 1] > self.graph.first[nodes], self.heat[nodes] * self.config.diffusion, 0.0)
-            self.heat[nodes] -= sent
+            sent = np.where(self.graph.first[nodes + 1] > self.graph.first[nodes], heat * self.config.diffusion, 0.0)
+            self.heat[nodes] = heat - sent
             if len(to):
-                arrived, first, back = np.unique(to, return_index=True, return_inverse=True)
-                self._bring_up(arrived)
-                self.heat[arrived] += np.bincount(back, sent[which] * share)
-                arrived = arrived[np.argsort(first)]
-                self._wake(arrived[self.heat[arrived] > self.config.floor])
+                order = np.arange(len(to))
+                self._at[to[::-1]] = order[::-1]  # the first place of each stays
+                arrived = to[self._at[to] == order]
+                self._at[arrived] = order[: len(arrived)]
+                heat = self.effective(arrived) + np.bincount(self._at[to], sent[which] * share)
+                self.heat[arrived] = heat
+                self.last[arrived] = self.tick
+                self._wake(arrived[heat > self.config.floor])
         self._wake(nodes[self.heat[nodes] > self.config.floor])
 
 
@@ -210,6 +212,29 @@ def relabelled(totals: np.ndarray, classes: np.ndarray, free: np.ndarray, trials
     return out
 
 
+def own_null(total: np.ndarray, classes: np.ndarray, free: np.ndarray, trials: int, seed: int) -> np.ndarray:
+    """``relabelled`` for one row with draws of its own: only nodes with heat draw a class, each from what the free nodes before it
+    left, which is how a whole exchange deals theirs."""
+    rng = np.random.default_rng(seed)
+    at = np.flatnonzero(free & (total != 0))
+    fixed = [total[~free & (classes == c)].sum() for c in (RELATED, OTHER)]
+    held, urn = int(free.sum()), [int((free & (classes == c)).sum()) for c in (RELATED, OTHER)]
+    out = np.empty(trials)
+    for a in range(0, trials, _TRIALS):
+        n = min(_TRIALS, trials - a)
+        balls = (rng.random((n, len(at))).T * (held - np.arange(len(at)))[:, None]).astype(np.int32)
+        left, both = np.full(n, urn[0], np.int32), np.full(n, sum(urn), np.int32)
+        related, foreign = np.empty((2, len(at), n), bool)
+        for k, ball in enumerate(balls):
+            np.less(ball, left, out=related[k])
+            np.less(ball, both, out=foreign[k])
+            left -= related[k]
+            both -= foreign[k]
+        related, foreign = fixed[0] + total[at] @ related, sum(fixed) + total[at] @ foreign
+        out[a : a + n] = np.divide(related, foreign, out=np.full(n, np.nan), where=foreign > 0)
+    return out
+
+
 def _classes(graph: PackedGraph, classes: DataFrame) -> np.ndarray:
     """0 origin, 1 related, 2 other, by place; unknown nodes are other."""
     table = classes.where(F.col("class").isin("origin", "related")).select("node", (F.col("class") == "related").alias("related")).toArrow()
@@ -221,25 +246,20 @@ def _classes(graph: PackedGraph, classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _over_targets(targets: DataFrame, graph: PackedGraph, rows_of: Callable[[list[int]], Iterator[dict]], schema: str, tasks: int | None = None) -> DataFrame:
-    """Rows made from the targets (node) of a task at a time; targets outside the graph are left out."""
+def _over_targets(targets: DataFrame, graph: PackedGraph, columns_of: Callable[[list[int]], Iterator[dict]], schema: str, tasks: int | None = None) -> DataFrame:
+    """Rows, as columns by name, made from the targets (node) of a task at a time; targets outside the graph are left out."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = [p for t in sorted(batch.column(0).to_pylist()) if (p := graph.place(t)) is not None]
-            held: list[dict] = []
-            for row in rows_of(places):
-                held.append(row)
-                if len(held) >= 20_000:
-                    yield pa.RecordBatch.from_pylist(held, arrow)
-                    held = []
-            yield pa.RecordBatch.from_pylist(held, arrow)
-
-    wide = targets.select("node").where("node is not null").distinct().repartition(tasks or int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+        own = {t for batch in batches for t in batch.column(0).to_pylist()}
+        for columns in columns_of([p for t in sorted(own) if (p := graph.place(t)) is not None]):
+            yield pa.RecordBatch.from_pydict(columns, arrow)
+
+    # no distinct() here: its shuffle would be this one, and small partitions of it are joined to one task
+    wide = targets.select("node").where("node is not null").repartition(tasks or int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
     return wide.mapInArrow(run, schema)
 
 
@@ -247,13 +267,13 @@ def heat_totals(nodes: DataFrame, nbrs: DataFrame, targets: DataFrame, horizons:
     """(target, horizon, node, auc): raw heat summed over the ticks of a pulse at each target, where it is not zero."""
     graph = PackedGraph.of(nodes, nbrs)
 
-    def rows_of(places: list[int]) -> Iterator[dict]:
+    def columns_of(places: list[int]) -> Iterator[dict]:
         for p in places:
             for horizon, total in run_heat(graph, p, heat, horizons, config).totals.items():
-                for k in np.flatnonzero(total).tolist():
-                    yield {"target": int(graph.ids[p]), "horizon": horizon, "node": int(graph.ids[k]), "auc": float(total[k])}
+                k = np.flatnonzero(total)
+                yield {"target": np.full(len(k), graph.ids[p]), "horizon": np.full(len(k), horizon), "node": graph.ids[k], "auc": total[k]}
 
-    return _over_targets(targets, graph, rows_of, "target long, horizon long, node long, auc double")
+    return _over_targets(targets, graph, columns_of, "target long, horizon long, node long, auc double")
 
 
 def pair_battery(nodes: DataFrame, nbrs: DataFrame, classes: DataFrame, *, horizons: tuple[int, ...] = (20, 60, 120, 240), primary: int = 120, heat: float = 10.0, levels: tuple[float, ...] = (1.0, 100.0), trials: int = 5000, seed: int = 20260824, config: DynamicsConfig = DynamicsConfig()) -> DataFrame:
@@ -264,7 +284,7 @@ def pair_battery(nodes: DataFrame, nbrs: DataFrame, classes: DataFrame, *, horiz
     kinds, flat, still = _classes(graph, classes), None, replace(config, diffusion=0.0)
     related = kinds == RELATED
 
-    def rows_of(places: list[int]) -> Iterator[dict]:
+    def columns_of(places: list[int]) -> Iterator[dict]:
         nonlocal flat
         flat = flat or graph.flat()
         for p in places:
@@ -275,19 +295,20 @@ def pair_battery(nodes: DataFrame, nbrs: DataFrame, classes: DataFrame, *, horiz
             near = graph.spread(np.array([p]))[1]
             direct = int(related[near].sum())
             free = np.arange(len(kinds)) != p
-            null = relabelled(total[None, :], kinds, free, trials, stable_seed(seed, str(target)))[0] if real is not None else np.zeros(0)
+            null = own_null(total, kinds, free, trials, stable_seed(seed, str(target))) if real is not None else np.zeros(0)
             null = null[~np.isnan(null)]
             others = [fraction(one(graph, h), kinds)[0] for h in levels]
-            yield {
+            row = {
                 "target": target, "hops": graph.hops(p, related), "direct_related": direct, "direct_other": int((kinds[near] == OTHER).sum()), "real_fraction": real, "origin_auc": sums[ORIGIN], "related_auc": sums[RELATED], "other_auc": sums[OTHER],
                 "by_horizon": [fraction(main.totals[h], kinds)[0] for h in horizons], "level_deviation": max((abs(x - real) for x in others if x is not None and real is not None), default=0.0),
                 "flat_fraction": fraction(one(flat), kinds)[0], "lesion_fraction": fraction(one(graph.without(p, related)), kinds)[0] if direct else None, "still_foreign": sum(fraction(one(graph, c=still), kinds)[1][1:]),
                 "most_awake": main.most_awake, "saturated_ticks": main.saturated, "null_median": float(np.median(null)) if len(null) else None, "null_q95": float(np.quantile(null, 0.95)) if len(null) else None,
                 "p_right": float((1 + (null >= real).sum()) / (1 + len(null))) if len(null) else None,
             }
+            yield {name: [x] for name, x in row.items()}
 
     schema = "target long, hops long, direct_related long, direct_other long, real_fraction double, origin_auc double, related_auc double, other_auc double, by_horizon array<double>, level_deviation double, flat_fraction double, lesion_fraction double, still_foreign double, most_awake long, saturated_ticks long, null_median double, null_q95 double, p_right double"
-    rows = _over_targets(classes.where("class = 'origin'"), graph, rows_of, schema)
+    rows = _over_targets(classes.where("class = 'origin'"), graph, columns_of, schema)
     rows = rows.withColumn("p_eligible", F.when(F.col("hops").isNotNull(), F.col("p_right")))
     adjusted = holm(benjamini_hochberg(rows, "p_eligible", "target"), "p_eligible", "target").drop("p_eligible")
     return adjusted.withColumn("status", F.when(F.col("hops").isNull(), "unreachable").when(F.col("real_fraction").isNull(), "no foreign heat").otherwise("ok"))
@@ -301,15 +322,14 @@ def global_nulls(nodes: DataFrame, nbrs: DataFrame, classes: DataFrame, *, horiz
     degree = np.diff(graph.first) if by_degree else None
     draws = stable_seed(seed, f"global:{'degree' if by_degree else 'plain'}:{stream}")
 
-    def rows_of(places: list[int]) -> Iterator[dict]:
+    def columns_of(places: list[int]) -> Iterator[dict]:
         for a in range(0, len(places), 64):
             own = places[a : a + 64]
             totals = np.stack([run_heat(graph, p, heat, [horizon], config).totals[horizon] for p in own])
             for p, null in zip(own, relabelled(totals, kinds, kinds != ORIGIN, trials, draws, degree), strict=True):
-                for k, x in enumerate(null.tolist()):
-                    yield {"target": int(graph.ids[p]), "trial": k, "fraction": None if np.isnan(x) else x}
+                yield {"target": np.full(trials, graph.ids[p]), "trial": np.arange(trials, dtype=np.int32), "fraction": pa.array(null, from_pandas=True)}
 
-    return _over_targets(classes.where("class = 'origin'"), graph, rows_of, "target long, trial int, fraction double")
+    return _over_targets(classes.where("class = 'origin'"), graph, columns_of, "target long, trial int, fraction double")
 
 
 def source_cells(nodes: DataFrame, nbrs: DataFrame, sources: DataFrame, *, ticks: int = 120, heat: float = 10.0, trials: int = 1000, seed: int = 20260824, config: DynamicsConfig = DynamicsConfig()) -> DataFrame:
@@ -323,28 +343,40 @@ def source_cells(nodes: DataFrame, nbrs: DataFrame, sources: DataFrame, *, ticks
     index = {s: k for k, s in enumerate(names)}
     label = np.array([index.get(of.get(int(i)), -1) for i in graph.ids], np.int32)
 
-    def rows_of(places: list[int]) -> Iterator[dict]:
+    wide = len(names) + 1
+
+    def columns_of(places: list[int]) -> Iterator[dict]:
         by_origin: dict[int, list[int]] = {}
         for p in places:
             if label[p] >= 0:
                 by_origin.setdefault(int(label[p]), []).append(p)
         for origin, own in by_origin.items():
             foreign = np.flatnonzero(label != origin)
-            totals = np.stack([run_heat(graph, p, heat, [ticks], config).totals[ticks][foreign] for p in own])
-            totals = totals[totals.sum(1) > 0]
-            shares = totals / totals.sum(1, keepdims=True)
+            found = []
+            for p in own:
+                total = run_heat(graph, p, heat, [ticks], config).totals[ticks][foreign]
+                if total.sum() > 0:
+                    warm = np.flatnonzero(total)
+                    found.append((warm, total[warm] / total.sum()))
+            if not found:
+                continue
+            at, share = (np.concatenate(x) for x in zip(*found, strict=True))
+            row = np.repeat(np.arange(len(found)) * wide + 1, [len(x) for x, _ in found])
             rng = np.random.default_rng(stable_seed(seed, names[origin]))
             for trial in range(-1, trials):
                 labels = label[foreign] if trial < 0 else rng.permutation(label[foreign])
-                held = np.stack([np.bincount(labels + 1, row, minlength=len(names) + 1) for row in shares]) if len(shares) else np.zeros((0, len(names) + 1))
-                for dest in range(-1, len(names)):
-                    if dest != origin:
-                        for x in held[:, dest + 1].tolist():
-                            yield {"origin": names[origin], "destination": names[dest] if dest >= 0 else None, "trial": trial, "share": x}
+                held = np.bincount(row + labels[at], share, minlength=len(found) * wide)
+                yield {"origin": [origin], "trial": [trial], "shares": [held]}
+
+    def middle(table: pa.Table) -> pa.Table:
+        origin, trial = table["origin"][0].as_py(), table["trial"][0].as_py()
+        shares = np.concatenate([x.values.to_numpy() for x in table["shares"]]).reshape(-1, wide)
+        to = [d for d in range(-1, len(names)) if d != origin]
+        return pa.table({"origin": [names[origin]] * len(to), "destination": pa.array([names[d] if d >= 0 else None for d in to], pa.string()), "trial": pa.array([trial] * len(to), pa.int32()), "share": np.median(shares, axis=0)[[d + 1 for d in to]], "targets": pa.array([len(shares)] * len(to), pa.int64())})
 
     targets = sources.select("node")
-    drawn = _over_targets(targets, graph, rows_of, "origin string, destination string, trial int, share double")
-    medians = drawn.groupBy("origin", "destination", "trial").agg(F.median("share").alias("share"), F.count("*").alias("targets"))
+    drawn = _over_targets(targets, graph, columns_of, "origin int, trial int, shares array<double>")
+    medians = drawn.groupBy("origin", "trial").applyInArrow(middle, "origin string, destination string, trial int, share double, targets long")
     real = F.max(F.when(F.col("trial") < 0, F.col("share")))
     cells = medians.groupBy("origin", "destination").agg(F.max(F.when(F.col("trial") < 0, F.col("targets"))).alias("targets"), real.alias("real_share"), F.median(F.when(F.col("trial") >= 0, F.col("share"))).alias("null_median"), F.percentile(F.when(F.col("trial") >= 0, F.col("share")), F.lit(0.95)).alias("null_q95"), F.collect_list(F.when(F.col("trial") >= 0, F.col("share"))).alias("null"))
     cells = cells.withColumn("p_right", F.when(F.col("destination").isNotNull(), (1 + F.size(F.filter("null", lambda x: x >= F.col("real_share")))) / (1 + F.size("null")))).drop("null").withColumn("delta", F.col("real_share") - F.col("null_median"))
@@ -356,7 +388,7 @@ def heat_field(nodes: DataFrame, nbrs: DataFrame, targets: DataFrame, *, ticks:
     itself, which only an evaluator may see."""
     graph = PackedGraph.of(nodes, nbrs)
 
-    def rows_of(places: list[int]) -> Iterator[dict]:
+    def columns_of(places: list[int]) -> Iterator[dict]:
         for p in places:
             state, folded = Heat(graph, config), np.zeros(len(graph.ids))
             state.pulse(p, heat)
@@ -366,10 +398,10 @@ def heat_field(nodes: DataFrame, nbrs: DataFrame, targets: DataFrame, *, ticks:
                 folded *= 0.5 ** (1 / map_half_life)
                 folded[worked] += gain * value
             truth = state.effective()
-            for k in np.flatnonzero((folded > 0) | (truth > 0)).tolist():
-                yield {"target": int(graph.ids[p]), "node": int(graph.ids[k]), "map_value": float(folded[k]), "truth": float(truth[k])}
+            k = np.flatnonzero((folded > 0) | (truth > 0))
+            yield {"target": np.full(len(k), graph.ids[p]), "node": graph.ids[k], "map_value": folded[k], "truth": truth[k]}
 
-    return _over_targets(targets, graph, rows_of, "target long, node long, map_value double, truth double")
+    return _over_targets(targets, graph, columns_of, "target long, node long, map_value double, truth double")
 
 
 def field_signal(field: DataFrame, nbrs: DataFrame) -> DataFrame:

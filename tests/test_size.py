@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import dynamics, graph
+from tessera.operators import battery, dynamics, graph
 from tessera.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +83,23 @@ def test_pairs_are_compared_once(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "most_similar", counted)
     QUERIES[name](spark, SF).collect()
     assert pairs.value == spark.read.parquet(f"{SF}/embeddings.parquet").groupBy("label").count().selectExpr("sum(count * count)").first()[0]
+
+
+def test_targets_run_in_parallel(spark):
+    nodes = spark.range(400).withColumnRenamed("id", "node").cache()
+    nbrs = nodes.selectExpr("node", "(node + 1) % 400 AS neighbour", "1.0 AS weight")
+    out = battery.heat_totals(nodes, nbrs, nodes.union(nodes), [3])
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    assert out.groupBy("target").count().selectExpr("min(count)", "max(count)", "count(*)").first() == (4, 4, 400)
+
+
+def test_own_nulls_deal_as_a_whole_exchange_does():
+    r = np.random.default_rng(3)
+    kinds, total = r.integers(0, 3, 60), np.where(r.random(60) < 0.4, r.random(60), 0.0)
+    free = np.arange(60) != 5
+    own, whole = (f for f in (battery.own_null(total, kinds, free, 20_000, 1), battery.relabelled(total[None], kinds, free, 20_000, 2)[0]))
+    assert all(abs(np.nanquantile(own, x) - np.nanquantile(whole, x)) < 0.02 for x in (0.05, 0.25, 0.5, 0.75, 0.95))
+    four = battery.own_null(np.array([5.0, 1.0, 2.0, 4.0]), np.array([0, 1, 2, 2]), np.array([False, True, True, True]), 6000, 7)
+    values, counts = np.unique(np.round(four, 9), return_counts=True)
+    assert np.allclose(values, [1 / 7, 2 / 7, 4 / 7]) and counts.min() > 1850
+    assert np.isnan(battery.own_null(np.zeros(60), kinds, free, 10, 1)).all()
