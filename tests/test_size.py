@@ -29,6 +29,7 @@ ONCE = [
     "heat_auc",
     "foreign_fraction",
     "null_fractions",
+    "global_nulls",
 ]
 
 
