@@ -30,6 +30,7 @@ ONCE = [
     "foreign_fraction",
     "null_fractions",
     "global_nulls",
+    "heat_totals",
 ]
 
 
