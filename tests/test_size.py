@@ -32,6 +32,7 @@ ONCE = [
     "global_nulls",
     "heat_totals",
     "heat_field_signal",
+    "source_cells",
 ]
 
 
