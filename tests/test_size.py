@@ -33,6 +33,7 @@ ONCE = [
     "heat_totals",
     "heat_field_signal",
     "source_cells",
+    "pair_battery",
 ]
 
 
