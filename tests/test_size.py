@@ -34,6 +34,7 @@ ONCE = [
     "heat_field_signal",
     "source_cells",
     "pair_battery",
+    "pair_battery_summary",
 ]
 
 
