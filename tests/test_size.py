@@ -35,6 +35,7 @@ ONCE = [
     "source_cells",
     "pair_battery",
     "pair_battery_summary",
+    "routing_report",
 ]
 
 
