@@ -1,8 +1,8 @@
 """The routing battery: heat pulses with a first-in-first-out work budget, their totals, and permutation nulls of where they go.
 
 A pulse is sequential by definition (which nodes a tick works on depends on the order in which earlier ticks woke them), so one task
-runs a target from its first tick to the last, as array operations over the packed graph, and targets run in parallel. The packed
-graph is sent to the tasks up to ``MOST_EDGES`` neighbour entries (12 bytes each); larger graphs are for ``dynamics.heat_auc``, whose ticks
+runs a target from its first tick to the last, as array operations over the part of the packed graph that it is linked with, and targets
+run in parallel. The packed graph is sent to the tasks up to ``MOST_EDGES`` neighbour entries (12 bytes each); larger graphs are for ``dynamics.heat_auc``, whose ticks
 are joins. Nulls relabel a run instead of repeating it; draws follow from seed, stream and trial alone, so every task draws the
 same ones and reruns agree.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from tessera.functions.statistics import benjamini_hochberg, holm
 
 MOST_EDGES = 1 << 23
 ORIGIN, RELATED, OTHER = 0, 1, 2
-_DRAWN, _TRIALS = 1 << 22, 1 << 11
+_DRAWN, _DEALT = 1 << 22, 1 << 21
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).T.astype(float)
 
 
 def stable_seed(seed: int, name: str) -> int:
@@ -78,6 +80,34 @@ class PackedGraph:
         out.share = out._shares(out.weight)
         return out
 
+    @cached_property
+    def parts(self) -> np.ndarray:
+        """The smallest place that a node is linked with, over any number of links either way: no heat goes from one part to another."""
+        owner, part = np.repeat(np.arange(len(self.ids)), np.diff(self.first)), np.arange(len(self.ids))
+        while True:
+            low, least = np.minimum(part[owner], part[self.to]), part.copy()
+            np.minimum.at(least, part[owner], low)
+            np.minimum.at(least, part[self.to], low)
+            while (least[least] != least).any():
+                least = least[least]
+            if (least == part).all():
+                return part
+            part = least
+
+    def part(self, place: int) -> tuple[PackedGraph, np.ndarray, int]:
+        """A node's part as a graph of its own, the places of its nodes, in order, and the node's place there. The last part is kept."""
+        k = int(self.parts[place])
+        if self.__dict__.get("_last", (None,))[0] != k:
+            own = np.flatnonzero(self.parts == k)
+            n = self.first[own + 1] - self.first[own]
+            first = np.concatenate([[0], np.cumsum(n)])
+            at = np.repeat(self.first[own] - first[:-1], n) + np.arange(first[-1])
+            out = object.__new__(PackedGraph)
+            out.ids, out.to, out.first, out.weight, out.share = self.ids[own], np.searchsorted(own, self.to[at]), first, self.weight[at], self.share[at]
+            self._last = k, out, own
+        _, out, own = self._last
+        return out, own, int(np.searchsorted(own, place))
+
     def hops(self, place: int, goal: np.ndarray) -> int | None:
         """Steps from a node to the nearest of the goal (a mask) other than itself."""
         seen = np.zeros(len(self.ids), bool)
@@ -95,10 +125,16 @@ class PackedGraph:
 
     def spread(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which of the nodes, neighbour, share) over all their neighbours, in order."""
+        n, to, share = self.links(nodes)
+        return np.repeat(np.arange(len(nodes)), n), to, share
+
+    def links(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(how many, by node), and (neighbour, share) over all their neighbours, in order."""
         first = self.first[nodes]
         n = self.first[nodes + 1] - first
-        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.repeat(np.arange(len(nodes)), n), self.to[at].astype(np.int64), self.share[at]
+        ends = n.cumsum()
+        at = (first - ends + n).repeat(n) + np.arange(ends[-1] if len(ends) else 0)
+        return n, self.to[at].astype(np.int64, copy=False), self.share[at]
 
 
 class Heat:
@@ -145,15 +181,15 @@ class Heat:
         self.heat[nodes] = np.where(warm, heat, 0.0)
         nodes, heat = nodes[warm], heat[warm]
         if self.config.diffusion > 0:
-            which, to, share = self.graph.spread(nodes)
-            sent = np.where(self.graph.first[nodes + 1] > self.graph.first[nodes], heat * self.config.diffusion, 0.0)
+            n, to, share = self.graph.links(nodes)
+            sent = np.where(n > 0, heat * self.config.diffusion, 0.0)
             self.heat[nodes] = heat - sent
             if len(to):
                 order = np.arange(len(to))
                 self._at[to[::-1]] = order[::-1]  # the first place of each stays
                 arrived = to[self._at[to] == order]
                 self._at[arrived] = order[: len(arrived)]
-                heat = self.effective(arrived) + np.bincount(self._at[to], sent[which] * share)
+                heat = self.effective(arrived) + np.bincount(self._at[to], np.repeat(sent, n) * share)
                 self.heat[arrived] = heat
                 self.last[arrived] = self.tick
                 self._wake(arrived[heat > self.config.floor])
@@ -186,7 +222,7 @@ def run_heat(graph: PackedGraph, place: int, heat: float, horizons: list[int], c
 
 def fraction(total: np.ndarray, classes: np.ndarray) -> tuple[float | None, list[float]]:
     """related / (related + other), None without foreign heat; and the heat of each class."""
-    sums = [float(total[classes == c].sum()) for c in (ORIGIN, RELATED, OTHER)]
+    sums = np.bincount(classes, total, minlength=3).tolist()
     foreign = sums[RELATED] + sums[OTHER]
     return (sums[RELATED] / foreign if foreign > 0 else None), sums
 
@@ -212,29 +248,61 @@ def relabelled(totals: np.ndarray, classes: np.ndarray, free: np.ndarray, trials
     return out
 
 
-def own_null(total: np.ndarray, classes: np.ndarray, free: np.ndarray, trials: int, seed: int) -> np.ndarray:
-    """``relabelled`` for one row with draws of its own: only nodes with heat draw a class, each from what the free nodes before it
-    left, which is how a whole exchange deals theirs."""
+def own_null(total: np.ndarray, classes: np.ndarray, free: np.ndarray, trials: int, seed: int, elsewhere: tuple[int, int, int] = (0, 0, 0)) -> np.ndarray:
+    """``relabelled`` for one row with draws of its own. Only nodes with heat draw a class: first whether they are foreign, then whether they are
+    related, each as often in a trial as a whole exchange deals it. ``elsewhere``: free nodes by class that aren't in the row, all cold."""
     rng = np.random.default_rng(seed)
     at = np.flatnonzero(free & (total != 0))
-    fixed = [total[~free & (classes == c)].sum() for c in (RELATED, OTHER)]
-    held, urn = int(free.sum()), [int((free & (classes == c)).sum()) for c in (RELATED, OTHER)]
-    out = np.empty(trials)
-    for a in range(0, trials, _TRIALS):
-        n = min(_TRIALS, trials - a)
-        balls = (rng.random((n, len(at))).T * (held - np.arange(len(at)))[:, None]).astype(np.int32)
-        left, both = np.full(n, urn[0], np.int32), np.full(n, sum(urn), np.int32)
-        related, foreign = np.empty((2, len(at), n), bool)
-        for k, ball in enumerate(balls):
-            np.less(ball, left, out=related[k])
-            np.less(ball, both, out=foreign[k])
-            left -= related[k]
-            both -= foreign[k]
-        related, foreign = fixed[0] + total[at] @ related, sum(fixed) + total[at] @ foreign
-        out[a : a + n] = np.divide(related, foreign, out=np.full(n, np.nan), where=foreign > 0)
+    fixed = [float(total[~free & (classes == c)].sum()) for c in (RELATED, OTHER)]
+    origin, related, other = (int((free & (classes == c)).sum()) + elsewhere[c] for c in (ORIGIN, RELATED, OTHER))
+    m, out = len(at), np.empty(trials)
+    heat = np.zeros(-(-m // 8) * 8)
+    heat[:m] = total[at]
+    table = (heat.reshape(-1, 8) @ _BITS).ravel()  # of eight nodes at a time, the heat of each set of them
+    step = max(1, _DEALT // max(m, 1))
+    for a in range(0, trials, step):
+        n = min(step, trials - a)
+        among = rng.integers(0, 1 << 64, -(-n * m // 8), dtype=np.uint64).view(np.uint8)[: n * m].reshape(n, m)
+        foreign, near = (np.packbits(among < round(256 * x / max(origin + related + other, 1)), axis=1) for x in (related + other, related))
+        count = lambda bits: np.bitwise_count(bits).sum(1, dtype=np.int64)
+        # numbers are dealt to trials by rank, so few nodes change sides; which trial has which number is as random as before
+        deal = rng.hypergeometric(related + other, origin, m, n) if m else np.zeros(n, np.int64)
+        whole = np.empty(n, np.int64)
+        whole[np.argsort(count(foreign), kind="stable")] = np.sort(deal)
+        over = count(foreign) - whole
+        _turn(rng, m, over, foreign, lambda t, b, bit: foreign[t, b] & bit)
+        near &= foreign
+        _turn(rng, m, -over, foreign, lambda t, b, bit: ~foreign[t, b] & bit)
+        deal = rng.hypergeometric(related, other, whole) if related + other else np.zeros(n, np.int64)
+        want = np.empty(n, np.int64)
+        want[np.lexsort((count(near), whole))] = deal[np.lexsort((deal, whole))]
+        over = count(near) - want
+        _turn(rng, m, over, near, lambda t, b, bit: near[t, b] & bit)
+        _turn(rng, m, -over, near, lambda t, b, bit: foreign[t, b] & ~near[t, b] & bit)
+        held = lambda bits: table.take(np.ascontiguousarray(bits.T) + (np.arange(bits.shape[1]) << 8)[:, None]).sum(0)
+        both = sum(fixed) + held(foreign)
+        out[a : a + n] = np.divide(fixed[0] + held(near), both, out=np.full(n, np.nan), where=both > 0)
     return out
 
 
+def _turn(rng: np.random.Generator, m: int, need: np.ndarray, bits: np.ndarray, fits: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> None:
+    """Turn over the bits (trial, byte) of as many nodes as each trial needs, drawn at random one after another among those that fit;
+    a bit that is turned fits no more."""
+    left, many = np.maximum(need, 0), 2
+    while left.any():
+        trial = np.repeat(np.arange(len(left)), left * many)
+        node = rng.integers(0, m, len(trial))
+        ok = fits(trial, node >> 3, (128 >> (node & 7)).astype(np.uint8)) != 0
+        key, first = np.unique(trial[ok] * m + node[ok], return_index=True)
+        key = key[np.argsort(first)]  # by trial, then as drawn
+        trial = key // m
+        key = key[np.arange(len(key)) - np.searchsorted(trial, trial) < left[trial]]
+        trial, node = key // m, key % m
+        np.bitwise_xor.at(bits, (trial, node >> 3), (128 >> (node & 7)).astype(np.uint8))
+        left = left - np.bincount(trial, minlength=len(left))
+        many = min(2 * many, max(2, _DEALT // max(int(left.sum()), 1)))
+
+
 def _classes(graph: PackedGraph, classes: DataFrame) -> np.ndarray:
     """0 origin, 1 related, 2 other, by place; unknown nodes are other."""
     table = classes.where(F.col("class").isin("origin", "related")).select("node", (F.col("class") == "related").alias("related")).toArrow()
@@ -252,10 +320,11 @@ def _over_targets(targets: DataFrame, graph: PackedGraph, columns_of: Callable[[
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    graph.parts  # found once, here, and sent with the graph
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {t for batch in batches for t in batch.column(0).to_pylist()}
-        for columns in columns_of([p for t in sorted(own) if (p := graph.place(t)) is not None]):
+        for columns in columns_of(sorted((p for t in own if (p := graph.place(t)) is not None), key=lambda p: (graph.parts[p], p))):
             yield pa.RecordBatch.from_pydict(columns, arrow)
 
     # no distinct() here: its shuffle would be this one, and small partitions of it are joined to one task
@@ -268,10 +337,10 @@ def heat_totals(nodes: DataFrame, nbrs: DataFrame, targets: DataFrame, horizons:
     graph = PackedGraph.of(nodes, nbrs)
 
     def columns_of(places: list[int]) -> Iterator[dict]:
-        for p in places:
-            for horizon, total in run_heat(graph, p, heat, horizons, config).totals.items():
+        for near, _, p in map(graph.part, places):
+            for horizon, total in run_heat(near, p, heat, horizons, config).totals.items():
                 k = np.flatnonzero(total)
-                yield {"target": np.full(len(k), graph.ids[p]), "horizon": np.full(len(k), horizon), "node": graph.ids[k], "auc": total[k]}
+                yield {"target": np.full(len(k), near.ids[p]), "horizon": np.full(len(k), horizon), "node": near.ids[k], "auc": total[k]}
 
     return _over_targets(targets, graph, columns_of, "target long, horizon long, node long, auc double")
 
@@ -281,27 +350,29 @@ def pair_battery(nodes: DataFrame, nbrs: DataFrame, classes: DataFrame, *, horiz
     and under each diagnostic (other heat levels, flat weights, the target's own related links cut, no diffusion), its own null over
     ``trials`` relabellings with the target fixed, and q_bh, p_holm over the targets that can reach the class."""
     graph, horizons = PackedGraph.of(nodes, nbrs), sorted({*horizons, primary})
-    kinds, flat, still = _classes(graph, classes), None, replace(config, diffusion=0.0)
-    related = kinds == RELATED
+    every, still = _classes(graph, classes), replace(config, diffusion=0.0)
+    counts = np.bincount(every, minlength=3)
 
     def columns_of(places: list[int]) -> Iterator[dict]:
-        nonlocal flat
-        flat = flat or graph.flat()
-        for p in places:
-            target, main = int(graph.ids[p]), run_heat(graph, p, heat, horizons, config)
+        last = None
+        for part, own, p in map(graph.part, places):
+            if part is not last:
+                last, flat, kinds = part, part.flat(), every[own]
+                related, elsewhere = kinds == RELATED, tuple((counts - np.bincount(kinds, minlength=3)).tolist())
+            target, main = int(part.ids[p]), run_heat(part, p, heat, horizons, config)
             total = main.totals[primary]
             real, sums = fraction(total, kinds)
             one = lambda g, h=heat, c=config: run_heat(g, p, h, [primary], c).totals[primary]  # noqa: B023, E731
-            near = graph.spread(np.array([p]))[1]
+            near = part.spread(np.array([p]))[1]
             direct = int(related[near].sum())
             free = np.arange(len(kinds)) != p
-            null = own_null(total, kinds, free, trials, stable_seed(seed, str(target))) if real is not None else np.zeros(0)
+            null = own_null(total, kinds, free, trials, stable_seed(seed, str(target)), elsewhere) if real is not None else np.zeros(0)
             null = null[~np.isnan(null)]
-            others = [fraction(one(graph, h), kinds)[0] for h in levels]
+            others = [fraction(one(part, h), kinds)[0] for h in levels]
             row = {
-                "target": target, "hops": graph.hops(p, related), "direct_related": direct, "direct_other": int((kinds[near] == OTHER).sum()), "real_fraction": real, "origin_auc": sums[ORIGIN], "related_auc": sums[RELATED], "other_auc": sums[OTHER],
+                "target": target, "hops": part.hops(p, related), "direct_related": direct, "direct_other": int((kinds[near] == OTHER).sum()), "real_fraction": real, "origin_auc": sums[ORIGIN], "related_auc": sums[RELATED], "other_auc": sums[OTHER],
                 "by_horizon": [fraction(main.totals[h], kinds)[0] for h in horizons], "level_deviation": max((abs(x - real) for x in others if x is not None and real is not None), default=0.0),
-                "flat_fraction": fraction(one(flat), kinds)[0], "lesion_fraction": fraction(one(graph.without(p, related)), kinds)[0] if direct else None, "still_foreign": sum(fraction(one(graph, c=still), kinds)[1][1:]),
+                "flat_fraction": fraction(one(flat), kinds)[0], "lesion_fraction": fraction(one(part.without(p, related)), kinds)[0] if direct else None, "still_foreign": sum(fraction(one(part, c=still), kinds)[1][1:]),
                 "most_awake": main.most_awake, "saturated_ticks": main.saturated, "null_median": float(np.median(null)) if len(null) else None, "null_q95": float(np.quantile(null, 0.95)) if len(null) else None,
                 "p_right": float((1 + (null >= real).sum()) / (1 + len(null))) if len(null) else None,
             }
@@ -353,11 +424,11 @@ def source_cells(nodes: DataFrame, nbrs: DataFrame, sources: DataFrame, *, ticks
         for origin, own in by_origin.items():
             foreign = np.flatnonzero(label != origin)
             found = []
-            for p in own:
-                total = run_heat(graph, p, heat, [ticks], config).totals[ticks][foreign]
-                if total.sum() > 0:
-                    warm = np.flatnonzero(total)
-                    found.append((warm, total[warm] / total.sum()))
+            for near, at, p in map(graph.part, own):
+                total = run_heat(near, p, heat, [ticks], config).totals[ticks]
+                warm = np.flatnonzero((total != 0) & (label[at] != origin))
+                if len(warm):
+                    found.append((np.searchsorted(foreign, at[warm]), total[warm] / total[warm].sum()))
             if not found:
                 continue
             at, share = (np.concatenate(x) for x in zip(*found, strict=True))

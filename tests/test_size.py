@@ -1,6 +1,8 @@
 """What only shows in larger tables: results that must be whole, and work that must not be done again and again."""
 
+import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,6 +102,50 @@ def test_targets_run_in_parallel(spark):
     assert out.groupBy("target").count().selectExpr("min(count)", "max(count)", "count(*)").first() == (4, 4, 400)
 
 
+@pytest.mark.parametrize("name", ["heat_totals", "pair_battery", "source_cells"])
+def test_targets_run_on_their_part_alone(spark, monkeypatch, name):
+    """Forty rings of ten: no run carries the other rings along."""
+    runs, carried, real = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), battery.run_heat
+
+    def counted(graph, *settings):
+        runs.add(1)
+        carried.add(len(graph.ids))
+        return real(graph, *settings)
+
+    monkeypatch.setattr(battery, "run_heat", counted)
+    nodes = spark.range(400).withColumnRenamed("id", "node").cache()
+    nbrs = nodes.selectExpr("node", "(node + 40) % 400 AS neighbour", "1.0 AS weight")
+    classes = nodes.selectExpr("node", "CASE WHEN node % 7 = 0 THEN 'origin' WHEN node % 7 < 3 THEN 'related' ELSE 'other' END AS class")
+    if name == "heat_totals":
+        out = battery.heat_totals(nodes, nbrs, nodes, [3])
+        assert {(r.target, r.node) for r in out.collect()} == {(t, (t + 40 * k) % 400) for t in range(400) for k in range(4)}
+    elif name == "pair_battery":
+        out = battery.pair_battery(nodes, nbrs, classes, horizons=(4,), primary=4, trials=10)
+        assert {r.target for r in out.collect()} == set(range(0, 400, 7))
+    else:
+        out = battery.source_cells(nodes, nbrs, classes.withColumnRenamed("class", "source"), ticks=4, trials=5)
+        assert out.count() == 9
+    assert runs.value >= 58 and carried.value == 10 * runs.value
+
+
+def test_parts_are_what_is_linked():
+    r = np.random.default_rng(6)
+    for n, links in ((60, 30), (60, 90), (300, 280), (5, 0)):
+        a, b = r.integers(0, n, (2, links))
+        g = battery.PackedGraph(np.arange(n) * 2, a * 2, b * 2, r.random(links))
+        near = {k: {k} for k in range(n)}
+        for x, y in zip(a, b, strict=True):
+            if near[x] is not near[y]:
+                near[x] |= near[y]
+                near |= dict.fromkeys(near[y], near[x])
+        assert g.parts.tolist() == [min(near[k]) for k in range(n)]
+        for k in range(0, n, 7):
+            part, own, p = g.part(k)
+            assert set(own) == near[k] and own[p] == k
+            whole, local = (battery.run_heat(x, at, 10.0, [30], battery.DynamicsConfig(active_budget=4)).totals[30] for x, at in ((g, k), (part, p)))
+            assert (whole[own] == local).all() and whole.sum() == pytest.approx(local.sum())
+
+
 def test_own_nulls_deal_as_a_whole_exchange_does():
     r = np.random.default_rng(3)
     kinds, total = r.integers(0, 3, 60), np.where(r.random(60) < 0.4, r.random(60), 0.0)
@@ -110,3 +156,29 @@ def test_own_nulls_deal_as_a_whole_exchange_does():
     values, counts = np.unique(np.round(four, 9), return_counts=True)
     assert np.allclose(values, [1 / 7, 2 / 7, 4 / 7]) and counts.min() > 1850
     assert np.isnan(battery.own_null(np.zeros(60), kinds, free, 10, 1)).all()
+
+
+@pytest.mark.parametrize("shares", [(0.2, 0.5, 0.3), (0.02, 0.01, 0.97), (0.9, 0.0, 0.1), (0.0, 0.5, 0.5), (0.1, 0.9, 0.0)])
+def test_own_nulls_count_the_cold_nodes_elsewhere(shares):
+    """Mean, spread and how often two nodes are both related are those of drawing without replacement."""
+    r = np.random.default_rng(8)
+    kinds, total = r.choice(3, 400, p=shares), np.where(np.arange(400) < 90, r.random(400) + 0.1, 0.0)
+    free = np.arange(400) != 5
+    whole = battery.relabelled(total[None], kinds, free, 20_000, 2)[0]
+    elsewhere = tuple(np.bincount(kinds[90:], minlength=3).tolist())
+    own = battery.own_null(total[:90], kinds[:90], free[:90], 20_000, 1, elsewhere)
+    assert abs(np.isnan(own).mean() - np.isnan(whole).mean()) < 0.02
+    for f in (np.nanmean, np.nanstd, *(lambda x, q=q: np.nanquantile(x, q) for q in (0.05, 0.5, 0.95))):
+        assert abs(f(own) - f(whole)) < 0.012
+
+
+def test_own_nulls_give_each_dealing_its_share():
+    """All 90 ways to deal two related, two other and two origin places to six nodes, two of them cold and not in the row."""
+    heat = (1.0, 2.0, 4.0, 8.0)
+    want = Counter()
+    for dealt in set(itertools.permutations((0, 0, 1, 1, 2, 2))):
+        related, other = (sum(x for x, c in zip(heat, dealt) if c == k) for k in (1, 2))
+        want[round(related / (related + other), 9) if related + other else None] += 24_000 / 90
+    got = battery.own_null(np.array(heat), np.array([0, 1, 1, 2]), np.ones(4, bool), 24_000, 3, (1, 0, 1))
+    got = Counter(round(float(x), 9) if x == x else None for x in got)
+    assert got.keys() == want.keys() and all(abs(got[k] - n) < 5 * n**0.5 for k, n in want.items())
