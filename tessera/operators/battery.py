@@ -314,6 +314,15 @@ def _classes(graph: PackedGraph, classes: DataFrame) -> np.ndarray:
     return out
 
 
+def _labels(graph: PackedGraph, sources: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The sources' names in order, and by place the number of a node's source, -1 without one."""
+    names = [r[0] for r in sources.select("source").distinct().orderBy("source").collect()]
+    table = sources.where("node is not null").select("node", "source").toArrow()
+    of = dict(zip(table["node"].to_pylist(), table["source"].to_pylist(), strict=True))
+    index = {s: k for k, s in enumerate(names)}
+    return names, np.array([index.get(of.get(int(i)), -1) for i in graph.ids], np.int32)
+
+
 def _over_targets(targets: DataFrame, graph: PackedGraph, columns_of: Callable[[list[int]], Iterator[dict]], schema: str, tasks: int | None = None) -> DataFrame:
     """Rows, as columns by name, made from the targets (node) of a task at a time; targets outside the graph are left out."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -385,6 +394,22 @@ def pair_battery(nodes: DataFrame, nbrs: DataFrame, classes: DataFrame, *, horiz
     return adjusted.withColumn("status", F.when(F.col("hops").isNull(), "unreachable").when(F.col("real_fraction").isNull(), "no foreign heat").otherwise("ok"))
 
 
+def routes(nodes: DataFrame, nbrs: DataFrame, classes: DataFrame, sources: DataFrame, *, ticks: int = 120, heat: float = 10.0, config: DynamicsConfig = DynamicsConfig()) -> DataFrame:
+    """(target, hops, real_fraction, heat) per origin node from one run each: hops and real_fraction as in ``pair_battery``; heat, by source, is
+    what nodes of other sources gather, where it is not zero (a node has one source; a target without one has an empty list)."""
+    graph = PackedGraph.of(nodes, nbrs)
+    kinds, (names, label) = _classes(graph, classes), _labels(graph, sources)
+
+    def columns_of(places: list[int]) -> Iterator[dict]:
+        for near, own, p in map(graph.part, places):
+            total, mine = run_heat(near, p, heat, [ticks], config).totals[ticks], label[own[p]]
+            held = np.bincount(label[own] + 1, total, minlength=len(names) + 1)[1:]
+            to = [int(k) for k in np.flatnonzero(held) if k != mine] if mine >= 0 else []
+            yield {"target": [near.ids[p]], "hops": [near.hops(p, kinds[own] == RELATED)], "real_fraction": [fraction(total, kinds[own])[0]], "heat": [[{"source": names[k], "heat": held[k]} for k in to]]}
+
+    return _over_targets(classes.where("class = 'origin'"), graph, columns_of, "target long, hops long, real_fraction double, heat array<struct<source: string, heat: double>>")
+
+
 def global_nulls(nodes: DataFrame, nbrs: DataFrame, classes: DataFrame, *, horizon: int = 120, heat: float = 10.0, trials: int = 10_000, seed: int = 20260824, stream: str = "calibration", by_degree: bool = False, config: DynamicsConfig = DynamicsConfig()) -> DataFrame:
     """(target, trial, fraction): each origin node's fraction under relabellings that all targets share; origin nodes are fixed. With
     ``by_degree`` only nodes of one degree exchange labels."""
@@ -408,12 +433,7 @@ def source_cells(nodes: DataFrame, nbrs: DataFrame, sources: DataFrame, *, ticks
     destination's share of all foreign heat, against relabellings of the foreign nodes that the origin's targets share. Nodes
     without a source gather heat that belongs to no destination; their median share is destination null."""
     graph = PackedGraph.of(nodes, nbrs)
-    names = [r[0] for r in sources.select("source").distinct().orderBy("source").collect()]
-    table = sources.where("node is not null").select("node", "source").toArrow()
-    of = dict(zip(table["node"].to_pylist(), table["source"].to_pylist(), strict=True))
-    index = {s: k for k, s in enumerate(names)}
-    label = np.array([index.get(of.get(int(i)), -1) for i in graph.ids], np.int32)
-
+    names, label = _labels(graph, sources)
     wide = len(names) + 1
 
     def columns_of(places: list[int]) -> Iterator[dict]:

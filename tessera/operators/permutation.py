@@ -76,7 +76,12 @@ def choice_trials(deltas: DataFrame, trials: int, seed: int, gamma: float = 1.0,
 def top_destination(auc: DataFrame, sources: DataFrame) -> DataFrame:
     """Per target: the source that gathers most heat among those that aren't its own, ties by the greater name."""
     own = auc.join(sources.select(F.col("node").alias("target"), F.col("source").alias("origin")), "target").join(sources, "node").where("origin <> source")
-    return own.groupBy("target", "source").agg(F.sum("auc").alias("heat")).groupBy("target").agg(F.max_by("source", F.struct(F.round("heat", 9), "source")).alias("destination"), F.max(F.round("heat", 9)).alias("heat"))
+    return hottest(own.groupBy("target", "source").agg(F.sum("auc").alias("heat")))
+
+
+def hottest(heat: DataFrame) -> DataFrame:
+    """(target, destination, heat) of (target, source, heat): each target's source of most heat, ties by the greater name."""
+    return heat.groupBy("target").agg(F.max_by("source", F.struct(F.round("heat", 9), "source")).alias("destination"), F.max(F.round("heat", 9)).alias("heat"))
 
 
 def arm_means(paths: DataFrame, value: str) -> DataFrame:

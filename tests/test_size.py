@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import battery, dynamics, graph
+from tessera.operators import battery, dynamics, graph, permutation
+from tessera.plans import queries
 from tessera.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -128,6 +129,27 @@ def test_targets_run_on_their_part_alone(spark, monkeypatch, name):
     assert runs.value >= 58 and carried.value == 10 * runs.value
 
 
+def test_routing_report_runs_each_target_once(spark, monkeypatch):
+    """One run a target gives what whole totals and the battery's rows give."""
+    of = lambda f: f(spark, SF)
+    nodes, links, kinds, names = of(queries._nodes), of(queries.nbrs), of(queries.classes), of(queries.sources)
+    targets = kinds.where("class = 'origin'")
+    top = permutation.top_destination(battery.heat_totals(nodes, links, targets, [120]).drop("horizon"), names)
+    rows = battery.pair_battery(nodes, links, kinds, trials=1)
+    want = battery.routing_summary(rows, top, kinds, names).first()
+    got = battery.routes(nodes, links, kinds, names)
+    assert {(r.target, r.hops, r.real_fraction) for r in got.collect()} == {(r.target, r.hops, r.real_fraction) for r in rows.collect()}
+    assert {tuple(r) for r in permutation.hottest(got.select("target", F.inline("heat"))).collect()} == {tuple(r) for r in top.collect()}
+    runs, real = spark.sparkContext.accumulator(0), battery.run_heat
+
+    def counted(*settings):
+        runs.add(1)
+        return real(*settings)
+
+    monkeypatch.setattr(battery, "run_heat", counted)
+    assert tuple(QUERIES["routing_report"](spark, SF).first()) == pytest.approx(tuple(want), rel=1e-12) and runs.value == targets.count()
+
+
 def test_parts_are_what_is_linked():
     r = np.random.default_rng(6)
     for n, links in ((60, 30), (60, 90), (300, 280), (5, 0)):
