@@ -10,6 +10,7 @@ same ones and reruns agree.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
@@ -25,6 +26,8 @@ from tessera.functions.statistics import benjamini_hochberg, holm
 MOST_EDGES = 1 << 23
 ORIGIN, RELATED, OTHER = 0, 1, 2
 _DRAWN, _DEALT = 1 << 22, 1 << 21
+#: Bytes of a row that are looked up at a time: their part of the table and the places stay in the cache.
+_BYTES = 64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).T.astype(float)
 
 
@@ -263,28 +266,39 @@ def own_null(total: np.ndarray, classes: np.ndarray, free: np.ndarray, trials: i
     for a in range(0, trials, step):
         n = min(step, trials - a)
         among = rng.integers(0, 1 << 64, -(-n * m // 8), dtype=np.uint64).view(np.uint8)[: n * m].reshape(n, m)
-        foreign, near = (np.packbits(among < round(256 * x / max(origin + related + other, 1)), axis=1) for x in (related + other, related))
+        foreign, near = (np.packbits(among < _cuts(x / max(origin + related + other, 1), n), axis=1) for x in (related + other, related))
         count = lambda bits: np.bitwise_count(bits).sum(1, dtype=np.int64)
-        # numbers are dealt to trials by rank, so few nodes change sides; which trial has which number is as random as before
         deal = rng.hypergeometric(related + other, origin, m, n) if m else np.zeros(n, np.int64)
-        whole = np.empty(n, np.int64)
-        whole[np.argsort(count(foreign), kind="stable")] = np.sort(deal)
+        near_deal = rng.hypergeometric(related, other, deal) if related + other else np.zeros(n, np.int64)
+        # numbers are dealt to trials with counts like them, so few nodes change sides; which nodes a trial has is as random as before
+        trial, dealt = _alike(count(foreign), count(near)), _alike(deal, near_deal)
+        whole, want = np.empty(n, np.int64), np.empty(n, np.int64)
+        whole[trial], want[trial] = deal[dealt], near_deal[dealt]
         over = count(foreign) - whole
         _turn(rng, m, over, foreign, lambda t, b, bit: foreign[t, b] & bit)
         near &= foreign
         _turn(rng, m, -over, foreign, lambda t, b, bit: ~foreign[t, b] & bit)
-        deal = rng.hypergeometric(related, other, whole) if related + other else np.zeros(n, np.int64)
-        want = np.empty(n, np.int64)
-        want[np.lexsort((count(near), whole))] = deal[np.lexsort((deal, whole))]
         over = count(near) - want
         _turn(rng, m, over, near, lambda t, b, bit: near[t, b] & bit)
         _turn(rng, m, -over, near, lambda t, b, bit: foreign[t, b] & ~near[t, b] & bit)
-        held = lambda bits: table.take(np.ascontiguousarray(bits.T) + (np.arange(bits.shape[1]) << 8)[:, None]).sum(0)
+        held = lambda bits: sum(table[k << 8 :].take(np.ascontiguousarray((x := bits[:, k : k + _BYTES]).T) + (np.arange(x.shape[1]) << 8)[:, None]).sum(0) for k in range(0, bits.shape[1], _BYTES))
         both = sum(fixed) + held(foreign)
         out[a : a + n] = np.divide(fixed[0] + held(near), both, out=np.full(n, np.nan), where=both > 0)
     return out
 
 
+def _cuts(share: float, trials: int) -> np.ndarray:
+    """By trial, below which byte a node is drawn: one of the two bytes at the share, in as many trials as make the share on average."""
+    return np.minimum(256 * share + (np.arange(trials) + 0.5) / trials, 255).astype(np.uint8)[:, None]
+
+
+def _alike(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Order by the first in blocks, as many as a block has rows, and within a block by the second."""
+    block = np.empty(len(first), np.int64)
+    block[np.argsort(first, kind="stable")] = np.arange(len(first)) // max(math.isqrt(len(first)), 1)
+    return np.lexsort((second, block))
+
+
 def _turn(rng: np.random.Generator, m: int, need: np.ndarray, bits: np.ndarray, fits: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> None:
     """Turn over the bits (trial, byte) of as many nodes as each trial needs, drawn at random one after another among those that fit;
     a bit that is turned fits no more."""

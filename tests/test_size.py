@@ -215,3 +215,13 @@ def test_heat_totals_are_rounded_as_sql_rounds(spark, monkeypatch):
     monkeypatch.setattr(queries, "nbrs", lambda *a: None)
     got = [r[0] for r in queries.heat_totals(spark, "/root/testdata/sf0.001").collect()]
     assert got == [r[0] for r in duckdb.execute(f"SELECT round(unnest({heat}::DOUBLE[]), 8)").fetchall()]
+
+
+def test_own_nulls_turn_few_nodes(monkeypatch):
+    """Of 4,000 warm nodes under 15 a trial change sides after the draw; as many trials as fit at a time are dealt the counts nearest to their own."""
+    turned, turn = [], battery._turn
+    monkeypatch.setattr(battery, "_turn", lambda rng, m, need, *rest: (turned.append(np.maximum(need, 0).sum()), turn(rng, m, need, *rest)))
+    r = np.random.default_rng(5)
+    kinds = r.choice(3, 4000, p=[1 / 7, 2 / 7, 4 / 7])
+    battery.own_null(r.random(4000), kinds, np.ones(4000, bool), 1000, 3, (5000, 10_000, 20_000))
+    assert sum(turned) < 15 * 1000
