@@ -488,14 +488,15 @@ def source_cells(nodes: DataFrame, nbrs: DataFrame, sources: DataFrame, *, ticks
     return benjamini_hochberg(cells.withColumn("cell", F.concat_ws("\x01", "origin", "destination")), "p_right", "cell").drop("cell")
 
 
-def heat_field(nodes: DataFrame, nbrs: DataFrame, targets: DataFrame, *, ticks: int = 20, heat: float = 10.0, gain: float = 0.25, map_half_life: float = 200.0, config: DynamicsConfig = DynamicsConfig()) -> DataFrame:
+def heat_field(nodes: DataFrame, nbrs: DataFrame, targets: DataFrame, *, ticks: int = 20, heat: float = 10.0, gain: float = 0.25, map_half_life: float = 200.0, near: bool = False, config: DynamicsConfig = DynamicsConfig()) -> DataFrame:
     """(target, node, map_value, truth): after a pulse and ``ticks`` ticks, the map folded from what each tick worked on, and the heat
-    itself, which only an evaluator may see."""
+    itself, which only an evaluator may see. With ``near`` only the rows of the target and its neighbours in the graph, which is what
+    ``field_signal`` reads."""
     graph = PackedGraph.of(nodes, nbrs)
 
     def columns_of(places: list[int]) -> Iterator[dict]:
-        for p in places:
-            state, folded = Heat(graph, config), np.zeros(len(graph.ids))
+        for part, _, p in map(graph.part, places):
+            state, folded = Heat(part, config), np.zeros(len(part.ids))
             state.pulse(p, heat)
             for _ in range(ticks):
                 worked, value = state.prefix()
@@ -504,19 +505,26 @@ def heat_field(nodes: DataFrame, nbrs: DataFrame, targets: DataFrame, *, ticks:
                 folded[worked] += gain * value
             truth = state.effective()
             k = np.flatnonzero((folded > 0) | (truth > 0))
-            yield {"target": np.full(len(k), graph.ids[p]), "node": graph.ids[k], "map_value": folded[k], "truth": truth[k]}
+            if near and len(k):  # the target stays, so that it is known to have a field
+                links = np.unique(part.spread(np.array([p]))[1])
+                k = np.union1d(links[(folded[links] > 0) | (truth[links] > 0)], [p])
+            yield {"target": np.full(len(k), part.ids[p]), "node": part.ids[k], "map_value": folded[k], "truth": truth[k]}
 
     return _over_targets(targets, graph, columns_of, "target long, node long, map_value double, truth double")
 
 
 def field_signal(field: DataFrame, nbrs: DataFrame) -> DataFrame:
-    """Per target: how its neighbours' map values rank against the truth, their spread, and whether that says anything."""
+    """Per target: how its neighbours' map values rank against the truth, their spread, and whether that says anything. The field is read
+    once and dealt by target: Spark takes it to be as small as the targets that it is made from, and would send it to the driver for a join."""
     from tessera.functions.statistics import spearman
 
-    seen = field.select(F.col("target").alias("node")).distinct().join(nbrs.select("node", "neighbour"), "node").select(F.col("node").alias("target"), F.col("neighbour").alias("node"))
-    values = seen.join(field, ["target", "node"], "left").select("target", "node", F.coalesce("map_value", F.lit(0.0)).alias("m"), F.coalesce("truth", F.lit(0.0)).alias("t"))
-    spread = values.groupBy("target").agg(F.count("*").alias("neighbours"), (F.max("m") - F.min("m")).alias("spread"))
-    out = spread.join(spearman(values, "m", "t", ["target"]).select("target", "rho"), "target", "left")
+    links = nbrs.select(F.col("node").alias("target"), F.col("neighbour").alias("node"), F.lit(None).cast("double").alias("m"), F.lit(None).cast("double").alias("t"), F.lit(True).alias("link"))
+    rows = field.select("target", "node", F.col("map_value").alias("m"), F.col("truth").alias("t"), F.lit(False).alias("link")).unionByName(links)
+    own, pair = Window.partitionBy("target"), Window.partitionBy("target", "node")
+    known = rows.withColumn("known", F.bool_or(~F.col("link")).over(own)).where("known").drop("known")
+    values = known.withColumns({c: F.coalesce(F.max(c).over(pair), F.lit(0.0)) for c in ("m", "t")}).where("link")
+    values = values.withColumn("spread", F.max("m").over(own) - F.min("m").over(own))
+    out = spearman(values, "m", "t", ["target", "spread"]).select("target", F.col("n").alias("neighbours"), "spread", "rho")
     return out.withColumn("informative", (F.col("neighbours") >= 2) & (F.col("spread") > 1e-12) & F.col("rho").isNotNull())
 
 

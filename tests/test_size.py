@@ -225,3 +225,44 @@ def test_own_nulls_turn_few_nodes(monkeypatch):
     kinds = r.choice(3, 4000, p=[1 / 7, 2 / 7, 4 / 7])
     battery.own_null(r.random(4000), kinds, np.ones(4000, bool), 1000, 3, (5000, 10_000, 20_000))
     assert sum(turned) < 15 * 1000
+
+
+def _ranked(xs):
+    return np.array([np.mean([(y < x) + (y <= x) - 1 for y in xs]) for x in xs])
+
+
+def test_field_signal_reads_a_field_once_and_off_the_driver(spark, monkeypatch):
+    """Each target has one run, on its part; no join sends the field to the driver; the target's and its neighbours' rows say what the whole field does."""
+    runs, carried, real = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), battery.Heat
+
+    def counted(graph, config):
+        runs.add(1)
+        carried.add(len(graph.ids))
+        return real(graph, config)
+
+    monkeypatch.setattr(battery, "Heat", counted)
+    r = random.Random(9)
+    rows = {(20 * part + a, 20 * part + b): r.choice([0.25, 0.5, 0.75]) for part in range(5) for a in range(19) for b in ((a + 1) % 19, *r.sample(range(19), 4)) if a != b}
+    nodes = spark.range(100).withColumnRenamed("id", "node").cache()
+    nbrs = spark.createDataFrame([(*k, w) for k, w in rows.items()], "node long, neighbour long, weight double").cache()
+    targets = nodes.where("node % 20 > 12").union(spark.sql("SELECT * FROM VALUES (14L), (999L), (NULL) AS v(node)"))  # 19, 39, ... have no links
+    own = [k for k in range(100) if k % 20 > 12]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for settings in ({"ticks": 7}, {"ticks": 2, "gain": 0.0, "config": battery.DynamicsConfig(floor=8.79)}, {"ticks": 0}):
+        whole, near = (battery.heat_field(nodes, nbrs, targets, near=x, **settings) for x in (False, True))
+        field = {(x.target, x.node): (x.map_value, x.truth) for x in whole.collect()}
+        linked = {(t, n) for t, n in field if t == n or (t, n) in rows}
+        got = {(x.target, x.node): (x.map_value, x.truth) for x in near.collect()}
+        assert linked <= set(got) <= linked | {(t, t) for t in own} and all(got[k] == field.get(k, (0.0, 0.0)) for k in got)
+        before = runs.value, carried.value
+        signal = battery.field_signal(near, nbrs)
+        rows_of = {x.target: x for x in signal.collect()}
+        assert runs.value - before[0] == len(own) and carried.value - before[1] == 19 * 6 * 5 + 5
+        assert "Broadcast" not in plan(signal)
+        assert sorted(battery.field_signal(whole, nbrs).collect()) == sorted(rows_of.values()) and set(rows_of) == {t for t in own if t % 20 < 19}
+        for t, x in rows_of.items():
+            m, h = np.array([field.get((t, n), (0.0, 0.0)) for a, n in rows if a == t]).T
+            assert x.neighbours == len(m) and x.spread == m.max() - m.min()
+            a, b = _ranked(m), _ranked(h)
+            rho = np.corrcoef(a, b)[0, 1] if a.std() * b.std() > 0 else None
+            assert x.rho == (None if rho is None else pytest.approx(rho)) and x.informative == (len(m) > 1 and x.spread > 1e-12 and rho is not None)
